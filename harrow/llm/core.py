@@ -200,6 +200,21 @@ class Forest:
         return np.fromiter((self.root(i) for i in range(len(self.up))), np.int64, len(self.up))
 
 
+def hook(up: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Union of the pairs (a, b) in a union-find whose every pointer is at its root, the smallest member."""
+    while len(a):
+        x, y = up[a], up[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        up = up.copy()
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while (up[up] != up).any():
+            up = up[up]
+    return up
+
+
 # ---------------------------------------------------------------- connected components
 
 

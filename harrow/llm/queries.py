@@ -5,10 +5,58 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .core import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import core, mixing
+
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.size_of().alias("words"))
+    sized = core.cut(sized, "sizes")  # the texts are read once
+    return mixing.mix(sized, F.array("source"), F.col("words"), own=F.col("source")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality.verdicts(docs, table(spark, sf_dir, "labels")).select("doc_id", *quality.MEASURES, "base_failed", "kept")
+
+
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substrings
+
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.digest_rows(table(spark, sf_dir, "pages"))
+
+
+def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import lattice_lm
+
+    return lattice_lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embeddings
+
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -18,6 +66,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op2_quality": op2_quality,
+    "op3_substrings": op3_substrings,
+    "op4_jaccard": op4_jaccard,
+    "op5_warc": op5_warc,
+    "op6_lattice": op6_lattice,
+    "op7_embeddings": op7_embeddings,
     "op10_bpe": op10_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
