@@ -171,7 +171,8 @@ def key_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table
         if held and last == 0 and held[-1].column(held[-1].schema.get_field_index(key))[-1].as_py() == column[-1]:
             held.append(batch)
             continue
-        yield pa.Table.from_batches([*held, batch.slice(0, last)], batch.schema)
+        if held or last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)], batch.schema)
         held = [batch.slice(last)]
     if held:
         yield pa.Table.from_batches(held)
