@@ -63,6 +63,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_text
+
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_lattice": op6_lattice,
     "op7_embeddings": op7_embeddings,
     "op8_pii": op8_pii,
+    "op9_html": op9_html,
     "op10_bpe": op10_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
