@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .core import table
+from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,4 +90,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html": op9_html,
     "op10_bpe": op10_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
