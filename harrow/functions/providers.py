@@ -57,3 +57,43 @@ def coordinates(url: Column) -> Column:
         F.when(shared, F.try_element_at(segments, F.lit(1))).when(provider.isNotNull(), F.split_part(host, F.lit("."), F.lit(1))).alias("tenant"),
         F.when(provider == "workday", site).alias("site"),
     )
+
+
+# Addresses of job boards as pages embed them, and what is no board.
+EMBEDDED = {
+    "workday": r"https?://[\w.-]*\.wd\d+\.myworkday(?:jobs|site)\.com/[^\s\"'<>\\]+",
+    "greenhouse": r"https?://(?:boards|job-boards)\.greenhouse\.io/[\w-]+",
+    "lever": r"https?://jobs\.lever\.co/[\w-]+",
+    "ashby": r"https?://jobs\.ashbyhq\.com/[\w-]+",
+    "smartrecruiters": r"https?://(?:careers|jobs)\.smartrecruiters\.com/[\w-]+",
+    "icims": r"https?://[\w.-]*\.icims\.com/[^\s\"'<>\\]*",
+    "taleo": r"https?://[\w.-]*\.(?:taleo\.net|oraclecloud\.com)(?::\d+)?/[^\s\"'<>\\]*",
+    "avature": r"https?://[\w.-]*\.avature\.net/[^\s\"'<>\\]*",
+    "ukg": r"https?://(?:recruiting\.ultipro\.com|[\w.-]+\.ukg\.net)/[^\s\"'<>\\]*",
+    "paylocity": r"https?://recruiting\.paylocity\.com/[^\s\"'<>\\]*",
+    "successfactors": r"https?://[\w.-]*\.(?:successfactors|sapsf)\.(?:com|eu)/[^\s\"'<>\\]*",
+    "eightfold": r"https?://[\w.-]*\.eightfold\.ai/[^\s\"'<>\\]*",
+    "jobvite": r"https?://jobs\.jobvite\.com/[\w-]+",
+    "jibe": r"https?://[\w.-]*\.jibeapply\.com/[^\s\"'<>\\]*",
+    "cornerstone": r"https?://[\w.-]*\.csod\.com/[^\s\"'<>\\]*",
+}
+ASSETS = (".js", ".css", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".woff", ".woff2", ".ttf", ".eot", ".map", ".mp4", ".webp", ".pdf")
+NOT_BOARDS = ("/legal/", "/privacy", "/terms", "/cookie", "/extlib/", "/static/", "/assets/", "/scripts/", "/styles/", "/login", "/signin", "/sign-in", "/logout", "/support", "/contact", "/accessibility", "/sitemap", "/favicon", "/analytics", "/gtm", "/policy")
+
+
+def embedded(html: Column, provider: str) -> Column:
+    """Distinct board addresses of a provider in a page's markup, in order, safe to fetch."""
+    from .text import any_of
+
+    raw = F.regexp_extract_all(html, F.lit("(?i)" + EMBEDDED[provider]), F.lit(0))
+    tidy = F.transform(raw, lambda u: F.regexp_replace(F.replace(u, F.lit("&amp;"), F.lit("&")), r"""["'),;>\\]+$""", ""))
+    fit = lambda u: ~F.lower(u).rlike(any_of(NOT_BOARDS)) & ~F.lower(urls.part(u, 3)).rlike("(?:" + any_of(ASSETS) + ")$") & urls.safe_to_fetch(u)
+    return F.array_distinct(F.filter(tidy, fit))
+
+
+def resolve(redirect: Column, html: Column) -> Column:
+    """struct<provider, url>: where a redirect leads, else the first board that the page embeds, else what its markup mentions."""
+    boards = [F.when(F.size(embedded(html, p)) > 0, F.struct(F.lit(p).alias("provider"), F.element_at(embedded(html, p), 1).alias("url"))) for p in EMBEDDED]
+    moved = F.when(by_host(redirect).isNotNull(), F.struct(by_host(redirect).alias("provider"), redirect.alias("url")))
+    told = F.struct(F.coalesce(by_markup(html), F.lit("unknown")).alias("provider"), redirect.alias("url"))
+    return F.coalesce(moved, *boards, told)

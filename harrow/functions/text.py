@@ -98,3 +98,33 @@ def humanize(seconds: Column) -> Column:
     m = F.floor(s / 60)
     some = F.concat(m.cast("string"), F.when(m == 1, " minute").otherwise(" minutes"))
     return F.when(s < 60, few).when(s < 3600, some).otherwise(F.format_string("%dh %02dm", F.floor(s / 3600), F.floor(s % 3600 / 60)))
+
+
+# Link texts that are navigation, whole and in part.
+NAV = ("apply", "apply now", "view job", "details", "job details", "learn more", "read more", "next", "previous", "back", "search", "save job", "share", "sign in", "login", "home", "view all jobs", "see all jobs", "more", "all jobs", "browse jobs", "job search")
+NAV_PARTS = (
+    "join our", "join the", "search career", "search job", "search open", "view open", "view opportunit", "view job", "browse job", "explore job", "explore opportunit", "current employee", "hiring event", "job alert",
+    "create profile", "create account", "sign up", "talent network", "talent community", "life at", "why work", "our culture", "benefits", "meet our", "learn about", "see open", "find your", "start your",
+    "all locations", "all departments", "view all", "see all", "show all", "career website", "career site", "jobs by", "job openings", "saved job", "view more", "load more", "show more", "our jobs", "job categor",
+    "search our", "back to", "go to", "read our", "follow us",
+)
+
+
+def is_navigation(title: Column) -> Column:
+    low = F.lower(F.trim(title))
+    shouted = (title == F.upper(title)) & (title != F.lower(title)) & (F.size(F.split(F.trim(title), r"(?U)\s+")) <= 3)
+    return low.isin(*NAV) | low.rlike(any_of(NAV_PARTS)) | shouted
+
+
+def is_posting_link(title: Column, href: Column) -> Column:
+    """A link text of a posting's length that is no navigation, to a page or a routed fragment."""
+    n = F.length(F.trim(title))
+    away = href.rlike("^(javascript:|mailto:|tel:)") | (href.startswith("#") & ~F.substring(href, 2, 1 << 30).contains("/"))
+    return F.coalesce((n >= 6) & (n <= 250) & ~is_navigation(title) & (href != "") & ~away, F.lit(False))
+
+
+def place_of_bullets(bullets: Column, path: Column) -> Column:
+    """The bullets that are no requisition id: not the id that the path ends with, nor shaped like one."""
+    own = F.when(path.contains("_"), F.regexp_extract(path, "_([^_]*)$", 1)).otherwise("")
+    stays = lambda b: (b != "") & ~((own != "") & (b.startswith(own) | own.startswith(b))) & ~b.rlike(r"^[A-Za-z]{0,6}[-_]?\d[\d\-_]*$")
+    return F.nullif(F.array_join(F.array_distinct(F.filter(F.transform(bullets, F.trim), stays)), ", "), F.lit(""))

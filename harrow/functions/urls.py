@@ -80,3 +80,25 @@ def root_domain(url: Column) -> Column:
     labels = F.split(F.lower(F.regexp_replace(part(url, 2), r":\d+$", "")), r"\.")
     three = (F.size(labels) > 2) & F.element_at(labels, -2).isin("co", "com", "org", "net", "gov", "ac")
     return F.array_join(F.when(F.size(labels) < 2, labels).when(three, F.slice(labels, -3, 3)).otherwise(F.slice(labels, -2, 2)), ".")
+
+
+def detail(url: Column) -> Column:
+    """The data address behind a public posting: host, tenant, site before "job" and all from there on."""
+    host = part(url, 2)
+    segments = F.filter(F.split(part(url, 3), "/"), lambda s: s != "")
+    at = F.array_position(segments, "job")
+    ok = F.contains(host, F.lit("myworkday")) & (at > 1)
+    tail = F.array_join(F.slice(segments, F.greatest(at, F.lit(1)).cast("int"), F.size(segments)), "/")
+    site = F.try_element_at(segments, F.greatest(at - 1, F.lit(1)).cast("int"))
+    return F.when(ok, F.concat(F.lit("https://"), host, F.lit("/wday/cxs/"), F.split_part(host, F.lit("."), F.lit(1)), F.lit("/"), site, F.lit("/"), tail))
+
+
+# First labels of hosts that may be left out.
+STRIPPABLE = ("careers", "jobs", "www")
+
+
+def other_hosts(host: Column) -> Column:
+    """Hosts to try for a dead one, best first: without its first label, then www. and the root domain."""
+    root = root_domain(F.concat(F.lit("https://"), host))
+    rest = F.when(F.lower(F.split_part(host, F.lit("."), F.lit(1))).isin(*STRIPPABLE), F.regexp_replace(host, r"^[^.]*\.", ""))
+    return F.filter(F.array_distinct(F.array_compact(F.array(rest, F.concat(F.lit("www."), root), root))), lambda h: (h != host) & (h != ""))

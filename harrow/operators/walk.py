@@ -11,9 +11,11 @@ SHORTFALL_SHARE = 0.02
 
 
 def walk(pages: DataFrame, source: str = "source", most: int = 8000) -> DataFrame:
-    """pages: source, page_no, rows array<key>, total (reported, nullable), failed.
+    """pages: source, page_no, rows array<key>, total (reported, nullable), failed; and, if there, stale:
+    all dated rows of the page are older than wanted (false when none is dated).
 
-    Per page, checked in this order: failure, empty, repeated page, nothing new, total reached, a
+    Per page, checked in this order: failure, empty, repeated page, nothing new, a second stale page in
+    a row (only where the total is beyond the budget), total reached, a
     page shorter than the first (only without a total), row budget, page ceiling. The first page on
     which one holds ends the walk; that page still counts unless it failed, was empty or repeated.
     Gives per source: pages, offset (rows received), collected (distinct keys), total, stop_reason,
@@ -36,11 +38,15 @@ def walk(pages: DataFrame, source: str = "source", most: int = 8000) -> DataFram
             "nth": F.row_number().over(by),
         }
     )
+    stale = F.lit(False)
+    if "stale" in pages.columns:
+        stale = F.col("stale") & F.lag("stale").over(by) & (F.col("known") > most)
     reason = (
         F.when(F.col("failed"), "page_failed")
         .when(F.col("size") == 0, "exhausted")
         .when(F.col("copy") > 1, "repeated_page")
         .when(F.col("fresh") == 0, "no_new_rows")
+        .when(F.coalesce(stale, F.lit(False)), "freshness_reached")
         .when(F.col("got") >= F.col("known"), "reported_total_reached")
         .when(F.col("known").isNull() & (F.col("size") < F.greatest(F.lit(1), F.col("first_size"))), "exhausted")
         .when(F.col("got") >= most, "budget_exhausted")
