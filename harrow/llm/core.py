@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of every contract: space and \t \n \v \f \r.
@@ -62,6 +62,19 @@ def drop_cut(df: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def most_frequent(counted: DataFrame, column: str, most: int) -> tuple[Column, int]:
+    """(rank, least): rows with rank >= least are the most frequent ones, at most `most` of them. Ranks
+    are sixteenths of a doubling of the count, so that the driver sees a row a rank, a thousand at most."""
+    rank = F.floor(F.log2(column) * 16)
+    held, least = 0, 1 << 30
+    for r in counted.groupBy(rank.alias("rank")).agg(F.count("*").alias("n")).orderBy(F.desc("rank")).collect():
+        held += r["n"]
+        if held > most:
+            break
+        least = r["rank"]
+    return rank, least
+
+
 # ---------------------------------------------------------------- words of an Arrow batch
 
 SPACE = np.zeros(256, bool)

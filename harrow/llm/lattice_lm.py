@@ -17,6 +17,7 @@ and the piece weights stay as given; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,10 @@ HEAD = 1 << 18
 EM_ROUNDS = 1
 #: Added to every piece's expected count.
 SMOOTH = 0.1
+#: Distinct words of chunks that are merged before they leave a task.
+MERGE = 1_000_000
+#: Words whose lattices are summed together, so that each length has many.
+TOGETHER = 50_000
 #: Lattice cells computed at once.
 CELLS = 1 << 20
 MARK = "▁"
@@ -62,6 +67,8 @@ class Lattice:
         keys = np.array([self._hash(p) for p in pieces], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], order.astype(np.int32)
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[(keys >> np.uint64(44)).astype(np.int64)] = True
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -71,8 +78,13 @@ class Lattice:
         return h
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, hashes), self.n - 1)
-        return np.where(self.keys[at] == hashes, self.ids[at], -1)
+        """The piece of each hash, or -1; most substrings are none, which a table of bits tells first."""
+        out = np.full(hashes.shape, -1, np.int32)
+        some = self.seen[(hashes >> np.uint64(44)).view(np.int64)]
+        todo = hashes[some]
+        at = np.minimum(np.searchsorted(self.keys, todo), self.n - 1)
+        out[some] = np.where(self.keys[at] == todo, self.ids[at], -1)
+        return out
 
     def batches(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(indexes, code points with the mark in front), words of one length at a time."""
@@ -165,14 +177,28 @@ def _spelled(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+
+    def merged() -> pa.RecordBatch:
+        hashes, where, back = np.unique(np.concatenate([x[0] for x in held]), return_index=True, return_inverse=True)
+        count = np.bincount(back, np.concatenate([x[2] for x in held]).astype(float)).astype(np.int64)
+        words = pa.concat_arrays([x[1] for x in held]).take(pa.array(where))
+        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), words, pa.array(count)], ["h", "word", "c"])
+
     for batch in batches:
         for *_, words, hashes, count in _spelled(batch.column(0)):
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(words, pa.binary()).cast(pa.string()), pa.array(count.astype(np.int64))], ["h", "word", "c"])
+            held.append((hashes, pa.array(words, pa.binary()).cast(pa.string()), count))
+            size += len(hashes)
+            if size >= MERGE:
+                yield merged()
+                held, size = [], 0
+    if held:
+        yield merged()
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """h (hash), word, c of every distinct word; counted within chunks, then within tasks, then by shuffle."""
-    return texts.select("text").mapInArrow(_count, "h long, word string, c long").groupBy("h").agg(F.first("word").alias("word"), F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(_count, "h long, word string, c long").groupBy("h", "word").agg(F.sum("c").alias("c"))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -191,10 +217,14 @@ def fit(counts: DataFrame, n_docs: int, pieces: list[str], weights: np.ndarray,
         cast = spark.sparkContext.broadcast((pieces, _logs(uses, end)))
 
         def expected(batches: Iterator[pa.RecordBatch], cast=cast) -> Iterator[pa.RecordBatch]:
-            lattice, total = Lattice(*cast.value), None
-            for b in batches:
-                part = lattice.expect(b.column(0).to_pylist(), b.column(1).to_numpy())
-                total = part if total is None else total + part
+            lattice, total, words, times = Lattice(*cast.value), None, [], []
+            for b in itertools.chain(batches, [None]):
+                if b is not None:
+                    words += b.column(0).to_pylist()
+                    times.append(b.column(1).to_numpy())
+                if words and (b is None or len(words) >= TOGETHER):
+                    part = lattice.expect(words, np.concatenate(times))
+                    total, words, times = part if total is None else total + part, [], []
             if total is not None:
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["piece", "uses"])
@@ -222,11 +252,10 @@ def score(docs: DataFrame, vocabulary: str, head: int = HEAD, rounds: int = EM_R
     total, distinct = int(sums[0] or 0) + n_docs, int(sums[1]) + (n_docs > 0)
     pieces, weights = read_pieces(vocabulary)
     logp = fit(counts, n_docs, pieces, weights, rounds)
-    top = counts.orderBy(F.desc("c"), "h").limit(head).select("h", "word", "c").toPandas()
-    order = np.argsort(top["h"].to_numpy().view(np.uint64)) if len(top) else np.zeros(0, np.int64)
-    h = top["h"].to_numpy().astype(np.int64).view(np.uint64)[order]
-    c = top["c"].to_numpy().astype(np.int64)[order]
-    lowest = (int(top["c"].iloc[-1]), int(top["h"].iloc[-1])) if len(top) else (0, 0)
+    rank, least = core.most_frequent(counts, "c", head)
+    top = counts.where(rank >= least).select("h", "c").toPandas()
+    order = np.argsort(top["h"].to_numpy().astype(np.int64).view(np.uint64))
+    h, c = top["h"].to_numpy().astype(np.int64).view(np.uint64)[order], top["c"].to_numpy().astype(np.int64)[order]
     cast = spark.sparkContext.broadcast((pieces, logp, h, c, total, distinct, n_docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +292,7 @@ def score(docs: DataFrame, vocabulary: str, head: int = HEAD, rounds: int = EM_R
                     yield pa.RecordBatch.from_arrays([pa.array(hashes[w].view(np.int64)), pa.array(ids[d]), pa.nulls(k, pa.int64()), pa.array(tf), *[pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]], names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "key long, uid long, doc_id long, tf long, n_tokens long, n_known long, base_score double, score double")
-    rare = counts.where((F.col("c") < lowest[0]) | ((F.col("c") == lowest[0]) & (F.col("h") > lowest[1]))).select(F.col("h").alias("key"), "c")
+    rare = counts.where(rank < least).select(F.col("h").alias("key"), "c")
     joined = rows.join(rare.hint("merge"), "key", "left")
     c = F.coalesce("c", F.lit(0))
     tail = F.when(F.col("tf") > 0, F.col("tf") * F.log10((c + 0.1) / (total + 0.1 * (distinct + 1))))
