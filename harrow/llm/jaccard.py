@@ -326,8 +326,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     core.small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     measured = core.cut(docs.mapInArrow(_measure, "doc_id long, cid long, n long, bits binary, token long, hits long"), "sets")
-    ids = measured.where("n is not null").select("doc_id", "cid", "n")
-    hot = measured.where("token is not null").groupBy("token").agg(F.sum("hits").alias("hits")).orderBy(F.desc("hits"), "token").limit(LAST).collect()
+    ids = core.cut(measured.where("n is not null").select("doc_id", "cid", "n"), "ids")
+    hits = core.cut(measured.where("token is not null").groupBy("token").agg(F.sum("hits").alias("hits")), "hits")
+    rank, least = core.most_frequent(hits, "hits", LAST)
+    hot = hits.where(rank >= least).collect()
+    core.drop_cut(hits)
     last = np.array([r.token for r in hot], np.int64).view(np.uint64)
     by = np.argsort(last)
     last, blocks = last[by], np.array([-(-r.hits // GROUP_BLOCK) for r in hot], np.int64)[by]
@@ -341,9 +344,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = core.cut(cells.mapInArrow(_groups, "grp long, cid long, n long"), "groups")
     classes = measured.where("n > 0 and doc_id is not null").groupBy("cid", "n").agg(F.min("doc_id").alias("rep"), F.max("bits").alias("bits"))
     classes = core.cut(classes, "classes")
+    core.drop_cut(measured)
     met = groups.distinct().join(classes, ["cid", "n"]).select("grp", "rep", "n", "bits")
     loose = core.cut(met.repartition("grp").sortWithinPartitions("grp").mapInArrow(_plausible_links, "a long, b long"), "loose")
+    core.drop_cut(groups)
     clusters = core.connected_components(loose)
+    core.drop_cut(loose)
     members = core.cut(classes.select("rep", "cid", "n").join(clusters.withColumnRenamed("node", "rep"), "rep").withColumnRenamed("component", "cluster"), "members")
     sums = members.groupBy("cluster").agg(F.ceil(F.sum("n") / CELL_TOKENS).cast("int").alias("blocks"))
     placed = members.join(core.cut(sums, "blocks"), "cluster").withColumn("home", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
@@ -351,7 +357,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = placed.select("rep", "cid", F.xxhash64("cluster", F.least("home", "away"), F.greatest("home", "away")).alias("cell"), (F.col("home") > F.col("away")).cast("int").alias("side"), (F.col("home") != F.col("away")).alias("split"))
     whole = placed.join(named.withColumnRenamed("doc_id", "rep"), "rep").repartition("cell").sortWithinPartitions("cell")
     true = core.cut(whole.select("cell", "side", "split", "rep", "cid", "text").mapInArrow(_true_links, "a long, b long"), "links")
+    core.drop_cut(members)
     comps = core.connected_components(true)
+    core.drop_cut(true)
     known = core.cut(classes.select("cid", "n", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("cid", "n", F.coalesce("component", "rep").alias("component")), "known")
+    core.drop_cut(classes)
     linked = ids.where("n > 0 and doc_id is not null").join(known, ["cid", "n"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return linked.unionByName(ids.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
