@@ -144,6 +144,8 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, tables: int =
     # within one block both sides are the same rows; across blocks the lower block is side 0
     cells = met.join(signed, "rep").repartition("cell").sortWithinPartitions("cell")
     found = core.cut(cells.select("cell", "rep", "mult", "label", "tab", "side", "vec", "sigs").mapInArrow(_compare(cosine, tables), "rep long, links long, root long"), "found")
+    core.drop_cut(signed)
+    core.drop_cut(counts)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = core.connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     known = classes.select("k1", "k2", "rep", "mult").join(links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")

@@ -127,8 +127,8 @@ def judge(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """docs with measures, stratum and kept. What is written once and read for both the calibration
-    and the verdict has the text only if keep_text."""
+    """docs with measures, stratum and kept, and with the text only if keep_text. Narrow measures are
+    written for the calibration; a verdict with texts measures them again rather than write them."""
     measured = features(docs, text).withColumn("stratum", stratum())
-    measured = core.cut(measured if keep_text else measured.drop(text), "measures")
-    return judge(measured, core.cut(calibrate(measured, labels), "cutoffs"))
+    narrow = core.cut(measured.drop(text), "measures")
+    return judge(measured if keep_text else narrow, core.cut(calibrate(narrow, labels), "cutoffs"))
