@@ -488,3 +488,46 @@ def progress(spark, d):
     """State of each conversation from its log: how many turns, and what was said last."""
     c = _t(spark, d, "conversations").groupBy("conv_id", "turn", "role").agg(F.max("text").alias("text"))
     return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.max_by("text", "turn").alias("last_text"), F.count_if(F.col("role") == "user").alias("asked"), F.max("turn").alias("t")).where("t is not null").drop("t")
+
+
+@query(
+    """with s as (select c_custkey as k, 'http://c/' || c_custkey as entry, cast(c_custkey % 2 as integer) as fails, c_custkey % 3 = 0 as proven from customer),
+    o as (select o_custkey as k, count(*) as jobs, case o_custkey % 5 when 0 then 'success' when 1 then 'clean_failure' when 2 then 'blocked' when 3 then 'transient' else 'low_yield' end as kind from orders group by 1),
+    j as (select s.*, jobs, coalesce(kind, '') as kind from s left join o on s.k = o.k)
+    select cast(k as varchar) as company, case when kind = 'clean_failure' then null else entry end as entry_url, case when kind = 'success' then jobs when kind = 'clean_failure' then null else 10 end as jobs_last_seen,
+    cast(case when kind = 'success' then 0 when kind = 'clean_failure' then null when kind in ('transient', 'low_yield') then fails + 1 else fails end as integer) as consecutive_failures,
+    case when kind = 'success' then true when kind = 'clean_failure' then null else proven end as proven, kind = 'clean_failure' as unsupported
+    from j where not (kind = 'clean_failure' and proven) and not (kind in ('transient', 'low_yield') and fails + 1 >= 2)"""
+)
+def hint_step(spark, d):
+    """Customers as remembered companies, their orders as what happened to them."""
+    from ..operators import hints
+
+    key = F.col("c_custkey")
+    state = _t(spark, d, "customer").select(
+        key.cast("string").alias("company"), F.concat(F.lit("http://c/"), key.cast("string")).alias("entry_url"), F.lit(None).cast("string").alias("json_endpoint"), F.lit("2024-01-01").cast("date").alias("verified_at"), F.lit(10).cast("long").alias("jobs_last_seen"), (key % 2).cast("int").alias("consecutive_failures"), (key % 3 == 0).alias("proven"), F.lit(False).alias("unsupported"), F.lit(None).cast("date").alias("checked_at")
+    )
+    kinds = F.array(*[F.lit(k) for k in ("success", "clean_failure", "blocked", "transient", "low_yield")])
+    o = _t(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("jobs"))
+    none = F.lit(None).cast("string")
+    o = o.join(_t(spark, d, "customer"), F.col("o_custkey") == key, "left_semi")
+    outcomes = o.select(F.col("o_custkey").cast("string").alias("company"), F.element_at(kinds, (F.col("o_custkey") % 5 + 1).cast("int")).alias("outcome"), none.alias("entry_url"), none.alias("json_endpoint"), "jobs", F.lit(True).alias("from_hint"))
+    return hints.step(state, outcomes, F.lit("2024-02-01").cast("date")).select("company", "entry_url", "jobs_last_seen", "consecutive_failures", "proven", "unsupported")
+
+
+@query("select event_id, user_id, event_type from (select *, row_number() over (partition by user_id, event_type order by event_id) as rn from events) where rn = 1 or event_type = 'view'")
+def dedup_exact(spark, d):
+    """The first event of each user and type; events without a type (here: views) are all kept."""
+    e = _t(spark, d, "events").select("event_id", "user_id", "event_type", F.when(F.col("event_type") != "view", F.col("event_type")).otherwise("").alias("url"), F.col("event_id").alias("seq"))
+    return dedup.first_of_each(e, ["user_id"], "url").select("event_id", "user_id", "event_type")
+
+
+@query(
+    r"""with a as (select page_id, unnest(regexp_extract_all(html, '<a\s[^>]*href="[^"]+"[^>]*>[^<]*</a>')) as x from pages), b as (select page_id, regexp_extract(x, 'href="([^"]+)"', 1) as href, trim(regexp_extract(x, '>([^<]*)</a>', 1)) as t from a)
+    select page_id, count(distinct href) as n_links from b where length(t) >= 3 group by page_id"""
+)
+def page_links(spark, d):
+    """Links of pages whose address has a hint (here: any path), each once."""
+    from ..sources import pages
+
+    return pages.job_links(_t(spark, d, "pages"), ("/",)).groupBy("page_id").agg(F.count("*").alias("n_links"))
