@@ -9,6 +9,7 @@ window alone. Equal windows pick equal symbols, so a window whose symbol occurs
 cannot repeat. Shuffle 1 finds the symbols that documents share; shuffle 2 verifies the windows that
 picked them, by 96 bits of hash of the window's own words, and finds the smallest document of each.
 Both are pre-aggregated: what repeats within a task's chunk is settled there and sends one row on.
+Documents that repeat a smaller one whole are found first, by 128 bits of hash, and take no part.
 
 Defined results: null, empty and blank texts have no words; texts under 50 words lose nothing; a null
 doc_id keeps its text and takes nothing from others; a doc_id names one text, rows that repeat it
@@ -28,9 +29,8 @@ from . import core
 
 WINDOW = 50
 #: Rounds of pair naming; a round with True names runs first. Later rounds depend on more words than a window has.
-ROUNDS = (True, False, False, True, False, False)
+ROUNDS = (True, False, False, False, False, False, False, False)
 FAR = 1 << 40
-FLUSH = 1_000_000
 _A, _B, _C = (core.mix(np.array([x], np.uint64)) | np.uint64(1) for x in (11, 22, 33))
 _K1, _K2 = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 
@@ -151,26 +151,38 @@ def _shared_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield from _rows(name[lead | ~several], doc[lead | ~several], tag[lead | ~several], _packed(doc[several], tag[several]))
 
 
+def _singles(doc: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    """A row for each value."""
+    at = pa.array(np.arange(0, 8 * len(value) + 1, 8, dtype=np.int32)).buffers()[1]
+    own = pa.Array.from_buffers(pa.binary(), len(value), [None, at, pa.py_buffer(np.ascontiguousarray(value))])
+    return pa.RecordBatch.from_arrays([pa.array(doc), own], ["doc", "own"])
+
+
 def _held(batches: Iterator[pa.RecordBatch], choose) -> Iterator[pa.RecordBatch]:
     """(doc, own) of the rows that choose(key, doc, tag) marks in whole groups of key."""
-    docs, tags, size = [], [], 0
     for t in core.key_groups(batches, "key"):
         own = t.filter(t.column("own").is_valid())
         if own.num_rows:
             yield from own.select(["doc", "own"]).to_batches()
         t = t.filter(t.column("own").is_null())
         key, doc, tag = (t.column(c).to_numpy() for c in ("key", "doc", "tag"))
-        if not len(key):
-            continue
-        order, chosen = choose(key, doc, tag)
-        docs.append(doc[order][chosen])
-        tags.append(tag[order][chosen])
-        size += len(docs[-1])
-        if size >= FLUSH:
-            yield pa.RecordBatch.from_arrays(list(_packed(np.concatenate(docs), np.concatenate(tags))), ["doc", "own"])
-            docs, tags, size = [], [], 0
-    if size:
-        yield pa.RecordBatch.from_arrays(list(_packed(np.concatenate(docs), np.concatenate(tags))), ["doc", "own"])
+        if len(key):
+            order, chosen = choose(key, doc, tag)
+            if chosen.any():
+                yield _singles(doc[order][chosen], tag[order][chosen])
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, k1, k2) of documents that have a window: 128 bits for the whole sequence of words."""
+    for batch in batches:
+        raw, at = core.text_bytes(batch.column(1))
+        ids = batch.column(0).to_numpy()
+        for first, last in core.chunks(at):
+            words, begin = core.word_hashes(raw[at[first] : at[last]], at[first : last + 1] - at[first])
+            some = np.flatnonzero(np.diff(begin) >= WINDOW)
+            if len(some):
+                k1, k2 = span_hashes(words, begin[some], begin[some + 1])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first:last][some]), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))], ["doc", "k1", "k2"])
 
 
 def _in_several(key, doc, tag):
@@ -195,13 +207,13 @@ def _powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return up, core._powers(np.uint64(pow(k, -1, 1 << 64)), n + 1)
 
 
-def window_hashes(words: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of the WINDOW words from each start."""
+def span_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the words in each span."""
     out = []
     for k in (_K1, _K2):
         up, down = _powers(k, len(words))
         total = np.append(np.uint64(0), np.cumsum(words * up[: len(words)], dtype=np.uint64))
-        out.append(core.mix((total[start + WINDOW] - total[start]) * down[start]))
+        out.append(core.mix((total[end] - total[start]) * down[start]))
     return out[0], out[1]
 
 
@@ -224,7 +236,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
             if not len(start):
                 continue
-            key, check = window_hashes(words, start)
+            key, check = span_hashes(words, start, start + WINDOW)
             local = np.searchsorted(begin, start, "right") - 1
             doc = ids[first:last][local]
             tag = (check >> np.uint64(33)).astype(np.int64) << 32 | (start - begin[local])
@@ -237,10 +249,12 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_words, n_removed, kept = [], [], []
-        for text, places in zip(batch.column(1), batch.column(2), strict=True):
+        for text, places, copy in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
             words = (text.as_py() or "").encode().split()
             n_words.append(len(words))
-            if places.is_valid:
+            if copy.is_valid:
+                words = []
+            elif places.is_valid:
                 start = np.concatenate([np.frombuffer(y.as_buffer(), np.int64) for y in places.values]) & 0xFFFFFFFF
                 gone = np.zeros(len(words) + 1, np.int64)
                 start = start[start + WINDOW <= len(words)]
@@ -258,16 +272,25 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     The texts are shuffled once: both joins ask for the same exchange, which Spark reuses."""
     core.small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if dict(docs.dtypes)["doc_id"] != "bigint":
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = docs.select("doc_id", "text")  # an alias here would make the two exchanges differ
     named = docs.where("doc_id is not null")
+    # what repeats a smaller document whole goes whole, and has nothing to tell about others
+    whole = core.cut(named.mapInArrow(_whole, "doc long, k1 long, k2 long"), "whole")
+    firsts = core.cut(whole.groupBy("k1", "k2").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
+    copies = core.cut(whole.join(firsts, ["k1", "k2"]).where("doc > first").select(F.col("doc").alias("doc_id")).distinct().withColumn("copy", F.lit(1)), "copies")
+    core.drop_cut(whole)
+    core.drop_cut(firsts)
     rows = "key long, doc long, tag long, own binary"
-    shared = named.mapInArrow(_shared_symbols, rows).repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _held(it, _in_several), "doc long, own binary")
+    found = named.join(copies, "doc_id", "left_anti").mapInArrow(_shared_symbols, rows)
+    shared = found.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _held(it, _in_several), "doc long, own binary")
     spans = shared.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("own").alias("spans"))
     met = named.join(spans.hint("merge"), "doc_id").select("doc_id", "text", "spans")
     repeats = met.mapInArrow(_windows, rows).repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _held(it, _not_first), "doc long, own binary")
     places = repeats.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("own").alias("places"))
-    out = named.join(places.hint("merge"), "doc_id", "left").select("doc_id", "text", "places")
-    none = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("places"))
+    out = named.join(places.hint("merge"), "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", "places", "copy")
+    none = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("places"), F.lit(None).cast("int").alias("copy"))
     return out.unionByName(none).mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string")
 
 
