@@ -127,8 +127,9 @@ def judge(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """docs with measures, stratum and kept, and with the text only if keep_text. Narrow measures are
-    written for the calibration; a verdict with texts measures them again rather than write them."""
+    """docs with measures, stratum and kept, and with the text only if keep_text. The measures are
+    written once and read for the calibration and the verdict. (A filter on `kept` over unwritten
+    measures would have the optimizer copy their expressions into it again and again.)"""
     measured = features(docs, text).withColumn("stratum", stratum())
-    narrow = core.cut(measured.drop(text), "measures")
-    return judge(measured if keep_text else narrow, core.cut(calibrate(narrow, labels), "cutoffs"))
+    measured = core.cut(measured if keep_text else measured.drop(text), "measures")
+    return judge(measured, core.cut(calibrate(measured, labels), "cutoffs"))
