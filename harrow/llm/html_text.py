@@ -7,7 +7,8 @@ driver when first needed, on pages that a seeded generator makes (TRAIN_PAGES of
 its weights go to the workers.
 
 Defined results: null, empty and textless pages give empty text; comments, scripts, styles and what
-never ends in markup (an open tag or comment at the end) are no text; character references are
+never ends in markup (an open tag or comment at the end) are no text. Tags end as the HTML standard
+says, but a quoted value that nothing closes ends with its tag. Character references are
 decoded; white space in a block becomes one space; blocks join by an empty line; repeated rows are
 read each; an empty table gives no rows. Other columns stay; `text` and `n_chars` replace columns of that name.
 """
@@ -33,13 +34,16 @@ TRAIN_PAGES, EPOCHS, SEED = 700, 6, 5
 #: Blocks that one step of the network sees at once; pages of like length go together.
 TOGETHER = 64
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+)>""")
+#: Close mark, name, attributes, self-closing mark. A quote opens a value only right after an equals sign.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:\s++|/(?!>)|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?+)*+)(/?)>""")
 _NAMES = re.compile(r"""(?:\s|^)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 _OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
 #: Fixed values of the HTML standard: elements without content, with raw content, and those that break a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template select svg math object".split())
+#: So many open elements, the outer ones, give a block its path.
+PATH_DEPTH = 200
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -68,7 +72,8 @@ def names(tag: str, attributes: str) -> tuple[str, ...]:
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order; the whole page is read, in linear time."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple]] = []
+    stack: list[tuple[str, tuple, int]] = []  # tag, names, place of the block element that is innermost there
+    where: dict[str, list[int]] = {}
     parts: list[str] = []
     linked = 0
     in_link = 0
@@ -80,20 +85,25 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                path = tuple(n for _, ns in stack for n in ns)
-                leaf = next((t for t, _ in reversed(stack) if t in BLOCK), "")
+                path = tuple(n for _, ns, _ in stack[:PATH_DEPTH] for n in ns)
+                leaf = stack[stack[-1][2]][0] if stack and stack[-1][2] >= 0 else ""
                 out.append(Block(text, path, leaf, len(stack), min(1.0, linked / max(1, len(raw)))))
         linked = 0
 
+    def last(name: str) -> int:
+        """The place of the innermost open element of that name."""
+        at = where.get(name)
+        return at[-1] if at else -1
+
     def close(name: str, stops: tuple = ()) -> None:
         nonlocal in_link
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                in_link -= sum(t == "a" for t, _ in stack[k:])
-                del stack[k:]
-                return
-            if stack[k][0] in stops:
-                return
+        k = last(name)
+        if k < 0 or k < max(map(last, stops), default=-1):
+            return
+        while len(stack) > k:
+            gone = stack.pop()[0]
+            where[gone].pop()
+            in_link -= gone == "a"
 
     at = 0
     while True:
@@ -127,7 +137,7 @@ def blocks(page: str) -> list[Block]:
             if name in BLOCK:
                 flush()
                 close(name)
-            elif name == "a" or any(t == name for t, _ in stack[-8:]):
+            elif name == "a" or last(name) >= len(stack) - 8:
                 close(name, ("body", "article", "div", "section", "td", "li"))
             continue
         if name == "br" or name == "wbr":
@@ -148,10 +158,10 @@ def blocks(page: str) -> list[Block]:
                 break
             at += 1
             continue
-        if name not in VOID and not tag[3].endswith("/"):
-            if len(stack) < 200:
-                stack.append((name, names(name, tag[3])))
-                in_link += name == "a"
+        if name not in VOID and not tag[4]:
+            where.setdefault(name, []).append(len(stack))
+            stack.append((name, names(name, tag[3]) if len(stack) < PATH_DEPTH else (), len(stack) if name in BLOCK else stack[-1][2] if stack else -1))
+            in_link += name == "a"
     flush()
     return out
 

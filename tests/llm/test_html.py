@@ -17,6 +17,23 @@ def test_hard_pages_take_linear_time():
         H.blocks(x)
 
 
+def texts(page):
+    return [b.text for b in H.blocks(page)]
+
+
+def test_stray_quotes():
+    assert texts("<a href=\"x\"\">b</a><p>c<div title=don't>d</div><p>e<i a='f'>g</i> it's") == ["b", "c", "d", "eg it's"]
+    assert texts("<p \">a<p '>b<p a=\"x>y\" b = '>'>c<p a=\"d>e") == ["a", "b", "c", "e"]
+    assert texts("<p>a<iframe src=x/>no</iframe>b") == ["ab"]
+
+
+def test_paths_below_the_bound():
+    deep = "<div class=d>" * 230 + "<article>x</article>" + "</div>" * 29 + "<p>y</p>" + "</div>" * 201 + "<p>z"
+    found = H.blocks(deep)
+    assert [(b.text, b.depth, b.leaf) for b in found] == [("x", 231, "article"), ("y", 202, "p"), ("z", 1, "p")]
+    assert found[1].path == ("div", ".d") * 200 and found[2].path == ("p",)
+
+
 def test_held_out_pages():
     assert H.held_out_accuracy() > 0.99
 
