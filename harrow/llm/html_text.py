@@ -6,9 +6,10 @@ whole sequence and says for each block whether it belongs to the main text. It i
 driver when first needed, on pages that a seeded generator makes (TRAIN_PAGES of them), in seconds;
 its weights go to the workers.
 
-Defined results: null, empty and textless pages give empty text; comments, scripts, styles and what
-never ends in markup (an open tag or comment at the end) are no text. Tags end as the HTML standard
-says, but a quoted value that nothing closes ends with its tag. Character references are
+Defined results: null, empty and textless pages give empty text; comments, raw elements (RAW) and what
+never ends in markup (an open tag, comment or raw element at the end) are no text. Tags end as the HTML
+standard says, with two leniencies: a quoted value that nothing closes ends with its tag, and a raw
+element written self-closed is empty. Character references are
 decoded; white space in a block becomes one space; blocks join by an empty line; repeated rows are
 read each; an empty table gives no rows. Other columns stay; `text` and `n_chars` replace columns of that name.
 """
@@ -41,7 +42,13 @@ _PART = re.compile(r"[a-z]+")
 _OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
 #: Fixed values of the HTML standard: elements without content, with raw content, and those that break a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template select svg math object".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Elements of other languages; in them only code is raw, and the tags of BREAKS_OUT end them.
+FOREIGN = ("svg", "math")
+INTEGRATION = ("foreignobject", "desc", "annotation-xml", "mi", "mo", "mn", "ms", "mtext")
+BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Closed at any depth, whatever stands open in them.
+CONTAINERS = frozenset([*FOREIGN, "object", "template", "noscript", "select"])
 #: So many open elements, the outer ones, give a block its path.
 PATH_DEPTH = 200
 BLOCK = frozenset(
@@ -74,6 +81,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple, int]] = []  # tag, names, place of the block element that is innermost there
     where: dict[str, list[int]] = {}
+    endless: set[str] = set()
     parts: list[str] = []
     linked = 0
     in_link = 0
@@ -105,6 +113,11 @@ def blocks(page: str) -> list[Block]:
             where[gone].pop()
             in_link -= gone == "a"
 
+    def foreign() -> str:
+        """The element of another language that is open here, if one is."""
+        k, name = max((last(x), x) for x in FOREIGN)
+        return name if k > max(map(last, INTEGRATION)) else ""
+
     at = 0
     while True:
         m = _OPEN.search(page, at)
@@ -117,7 +130,7 @@ def blocks(page: str) -> list[Block]:
             break
         at = m.start()
         if page.startswith("<!--", at):
-            end = page.find("-->", at + 4)
+            end = page.find("-->", at + 2)
             if end < 0:
                 break
             at = end + 3
@@ -137,9 +150,18 @@ def blocks(page: str) -> list[Block]:
             if name in BLOCK:
                 flush()
                 close(name)
+            elif name in CONTAINERS:
+                if 0 <= last(name) < stack[-1][2]:
+                    flush()
+                close(name)
             elif name == "a" or last(name) >= len(stack) - 8:
                 close(name, ("body", "article", "div", "section", "td", "li"))
             continue
+        inside = foreign() if where.get("svg") or where.get("math") else ""
+        if inside and name in BREAKS_OUT:
+            while inside:
+                close(inside)
+                inside = foreign()
         if name == "br" or name == "wbr":
             parts.append(" " if name == "br" else "")
             continue
@@ -149,15 +171,17 @@ def blocks(page: str) -> list[Block]:
                 close("p", ("article", "div", "section", "td", "li", "body", "button", "aside", "main", "form"))
             if name in SELF_ENDING:
                 close(name, SELF_ENDING[name])
-        if name in RAW:
-            end = re.compile("</" + re.escape(name) + r"(?=[\s/>])", re.I).search(page, at)
-            if not end:
-                break
-            at = page.find(">", end.start())
-            if at < 0:
+        if name in RAW and not tag[4] and (not inside or name in ("script", "style")):
+            end = None if name in endless else re.compile("</" + re.escape(name) + r"(?=[\s/>])", re.I).search(page, at)
+            if end:
+                at = page.find(">", end.start())
+                if at < 0:
+                    break
+                at += 1
+                continue
+            if not inside:
                 break
-            at += 1
-            continue
+            endless.add(name)
         if name not in VOID and not tag[4]:
             where.setdefault(name, []).append(len(stack))
             stack.append((name, names(name, tag[3]) if len(stack) < PATH_DEPTH else (), len(stack) if name in BLOCK else stack[-1][2] if stack else -1))

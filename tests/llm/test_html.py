@@ -21,6 +21,21 @@ def texts(page):
     return [b.text for b in H.blocks(page)]
 
 
+def test_elements_that_are_not_raw():
+    """Text after self-closed and unclosed elements, and in elements that the labeller is to judge."""
+    assert texts("<p>a<svg class=x /><p>b<iframe src=y /><p>c<script/><p>d") == ["a", "b", "c", "d"]
+    assert texts("<p>a<svg><path d=x><p>b") == ["a", "b"]
+    assert texts("<p>a<select><option>b<option>c</select>d") == ["a", "b", "c", "d"]
+    assert texts("<svg><title/><style/><text>t</text></svg><p>b") == ["t", "b"]
+    assert texts("<svg><style>no</style><style>x<text>t</svg><p>b") == ["xt", "b"]
+    for name in ("svg", "math", "object", "template", "noscript", "select"):
+        assert texts(f"<p>a <{name}><i>b</i></{name}> c</p><p>d") == ["a b c", "d"]
+        assert texts(f"<p>a<{name}>b</p><p>d")[-1] == "d"
+    for name in H.RAW:
+        assert texts(f"<p>a<{name}><i>b</i></{name.upper()} >c</p><p>d<{name}>e<p>f") == ["ac", "d"]
+    assert texts("<p>a<!--><p>b<!-- no --><p>c") == ["a", "b", "c"]
+
+
 def test_stray_quotes():
     assert texts("<a href=\"x\"\">b</a><p>c<div title=don't>d</div><p>e<i a='f'>g</i> it's") == ["b", "c", "d", "eg it's"]
     assert texts("<p \">a<p '>b<p a=\"x>y\" b = '>'>c<p a=\"d>e") == ["a", "b", "c", "e"]
@@ -34,6 +49,11 @@ def test_paths_below_the_bound():
     assert found[1].path == ("div", ".d") * 200 and found[2].path == ("p",)
 
 
+def test_more_hard_pages_take_linear_time():
+    for x in ("<svg><style>" * 50_000, "<svg>" * 50_000 + "<p>" * 50_000, "<i a=\"'" * 50_000, "<span>" * 100_000 + "</a>" * 100_000, "<div>" * 100_000 + "</p>" * 100_000, "<iframe/>" * 100_000, "<a =\">\"" * 50_000):
+        H.blocks(x)
+
+
 def test_held_out_pages():
     assert H.held_out_accuracy() > 0.99
 
