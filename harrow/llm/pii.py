@@ -9,8 +9,8 @@ field's segments those are added that touch none of them. It knows one kind more
 The field is trained when first needed, on sentences that a seeded generator makes (TRAIN_SENTENCES
 of them), in a few seconds on the driver; its few hundred weights go to the workers.
 
-Defined results: null and empty texts have no spans; repeated rows are searched each; words over
-LONG characters join no segment of the field (the rules read them whole); an empty table gives no
+Defined results: null and empty texts have no spans; repeated rows are searched each; a word over
+LONG characters is judged whole, but joins no segment of several words; an empty table gives no
 rows. Other columns stay; `spans` and `base` replace columns of that name.
 """
 
@@ -32,8 +32,6 @@ from . import core
 KINDS = ["email", "ip", "card", "phone", "secret"]
 LABELS = ["other", *KINDS]
 MOST_WORDS, LONG = 6, 80
-#: A run of suspicious words is read in parts of so many, which bounds the memory of a text of digits.
-PART_WORDS = 5000
 TRAIN_SENTENCES, EPOCHS, SEED = 500, 4, 11
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -43,7 +41,18 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
-_TRIGGER = re.compile(r"[0-9@=]|\bdot\b|\bpunkt\b")
+#: Words for the marks of an address, and what the field may begin at.
+_AT, _DOT = "at|ät|arroba|chez", "dot|punkt|punto|point"
+_TRIGGER = re.compile(rf"[0-9@=]|\b(?:{_DOT})\b", re.I)
+_SAID_AT = re.compile(rf"(?:^|[ \[(])(?:{_AT})[\])]? ")
+_SAID_DOT = re.compile(rf" [\[(]?(?:{_DOT})[\])]? ")
+_SAID_WHOLE = re.compile(rf"[\w.-]+ [\[(]?(?:{_AT})[\])]? [\w-]+(?: [\[(]?(?:{_DOT})[\])]? [a-z]{{2,12}})+")
+#: English, as in `at this point in time`, unless an address ends so.
+_AT_THIS_POINT = re.compile(r"(?:^| )at [\w-]+ point (?!(?:com|net|org|info|edu|fr|ch|eu|lu)$)")
+_KEY = re.compile("pass|pwd|token|secret|key|api")
+_TOKEN = re.compile(r"[A-Za-z0-9_+/=-]+")
+#: A signed web token names what it is, as an assignment does.
+_SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*){2,4}")
 _WORD = re.compile(core.WORD)
 
 
@@ -116,27 +125,29 @@ def describe(words: list[str], i: int, j: int) -> list[str]:
     out = [f"words{j - i}", f"shape{shape}", f"shape{shape}words{j - i}", f"before-{before}", f"before-{before}{shape}", f"digits{min(d, 20) if shape != 'l' else 'x'}", f"length{min(n // 4, 12)}"]
     if shape in "dp":
         out.append("phone-like" if 9 <= d <= 15 and re.fullmatch(r"\+?[0-9 ().-]+", text) and re.search(r"[ ().-]", text) else "not-phone")
-        if 12 <= d <= 19 and re.fullmatch(r"[0-9]+(?:[ .-]?[0-9]+)*", text):
+        if 12 <= d <= 19 and re.fullmatch(r"[0-9]++(?:[ .-]?[0-9]++)*+", text):
             out.append("luhn" if luhn(digits) else "no-luhn")
             out.append(f"card-length{d}")
         if text.startswith("(") or "(" in text:
             out.append("bracket" if text.count("(") == text.count(")") else "half-bracket")
         parts = re.split(r"[.,:]", text)
-        if len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) < 256 for p in parts):
+        if len(parts) == 4 and all(p.isdecimal() and len(p) <= 3 and int(p) < 256 for p in parts):
             out.append("four-bytes")
         if text.startswith("+"):
             out.append("plus")
     if "@" in text:
         out.append("at-sign")
-    if j - i > 2 and re.search(r"(?:^|[ \[(])(?:at|ät|arroba|chez)[\])]? ", low) and re.search(r" [\[(]?(?:dot|punkt|punto|point)[\])]? ", low):
+    if j - i > 2 and _SAID_AT.search(low) and _SAID_DOT.search(low) and not _AT_THIS_POINT.search(low):
         out.append("spelled-address")
-        if re.fullmatch(r"[\w.-]+ [\[(]?(?:at|ät|arroba|chez)[\])]? [\w-]+(?: [\[(]?(?:dot|punkt|punto|point)[\])]? [a-z]{2,12})+", low):
+        if _SAID_WHOLE.fullmatch(low):
             out.append("whole-address")
     if j - i == 1:
         if "=" in text:
             key, _, value = low.partition("=")
-            out.append("assigned" if re.fullmatch(r"(?:\w*(?:pass|passwd|password|pwd|token|secret|key|api)\w*)", key) and len(value) >= 6 else "equals")
-        if n >= 16 and d and letters and re.fullmatch(r"[A-Za-z0-9_+/=-]+", text):
+            out.append("assigned" if re.fullmatch(r"\w+", key) and _KEY.search(key) and len(value) >= 6 else "equals")
+        if _SIGNED.fullmatch(text):
+            out.append("assigned")
+        if n >= 16 and d and letters and _TOKEN.fullmatch(text):
             classes = sum(map(bool, (re.search("[A-Z]", text), re.search("[a-z]", text), d)))
             out.append(f"random{classes}")
             if re.fullmatch(r"[A-Z0-9]{16,}", text):
@@ -158,42 +169,41 @@ class Field:
         self.w = np.zeros((64, len(LABELS)))
         self.t = np.zeros((len(LABELS), len(LABELS)))
 
-    def segments(self, words: list[str], grow: bool) -> list[list[tuple[int, list[int]]]]:
-        """For each end, the segments (start, features) that end there."""
-        out = []
-        for j in range(1, len(words) + 1):
-            here = []
-            for i in range(j - 1, max(-1, j - 1 - MOST_WORDS), -1):
-                if len(words[i]) > LONG and j - i > 1:
-                    break
-                names = describe(words, i, j) if len(words[i]) <= LONG else ["long"]
-                if grow:
-                    for f in names:
-                        self.at.setdefault(f, len(self.at))
-                here.append((i, [self.at[f] for f in names if f in self.at]))
-                if len(words[i]) > LONG:
-                    break
-            out.append(here)
+    def ending(self, words: list[str], j: int, grow: bool) -> list[tuple[int, list[int]]]:
+        """The segments (start, features) that end at j."""
+        here = []
+        for i in range(j - 1, max(-1, j - 1 - MOST_WORDS), -1):
+            if len(words[i]) > LONG and j - i > 1:
+                break
+            names = describe(words, i, j)
+            if grow:
+                for f in names:
+                    self.at.setdefault(f, len(self.at))
+            here.append((i, [self.at[f] for f in names if f in self.at]))
+            if len(words[i]) > LONG:
+                break
+        return here
+
+    def segments(self, words: list[str]) -> list[list[tuple[int, list[int]]]]:
+        """For each end, the segments that end there; new features get weights."""
+        out = [self.ending(words, j, True) for j in range(1, len(words) + 1)]
         while len(self.w) < len(self.at):
             self.w = np.vstack([self.w, np.zeros_like(self.w)])
         return out
 
-    def scores(self, segments: list) -> list[list[tuple[int, list[int], np.ndarray]]]:
-        out = []
-        for j, here in enumerate(segments, 1):
-            row = []
-            for i, f in here:
-                s = self.w[f].sum(0)
-                if j - i > 1:
-                    s = s.copy()
-                    s[0] = -np.inf  # what is no entity goes word by word
-                row.append((i, f, s))
-            out.append(row)
-        return out
+    def scores(self, j: int, here: list[tuple[int, list[int]]]) -> list[tuple[int, list[int], np.ndarray]]:
+        row = []
+        for i, f in here:
+            s = self.w[f].sum(0)
+            if j - i > 1:
+                s = s.copy()
+                s[0] = -np.inf  # what is no entity goes word by word
+            row.append((i, f, s))
+        return row
 
     def learn(self, words: list[str], gold: list[tuple[int, int, int]], rate: float) -> None:
         """A step up the log likelihood of the gold segmentation (start, end, label)."""
-        scored = self.scores(self.segments(words, True))
+        scored = [self.scores(j, here) for j, here in enumerate(self.segments(words), 1)]
         n, k = len(words), len(LABELS)
         alpha = np.full((n + 1, k), -np.inf)
         alpha[0, 0] = 0
@@ -229,28 +239,25 @@ class Field:
         self.t += rate * t
 
     def decode(self, words: list[str]) -> list[tuple[int, int, int]]:
-        """The best segmentation's entities (start, end, label)."""
-        scored = self.scores(self.segments(words, False))
-        n = len(words)
-        best = np.full((n + 1, len(LABELS)), -np.inf)
+        """The best segmentation's entities (start, end, label). Of a word, three numbers a label are
+        kept, and of its segments nothing, so that a run may be as long as its text."""
+        n, k = len(words), len(LABELS)
+        best = np.full((n + 1, k), -np.inf)
         best[0, 0] = 0
-        back: list = [None] * (n + 1)
+        size, before = np.zeros((n + 1, k), np.uint8), np.zeros((n + 1, k), np.uint8)
         for j in range(1, n + 1):
-            came = [None] * len(LABELS)
-            for i, _, s in scored[j - 1]:
+            for i, _, s in self.scores(j, self.ending(words, j, False)):
                 ways = best[i][:, None] + self.t
                 frm = ways.argmax(0)
-                value = ways[frm, np.arange(len(LABELS))] + s
+                value = ways[frm, np.arange(k)] + s
                 for y in np.flatnonzero(value > best[j]):
-                    best[j, y] = value[y]
-                    came[y] = (i, int(frm[y]))
-            back[j] = came
+                    best[j, y], size[j, y], before[j, y] = value[y], j - i, frm[y]
         out, j, y = [], n, int(best[n].argmax())
         while j > 0:
-            i, before = back[j][y]
+            i = j - int(size[j, y])
             if y:
                 out.append((i, j, y))
-            j, y = i, before
+            j, y = i, int(before[j, y])
         return out[::-1]
 
 
@@ -315,7 +322,7 @@ def field_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> li
     hot = np.zeros(len(found), bool)
     for m in _TRIGGER.finditer(text):
         at = int(np.searchsorted(starts, m.start(), "right")) - 1
-        hot[max(0, at - 4 if m[0] in ("dot", "punkt") else at - 1) : at + 3] = True
+        hot[max(0, at - 4 if len(m[0]) > 1 else at - 1) : at + 3] = True
     for s, _, e in base:
         hot[max(0, int(np.searchsorted(starts, s, "right")) - 1) : int(np.searchsorted(starts, e, "left"))] = False
     out = []
@@ -323,16 +330,15 @@ def field_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> li
     for a, b in zip(first.tolist(), last.tolist(), strict=True):
         if not hot[a]:
             continue
-        for a, b in [(k, min(b, k + PART_WORDS)) for k in range(a, b, PART_WORDS)]:
-            words = [m[0] for m in found[a:b]]
-            if not any(_TRIGGER.search(w) for w in words):
-                continue
-            for i, j, y in field.decode(words):
-                x, _ = trim(words[i])
-                _, z = trim(words[j - 1])
-                s, e = found[a + i].start() + x, found[a + j - 1].start() + z
-                if s < e:
-                    out.append((s, y - 1, e))
+        words = [m[0] for m in found[a:b]]
+        if not any(_TRIGGER.search(w) for w in words):
+            continue
+        for i, j, y in field.decode(words):
+            x, _ = trim(words[i])
+            _, z = trim(words[j - 1])
+            s, e = found[a + i].start() + x, found[a + j - 1].start() + z
+            if s < e:
+                out.append((s, y - 1, e))
     return out
 
 

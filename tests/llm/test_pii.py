@@ -42,6 +42,34 @@ def test_field():
         assert pii.spell(pii.field_spans(x, [], field)) == want, x
 
 
+def spans(x):
+    return pii.spell(pii.field_spans(x, pii.base_spans(x), pii.trained()))
+
+
+def test_spelled_addresses_of_all_languages():
+    for x in ("maria arroba correo punto es", "jean chez exemple point fr", "Bob AT mail DOT com", "jana ät post punkt de", "jean at exemple point fr"):
+        assert spans(x) == f"email:0:{len(x)}", x
+        assert spans(f"hello, write {x}, soon") == f"email:13:{13 + len(x)}", x
+    for x in ("we were at this point in time", "At this point it is done", "a good point", "il est chez lui ce point final"):
+        assert spans(x) == "", x
+
+
+def test_long_words():
+    signed = "eyJ" + "hbGciOiJI1" * 6 + ".eyJ" + "zdWIiOiIx3" * 6 + ".Sfl-Kx_8" * 1
+    assert len(signed) > pii.LONG and spans(signed) == f"secret:0:{len(signed)}"
+    assert spans(f"the token {signed}, then") == f"secret:10:{10 + len(signed)}"
+    assert spans("token=" + "a1b2c3d4e5" * 10) == "secret:0:106"
+    for x in ("=" * 100 + " 1", "x " + "1" * 100, "see https://example.com/" + "a/very/long/path/" * 5 + "2024?id=12345 ok", "1.2.3.\u00b2 x"):
+        assert spans(x) == "", x
+    spans("passpass" * 30_000 + "-=1 " + "pass" * 30_000 + "1")
+
+
+def test_entities_anywhere_in_a_long_run():
+    for n in (4998, 4999, 5000):
+        text = "1 " * n + "tel (555) 123-4567 now"
+        assert spans(text) == f"phone:{2 * n + 4}:{2 * n + 18}", n
+
+
 def test_query_rows(spark):
     rows = [(i, x) for i, x in enumerate(texts()[:300])] + [(1000, None), (None, "mail a@b.co or 9.9.9.9"), (1, "a@b.c@d.e")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
