@@ -94,9 +94,10 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "cid", "n", "bits", "token", "hits"]
     for b in batches:
         cids, ns, bits = [], [], []
-        for s in sets(b.column(1)):
+        for s, named in zip(sets(b.column(1)), b.column(0).is_valid().to_pylist(), strict=True):
             cid = set_id(s)
-            new = (cid, len(s)) not in seen
+            # rows without doc_id are left out later, so none of them may stand for its class
+            new = named and (cid, len(s)) not in seen
             if new and len(s):
                 seen.add((cid, len(s)))
                 held.append(s)

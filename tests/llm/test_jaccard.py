@@ -49,6 +49,15 @@ def test_against_all_pairs(spark):
     assert got(df) == want
 
 
+def test_null_id_before_its_copy(spark):
+    """One partition, the row without doc_id first: its class still has a bitmap."""
+    words = ["w%d" % i for i in range(60)]
+    text, near = " ".join(words), " ".join([*words, "x"])
+    df = spark.createDataFrame([(None, text), (2, text), (1, near), (None, near), (3, near)], "doc_id long, text string").coalesce(1)
+    assert got(df) == {(2, 56, 1), (1, 57, 1), (3, 57, 1)}
+    assert jaccard.near_duplicates(df).count() == 5
+
+
 def test_frequent_shingles_and_grids(spark, monkeypatch):
     """Large groups of near copies, frequent shingles last, blocks of groups and clusters."""
     rng = random.Random(1)
