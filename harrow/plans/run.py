@@ -39,9 +39,11 @@ def select(records: DataFrame, first_seen: DataFrame, now: Column, settings: Set
 
 
 def best(records: DataFrame) -> DataFrame:
-    """One copy of each posting: by canonical URL, then by id or composite key; direct copies first."""
+    """One copy of each posting: by canonical URL, then by id or composite key; dated copies
+    first, then described ones, then direct ones, then the earliest."""
     direct = (F.col("scraping_method") == "direct_api").cast("int")
-    quality = [F.coalesce(direct, F.lit(0)), F.col("date_posted").isNotNull().cast("int"), F.length(F.coalesce("description", F.lit("")))]
+    described = F.coalesce(F.col("description"), F.lit("")) != ""
+    quality = [F.col("date_posted").isNotNull().cast("int"), described.cast("int"), F.coalesce(direct, F.lit(0))]
     composite = identity.duplicate_key(F.col("company"), F.col("title"), F.col("location"), F.col("job_url"))
     return dedup.two_passes(records, F.coalesce(urls.normalize(F.col("job_url")), F.lit("")), F.col("job_id"), composite, quality)
 
@@ -49,12 +51,12 @@ def best(records: DataFrame) -> DataFrame:
 def run(raw: DataFrame, results: DataFrame, store: Store, now: Column, settings: Settings = Settings()) -> DataFrame:
     """raw: harvested rows with `seq`; results: company, success, complete, jobs, previous. Commits the
     store's next version and returns the export: selected postings with score and change status."""
-    records = best(build(raw))
+    records = build(raw)
     state = store.read()
     known = state.select("job_id", "first_seen")
-    chosen = select(records, known, now, settings)
+    chosen = best(select(records, known, now, settings))
     scored = chosen.withColumn("fit", matching.fit(F.col("title"), F.col("description"))).select("*", F.col("fit.score").alias("fit_score"), F.array_join("fit.matched", ", ").alias("fit_matched"), F.col("fit.explanation").alias("fit_explanation")).drop("fit")
     updated = lifecycle.upsert(state, records.select("job_id", "job_url", "company", "title", "location", "date_posted", "seq"), now)
     told = lifecycle.removal_allowed(F.col("success"), F.col("jobs"), F.col("complete"), F.col("previous"))
-    store.commit(lifecycle.sync(updated.drop("change"), records.select("company", "job_id"), results.where(told)))
+    store.commit(lifecycle.sync(updated.drop("change"), records.select("company", "job_id").distinct(), results.where(told)))
     return scored.join(updated.select("job_id", F.col("change").alias("change_status"), "first_seen"), "job_id", "left")

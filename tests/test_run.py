@@ -33,6 +33,18 @@ def test_run(spark, tmp_path):
     assert Store(spark, f"file://{tmp_path}/s", S.STATE, scheme=4).read().count() == 0
 
 
+def test_copies_are_chosen_after_filters(spark, tmp_path):
+    """A copy that fails a filter never hides one that passes; dated copies beat direct ones."""
+    store, day = Store(spark, f"file://{tmp_path}/s", S.STATE), T(2024, 1, 10)
+    rows = raw(spark, ("A", "Cook", "Dallas, TX", day, "https://a/1?jobId=1", "direct_api"), ("A", "Data Engineer", "Dallas, TX", day, "https://a/x?jobId=1", "playwright"), ("A", "Data Engineer", "Dallas, TX", None, "https://a/2?jobId=2", "direct_api"), ("A", "Data Engineer", "Dallas, TX", day, "https://a/y?jobId=2", "playwright"))
+    results = spark.createDataFrame([("A", True, True, 4, None)], "company string, success boolean, complete boolean, jobs int, previous int")
+    out = {r.job_id: r for r in R.run(rows, results, store, F.lit(day)).collect()}
+    assert set(out) == {"a:1", "a:2"} and out["a:1"].title == "Data Engineer" and out["a:2"].date_posted == day
+    assert store.read().count() == 2
+    tied = rows.where("seq in (1, 3)").withColumn("job_url", F.lit("https://a/1?jobId=1")).withColumn("description", F.when(F.col("seq") == 1, "short").otherwise("a longer text"))
+    assert [r.seq for r in R.best(R.build(tied)).collect()] == [1] and R.best(R.build(tied)).first().description == "short"
+
+
 def test_stream_equals_batches(spark, tmp_path):
     from harrow.operators import lifecycle
 
