@@ -49,8 +49,6 @@ INTEGRATION = ("foreignobject", "desc", "annotation-xml", "mi", "mo", "mn", "ms"
 BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: Closed at any depth, whatever stands open in them.
 CONTAINERS = frozenset([*FOREIGN, "object", "template", "noscript", "select"])
-#: So many open elements, the outer ones, give a block its path.
-PATH_DEPTH = 200
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -66,20 +64,27 @@ class Block:
         self.text, self.path, self.leaf, self.depth, self.linked = text, path, leaf, depth, linked
 
 
+@functools.lru_cache(50_000)
+def _slot(name: str, dim: int) -> int:
+    return zlib.crc32(name.encode()) % dim
+
+
 @functools.lru_cache(20_000)
-def names(tag: str, attributes: str) -> tuple[str, ...]:
-    """A path element's tag and its words of class, id and role."""
+def names(tag: str, attributes: str) -> tuple[int, ...]:
+    """The places in a path's vector of an element's tag and its words of class, id and role."""
     out = [tag]
     for m in _NAMES.finditer(attributes):
         for w in _PART.findall((m[2] or m[3] or m[4] or "").lower()):
             out.append("." + w)
-    return tuple(dict.fromkeys(out))
+    return tuple(dict.fromkeys(_slot(n, PATH_DIM) for n in out))
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's text blocks in order; the whole page is read, in linear time."""
+    """The page's text blocks in order; the whole page is read, in linear time. A block's path is the
+    set of places in its vector that some open element takes, however many are open."""
     out: list[Block] = []
     stack: list[tuple[str, tuple, int]] = []  # tag, names, place of the block element that is innermost there
+    taken: dict[int, int] = {}
     where: dict[str, list[int]] = {}
     endless: set[str] = set()
     parts: list[str] = []
@@ -93,7 +98,7 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                path = tuple(n for _, ns, _ in stack[:PATH_DEPTH] for n in ns)
+                path = tuple(taken)
                 leaf = stack[stack[-1][2]][0] if stack and stack[-1][2] >= 0 else ""
                 out.append(Block(text, path, leaf, len(stack), min(1.0, linked / max(1, len(raw)))))
         linked = 0
@@ -109,8 +114,12 @@ def blocks(page: str) -> list[Block]:
         if k < 0 or k < max(map(last, stops), default=-1):
             return
         while len(stack) > k:
-            gone = stack.pop()[0]
+            gone, slots, _ = stack.pop()
             where[gone].pop()
+            for x in slots:
+                taken[x] -= 1
+                if not taken[x]:
+                    del taken[x]
             in_link -= gone == "a"
 
     def foreign() -> str:
@@ -154,7 +163,7 @@ def blocks(page: str) -> list[Block]:
                 if 0 <= last(name) < stack[-1][2]:
                     flush()
                 close(name)
-            elif name == "a" or last(name) >= len(stack) - 8:
+            elif last(name) >= 0:
                 close(name, ("body", "article", "div", "section", "td", "li"))
             continue
         inside = foreign() if where.get("svg") or where.get("math") else ""
@@ -184,7 +193,10 @@ def blocks(page: str) -> list[Block]:
             endless.add(name)
         if name not in VOID and not tag[4]:
             where.setdefault(name, []).append(len(stack))
-            stack.append((name, names(name, tag[3]) if len(stack) < PATH_DEPTH else (), len(stack) if name in BLOCK else stack[-1][2] if stack else -1))
+            slots = names(name, tag[3])
+            for x in slots:
+                taken[x] = taken.get(x, 0) + 1
+            stack.append((name, slots, len(stack) if name in BLOCK else stack[-1][2] if stack else -1))
             in_link += name == "a"
     flush()
     return out
@@ -193,11 +205,6 @@ def blocks(page: str) -> list[Block]:
 # ---------------------------------------------------------------- vectors
 
 
-@functools.lru_cache(50_000)
-def _slot(name: str, dim: int) -> int:
-    return zlib.crc32(name.encode()) % dim
-
-
 INPUT = PATH_DIM + LEAF_DIM + WORD_DIM + 6
 
 
@@ -206,7 +213,7 @@ def vectors(found: list[Block]) -> np.ndarray:
     n = len(found)
     x = np.zeros((n, INPUT), np.float32)
     rows = np.fromiter((i for i, b in enumerate(found) for _ in b.path), np.int64)
-    x[rows, np.fromiter((_slot(p, PATH_DIM) for b in found for p in b.path), np.int64, len(rows))] = 1
+    x[rows, np.fromiter((p for b in found for p in b.path), np.int64, len(rows))] = 1
     x[np.arange(n), PATH_DIM + np.fromiter((_slot(b.leaf, LEAF_DIM) for b in found), np.int64, n)] = 1
     encoded = [b.text.encode() for b in found]
     at = np.cumsum([0, *map(len, encoded)])

@@ -1,3 +1,4 @@
+import html.parser
 import random
 
 import numpy as np
@@ -42,11 +43,20 @@ def test_stray_quotes():
     assert texts("<p>a<iframe src=x/>no</iframe>b") == ["ab"]
 
 
-def test_paths_below_the_bound():
+def at(name):
+    return H._slot(name, H.PATH_DIM)
+
+
+def test_paths_of_any_depth():
     deep = "<div class=d>" * 230 + "<article>x</article>" + "</div>" * 29 + "<p>y</p>" + "</div>" * 201 + "<p>z"
     found = H.blocks(deep)
     assert [(b.text, b.depth, b.leaf) for b in found] == [("x", 231, "article"), ("y", 202, "p"), ("z", 1, "p")]
-    assert found[1].path == ("div", ".d") * 200 and found[2].path == ("p",)
+    assert set(found[0].path) == {at("div"), at(".d"), at("article")} and found[2].path == (at("p"),)
+    # unclosed elements hide no outer one, end tags at any depth close their own, and nothing else is closed
+    found = H.blocks("<b>" * 1000 + "<article>x</article>y" + "</b>" * 1000 + "<p>z")
+    assert [(b.text, at("article") in b.path, at("b") in b.path) for b in found] == [("x", True, True), ("y", False, False), ("z", False, False)]
+    found = H.blocks("<em>" + "<b>" * 20 + "q</em>r<p>s")
+    assert [(b.text, at("em") in b.path, at("b") in b.path) for b in found] == [("qr", False, False), ("s", False, False)]
 
 
 def test_more_hard_pages_take_linear_time():
@@ -101,4 +111,42 @@ def test_given_pages(spark):
     pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
     found = [H.blocks(p["html"]) for p in pages]
     for b, keep in zip(found, H.label(H.trained(), found), strict=True):
-        assert keep.tolist() == ["article" in x.path for x in b]
+        assert keep.tolist() == [at("article") in x.path for x in b]
+
+
+class Plain(html.parser.HTMLParser):
+    """The letters of a page that are text, by the standard library."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.text, self.raw = [], None
+
+    def handle_starttag(self, tag, attrs):
+        self.raw = tag if tag in H.RAW else self.raw
+
+    def handle_startendtag(self, tag, attrs):
+        pass
+
+    def handle_endtag(self, tag):
+        self.raw = None if tag == self.raw else self.raw
+
+    def handle_data(self, data):
+        if self.raw is None:
+            self.text.append(data)
+
+
+def test_random_markup_keeps_all_letters():
+    rng = random.Random(4)
+    tags = "p div b i a span article li ul td table tr h1 section main svg math object noscript select option em form label".split()
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randint(1, 60)):
+            t = rng.choice(tags)
+            attribute = rng.choice(["", "", " class=x", ' class="a b"', " title='it>s'", ' x="&quot;" y', ' a="b"c', " hidden", " href=/x?y=1&z=2"])
+            parts.append(rng.choice([f"<{t}{attribute}>", f"</{t}>", f"<{t.upper()}{attribute}>", "word ", "x &amp; y ", "caf\u00e9 &eacute; ", "&#65;", "<br>", "<img src=x>", "<!-- c -->", "<script>var a='<p>no</p>';</script>", "<style>p{}</style>", "5 < 6 ", "\n"]))
+        page = "".join(parts)
+        plain = Plain()
+        plain.feed(page)
+        plain.close()
+        want = "".join("".join(plain.text).split())
+        assert "".join("".join(b.text for b in H.blocks(page)).split()) == want, page
