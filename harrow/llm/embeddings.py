@@ -6,11 +6,14 @@ a grid of blocks, so no task holds more than two blocks, and a block pair is one
 pair is counted in the first table where it meets. Tasks return a row per class: the weight of its
 partners and the root of its links, never the pairs.
 
-Recall: vectors at cosine 0.98 agree on a bit with probability 0.936; with BITS = 16 in TABLES = 20
-tables a pair at the very threshold is missed with probability 2e-4, closer pairs less. Raise BITS
-with the logarithm of the rows, TABLES with it, to keep buckets of unrelated vectors small.
-
-Defined results: null or empty vectors, zero vectors, null, NaN or infinite components and a null
+The signature's length follows the data: the logarithm of the classes of the largest label, and MORE_BITS
+above it, so that a bucket holds few unrelated vectors at any size. The number of tables follows from
+it: vectors at cosine 0.98 agree on a bit with probability 0.936, and there are as many tables as keep
+the probability that a pair at the very threshold is missed at MISS or less; closer pairs are missed less.
+(2^13 classes take 16 bits and 20 tables, 2^30 take 33 and 71.)
+
+Defined results: vectors are scaled by powers of two first, so that very large or small components
+neither overflow nor vanish; null or empty vectors, zero vectors, null, NaN or infinite components and a null
 label link with nothing (n_links 0, a component of their own); vectors of different length never
 link; repeated rows count as vectors of their own; a null vec_id takes no part: no links, null
 component, kept false; an empty table gives no rows.
@@ -18,6 +21,7 @@ component, kept false; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +31,19 @@ from pyspark.sql import functions as F
 
 from . import core
 
-COSINE, TABLES, BITS, BLOCK, SEED = 0.98, 20, 16, 2048, 7
+COSINE, BLOCK, SEED = 0.98, 512, 7
+MISS, MORE_BITS, LEAST_BITS = 2e-4, 3, 8
 #: Vectors in one matrix product's rows; bounds what a task computes at once.
 ROWS = 512
 
 
+def design(classes: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int]:
+    """(tables, bits) for so many different vectors of one label."""
+    bits = max(LEAST_BITS, min(60, math.ceil(math.log2(max(classes, 1))) + MORE_BITS))
+    agree = 1 - math.acos(cosine) / math.pi
+    return math.ceil(math.log(miss) / math.log1p(-(agree**bits))), bits
+
+
 def _planes(dim: int, tables: int, bits: int) -> np.ndarray:
     return np.random.default_rng([SEED, dim]).standard_normal((dim, tables * bits))
 
@@ -61,7 +73,9 @@ def _doubles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column = b.column(b.schema.get_field_index("embedding"))
         offsets = np.asarray(column.offsets).astype(np.int64)
         flat = np.asarray(column.values.cast(pa.float64()).to_numpy(zero_copy_only=False), np.float64)
-        vec = pa.array([flat[offsets[i] : offsets[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())
+        whole = (flat[offsets[i] : offsets[i + 1]] for i in range(b.num_rows))
+        # by a power of two, which changes no cosine, the largest component comes into 0.5..1
+        vec = pa.array([np.ldexp(v, -np.frexp(np.abs(v).max())[1]).tobytes() for v in whole], pa.binary())
         keep = [b.column(b.schema.get_field_index(c)) for c in ("rep", "mult", "label")]
         yield pa.RecordBatch.from_arrays([*keep, vec], ["rep", "mult", "label", "vec"])
 
@@ -122,7 +136,7 @@ def _compare(cosine: float, tables: int):
     return run
 
 
-def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, tables: int = TABLES, bits: int = BITS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, miss: float = MISS, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of embeddings (vec_id, embedding, label)."""
     e = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -132,6 +146,8 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, tables: int =
     # 128 bits of hash stand for a label and vector
     firsts = hashed.where("able").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     classes = core.cut(firsts, "classes")
+    largest = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    tables, bits = design(largest or 0, cosine, miss)
     vectors = classes.select("rep", "mult", "label", "embedding").mapInArrow(_doubles, "rep long, mult long, label string, vec binary")
     signed = core.cut(vectors.mapInArrow(_signatures(tables, bits), "rep long, mult long, label string, vec binary, sigs array<long>"), "signed")
     bucket = F.xxhash64("label", F.octet_length("vec"), "tab", "sig")
@@ -150,6 +166,8 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, tables: int =
     comps = core.connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     known = classes.select("k1", "k2", "rep", "mult").join(links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     known = core.cut(known.select("k1", "k2", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "known")
+    core.drop_cut(classes)
+    core.drop_cut(found)
     out = hashed.select("vec_id", "able", F.when(F.col("able"), F.col("k1")).alias("k1"), F.when(F.col("able"), F.col("k2")).alias("k2"))
     linked = out.where("able").join(known, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     alone = out.where("not able").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -56,3 +56,22 @@ def test_large_group_and_empty(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
     none = spark.createDataFrame([(None, [1.0, 2.0], 0), (5, [1.0, 2.0], 0)], "vec_id long, embedding array<float>, label int")
     assert sorted(map(tuple, embeddings.near_duplicates(none).collect()), key=str) == sorted([(None, 0, None, False), (5, 0, 5, True)], key=str)
+
+
+def test_extreme_magnitudes_and_design(spark):
+    rows = [(0, [1e-200, 2e-200], 0), (1, [1e200, 2e200], 0), (2, [5e-324, 1e-323], 0), (3, [1.0, 2.0], 0), (4, [2.0, -1.0], 0), (5, [1e300, 1e-300], 1), (6, [1.0, 0.0], 1)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 4: (0, 4), 5: (1, 5), 6: (1, 5)}
+    agree = 1 - np.arccos(0.98) / np.pi
+    for n in (0, 1, 10**4, 10**9):
+        tables, bits = embeddings.design(n)
+        assert (1 - agree**bits) ** tables <= embeddings.MISS and 2**bits >= 8 * n
+
+
+def test_recall_on_the_given_table(spark):
+    """All pairs of the table in double precision, by label."""
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, None if r.embedding is None else list(r.embedding), r.label) for r in e.collect()]
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(e).collect()}
+    want = {v: n for v, n, _, _ in brute(rows)}
+    assert sum(got.values()) >= 0.999 * sum(want.values()) and all(got[v] <= want[v] for v in want)
