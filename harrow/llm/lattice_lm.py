@@ -2,10 +2,11 @@
 
 A text is a stream of pieces of a given vocabulary (never trained here) and one end symbol, drawn
 independently. Every word begins with the vocabulary's space mark, so a text's probability is the
-product of its words' lattice sums and the end's probability. The vocabulary's scores give the first
-piece weights; rounds of expectation-maximisation over the word counts of the training documents (all
-but every tenth by crc32) then fit them. The forward recursion is in log space, for many words of one
-length at once. A letter that the vocabulary lacks is its UTF-8 bytes, as the vocabulary provides.
+product of its words' lattice sums and the end's probability. The vocabulary's scores weigh the pieces;
+the training documents (all but every tenth by crc32) give the rate of ends to words, and the counts of
+the base measures. On request, `rounds` of expectation-maximisation over their word counts refit the
+weights. The forward recursion is in log space, for many words of one length at once. A letter that
+the vocabulary lacks is its UTF-8 bytes, as the vocabulary provides.
 
 Word counts are joined by a 64-bit word hash. The HEAD most frequent words are sent to all workers (a
 fixed bound); the others' counts come by a join, so frequent words never meet in one task.
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from . import core
 
 HEAD = 1 << 18
-EM_ROUNDS = 1
+#: Refits of the piece weights; none: the vocabulary's scores stay.
+EM_ROUNDS = 0
 #: Added to every piece's expected count.
 SMOOTH = 0.1
 #: Distinct words of chunks that are merged before they leave a task.
@@ -206,8 +208,8 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def fit(counts: DataFrame, n_docs: int, pieces: list[str], weights: np.ndarray, rounds: int = EM_ROUNDS) -> np.ndarray:
-    """Log probabilities of pieces, bytes and the end, by EM over the counted words. What reaches the
-    driver is a sum for each piece of the vocabulary."""
+    """Log probabilities of pieces, bytes and the end: from the given weights, refitted by rounds of EM
+    over the counted words. What reaches the driver is a sum for each piece of the vocabulary."""
     spark = counts.sparkSession
     uses = np.concatenate([weights, np.full(256, weights.min() / 256)])
     end = max(n_docs, 1)
