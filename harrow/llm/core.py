@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: The white space of every contract: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of one Arrow batch; with 3 KB a text, a batch takes a few MB.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch; with 3 KB a text, a batch takes a few MB.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,18 +22,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Long texts: hand Python fewer rows at a time than Spark's 10,000."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Long texts: hand Python fewer rows at a time than Spark's 10,000, and no more than BATCH_BYTES
+    beside one row. Spark reads these settings from the session when a job starts, so they stay there;
+    a caller's smaller ones are kept."""
+    now = spark._jsparkSession.sessionState().conf()
+    for name, held, most in (("maxRecordsPerBatch", now.arrowMaxRecordsPerBatch(), BATCH_ROWS), ("maxBytesPerBatch", now.arrowMaxBytesPerBatch(), BATCH_BYTES)):
+        if not 0 < held <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; one of our own only where the session names none."""
+    """The folder that all executors see. Where the session names none, a local session gets a temporary
+    one; a cluster's executors could not read that, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="spark-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
