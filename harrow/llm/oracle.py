@@ -1,14 +1,12 @@
 """SQL twins of the queries that SQL can express on whole tables."""
 
-from .quality import ALPHA, DELTA, GRID, STRATA
+from .quality import ALPHA, DELTA, GRID, STEPS, STRATA
 
 _WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
 _W = _WORDS.format(t="coalesce(text, '')")
 
-_VALUES = ", ".join(f"('{r}', {i}, cast({c} as double))" for r, cs in GRID.items() for i, c in enumerate(cs))
+_VALUES = ", ".join("(" + ", ".join(str(x) for x in (i, *[f"cast({cs[i]} as double)" for cs in GRID.values()])) + ")" for i in range(STEPS))
 _STRATA = ", ".join(f"'{s}'" for s in STRATA)
-_LEVEL = DELTA / (len(GRID) * (len(STRATA) + 1))
-_P = ALPHA / len(GRID)
 
 QUALITY = f"""
 with w as (select doc_id, lang, coalesce(text, '') as t, {_W} as ws from documents),
@@ -16,18 +14,19 @@ with w as (select doc_id, lang, coalesce(text, '') as t, {_W} as ws from documen
  d as (select doc_id, g from g group by 1, 2 having count(*) > 1),
  r as (select doc_id, count(distinct i + k) as n from (select g.doc_id, i, unnest(range(0, 5)) as k from g join d on g.doc_id = d.doc_id and g.g = d.g) group by 1),
  l as (select doc_id, count(*) as lines, count(*) - count(distinct line) as dups from (select doc_id, unnest(string_split(t, chr(10))) as line from w) where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by 1),
- m as (select w.doc_id, case when lang in ({_STRATA}) then lang else 'other' end as stratum, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars,
+ m as (select w.doc_id, t, case when lang in ({_STRATA}) then lang else 'other' end as stratum, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars,
    cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, coalesce(dups, 0) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words, coalesce(lines, 0) as lines from w left join r on w.doc_id = r.doc_id left join l on w.doc_id = l.doc_id),
  f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, n_symbols / greatest(word_chars, 1) as symbol_share, n_dup_lines / greatest(lines, 1) as dup_line_share,
    n_repeat_words / greatest(n_words, 1) as repeat_share, word_chars / greatest(n_words, 1) as word_length from m),
- v as (select doc_id, stratum, base_failed, unnest(['symbol_share', 'dup_line_share', 'repeat_share', 'word_length']) as rule, unnest([symbol_share, dup_line_share, repeat_share, word_length]) as value from f),
- good as (select doc_id from labels where doc_id is not null and quality is not null group by doc_id having min(quality) = 1 and coalesce(max(toxic), 0) = 0),
- grid as (select * from (values {_VALUES}) as x(rule, step, cutoff)),
- k as (select stratum, grid.rule, step, cutoff, count(*) as n, count(*) filter (where value > cutoff) as k from v join good on v.doc_id = good.doc_id join grid on v.rule = grid.rule where not base_failed group by 1, 2, 3, 4),
- p as (select stratum, rule, step, cutoff, case when k >= n * {_P} then 1 else (select sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_P}) + (n - j) * ln(1 - {_P}))) from unnest(range(0, k + 1)) as u(j)) end as p from k),
- b as (select stratum, rule, coalesce(min(case when p > {_LEVEL} then step end), 1000000) as bad from p group by 1, 2),
- c as (select p.stratum, p.rule, max_by(cutoff, step) as cutoff from p join b on p.stratum = b.stratum and p.rule = b.rule where step < bad group by 1, 2),
- x as (select distinct v.doc_id from v join c on v.stratum = c.stratum and v.rule = c.rule where value > cutoff)
+ grid as (select * from (values {_VALUES}) as x(step, c1, c2, c3, c4)),
+ one as (select doc_id, min(quality) as quality, max(toxic) as toxic from labels where doc_id is not null and quality is not null group by doc_id),
+ good as (select stratum, t, min(symbol_share) as m1, min(dup_line_share) as m2, min(repeat_share) as m3, min(word_length) as m4 from f join one on f.doc_id = one.doc_id where not base_failed group by stratum, t having min(quality) = 1 and coalesce(max(toxic), 0) = 0),
+ k as (select stratum, step, count(*) as n, count(*) filter (where m1 > c1 or m2 > c2 or m3 > c3 or m4 > c4) as k from good cross join grid group by 1, 2),
+ s as (select stratum, {DELTA} * count(*) / (select count(*) from f) as level from f group by 1),
+ p as (select k.stratum, step, level, case when k >= n * {ALPHA} then 1 else (select sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA}))) from unnest(range(0, k + 1)) as u(j)) end as p from k join s on k.stratum = s.stratum),
+ b as (select stratum, coalesce(min(case when p > level then step end), {STEPS}) as bad from p group by 1),
+ c as (select b.stratum, c1, c2, c3, c4 from b join grid on step = bad - 1),
+ x as (select distinct doc_id from f join c on f.stratum = c.stratum where symbol_share > c1 or dup_line_share > c2 or repeat_share > c3 or word_length > c4)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and doc_id not in (select doc_id from x) as kept from f"""
 
 SUBSTRINGS = f"""

@@ -1,16 +1,19 @@
 """Quality rules whose cutoffs carry a risk guarantee, in DataFrame functions only.
 
-Each rule rejects a text when a measure exceeds a cutoff. Labelled texts choose the cutoffs: for a
-stratum (a language) and a rule, cutoffs are tested from the mildest to the strictest, each against
-"the rule rejects more than ALPHA / rules of the good texts", by the exact binomial tail of the good
-texts that it would reject. A sequence stops at its first cutoff that fails (fixed-sequence testing)
-and has DELTA / (strata * rules) of the error to spend, so that with probability 1 - DELTA no stratum
-loses more than ALPHA of its good texts, all rules together.
+The rules reject a text together: each measure has a cutoff, and a text goes when any measure exceeds
+its own. Labelled texts choose how strict the cutoffs are. For a stratum (a language) the steps of GRID
+are tested from the mildest to the strictest, each against "at this step the rules reject more than
+ALPHA of the good texts", by the exact binomial tail of the good texts that it would reject. A sequence
+stops at its first step that fails (fixed-sequence testing), so that all its steps together spend the
+stratum's error once; DELTA is dealt to the strata by their documents, labelled or not (weighted
+Bonferroni correction). With probability 1 - DELTA no stratum loses more than ALPHA of its good texts.
+A trial is a distinct text: copies count once, good only if all their labels say so.
 
 Defined results: null and empty texts have no words and fail the base rule; a null or unlisted
 language belongs to the stratum "other"; a stratum without enough good labels rejects nothing beyond
 the base rule; repeated label rows count once (worst quality, worst toxicity), labels with nulls or
-without a document not at all; repeated documents are judged each.
+without a document not at all; repeated documents are judged each. The measures and the columns of
+this module replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -24,13 +27,14 @@ from . import core
 
 ALPHA, DELTA = 0.02, 0.05
 STRATA = ("de", "en", "es", "fr")
-#: Rule -> cutoffs from the mildest to the strictest; fixed before any label is seen.
+#: Rule -> cutoffs, one a step, from the mildest to the strictest; fixed before any label is seen.
 GRID = {
     "symbol_share": (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05),
-    "dup_line_share": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2),
-    "repeat_share": (0.2, 0.18, 0.16, 0.14, 0.12, 0.1, 0.08, 0.06, 0.05),
-    "word_length": (40.0, 30.0, 25.0, 20.0, 18.0, 16.0, 14.0, 12.0),
+    "dup_line_share": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2),
+    "repeat_share": (0.2, 0.19, 0.18, 0.16, 0.14, 0.12, 0.1, 0.08, 0.06, 0.05),
+    "word_length": (40.0, 30.0, 25.0, 22.0, 20.0, 18.0, 16.0, 14.0, 13.0, 12.0),
 }
+STEPS = 10
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -95,41 +99,42 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(n <= 0, 1.0).when(k >= n * p, 1.0).otherwise(F.least(F.lit(1.0), top * down))
 
 
+def strictness() -> Column:
+    """The mildest step at which some rule rejects the text; STEPS where none does."""
+    return F.least(*[reduce(lambda a, b: a + b, [(F.col(r) <= c).cast("int") for c in cs]) for r, cs in GRID.items()])
+
+
 def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """stratum, rule, cutoff (null: the rule rejects nothing there), good texts and rejected ones.
+    """stratum, cut (the strictest step that holds; null: nothing is rejected), n_good, n_rejected (good
+    texts at that step), level (the stratum's part of delta). One row a stratum with labels.
 
-    measured: features() with `stratum`. One shuffle of narrow rows by document; counts are summed
-    before they are sent, one row a stratum."""
+    measured: features() with stratum, step and text_hash. Shuffles are of narrow rows, by document and
+    by text; counts are summed before they are sent."""
     one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    good = measured.where(~F.col("base_failed")).join(one.where("quality = 1 and coalesce(toxic, 0) = 0"), "doc_id")
-    sums = [F.count(F.when(F.col(r) > c, 1)).alias(f"{r}_{i}") for r, cs in GRID.items() for i, c in enumerate(cs)]
-    counts = good.groupBy("stratum").agg(F.count("*").alias("n"), *sums)
-    long = counts.select(
-        "stratum",
-        "n",
-        F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}").alias("k")) for r, cs in GRID.items() for i, c in enumerate(cs)])).alias("x"),
-    ).select("stratum", "n", "x.*")
-    level = delta / (len(GRID) * (len(STRATA) + 1))
-    tested = long.withColumn("p_value", binomial_tail(F.col("k"), F.col("n"), alpha / len(GRID)))
-    failed = F.coalesce(F.min(F.when(F.col("p_value") > level, F.col("step"))), F.lit(1 << 20))
-    # passed: the steps before the first that failed; the last of them is the cutoff
-    first = tested.groupBy("stratum", "rule").agg(failed.alias("failed"), F.collect_list(F.struct("step", "cutoff", "k")).alias("steps"), F.max("n").alias("n_good"))
-    passed = F.array_max(F.filter("steps", lambda s: s["step"] < F.col("failed")))
-    return first.withColumn("_s", passed).select("stratum", "rule", F.col("_s.cutoff").alias("cutoff"), "n_good", F.col("_s.k").alias("n_rejected"))
-
-
-def judge(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """measured with `kept`. cutoffs has one row a stratum and rule, at most 5 x 4 rows, and so is sent to all."""
-    wide = cutoffs.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_cut_{r}") for r in GRID])
-    out = measured.join(F.broadcast(wide), "stratum", "left")
-    rejected = reduce(lambda a, b: a | b, [F.coalesce(F.col(r) > F.col(f"_cut_{r}"), F.lit(False)) for r in GRID])
-    return out.withColumn("kept", ~F.col("base_failed") & ~rejected).drop(*[f"_cut_{r}" for r in GRID])
+    texts = measured.where(~F.col("base_failed")).join(one, "doc_id").groupBy("stratum", "text_hash").agg(F.min("step").alias("step"), F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    good = texts.where("quality = 1 and coalesce(toxic, 0) = 0")
+    counts = good.groupBy("stratum").agg(F.count("*").alias("n_good"), F.array(*[F.count(F.when(F.col("step") <= i, 1)) for i in range(STEPS)]).alias("ks"))
+    whole = measured.agg(F.count("*").alias("all"))
+    shares = measured.groupBy("stratum").agg(F.count("*").alias("n")).join(F.broadcast(whole)).select("stratum", (delta * F.col("n") / F.col("all")).alias("level"))
+    tested = counts.join(F.broadcast(shares), "stratum").select("stratum", "n_good", "level", F.posexplode("ks").alias("at", "k"))
+    tested = tested.withColumn("p_value", binomial_tail(F.col("k"), F.col("n_good"), alpha))
+    # the steps before the first that failed hold; the last of them is the cut
+    failed = F.coalesce(F.min(F.when(F.col("p_value") > F.col("level"), F.col("at"))), F.lit(STEPS))
+    found = tested.groupBy("stratum").agg(failed.alias("failed"), F.max("n_good").alias("n_good"), F.max("level").alias("level"), F.collect_list(F.struct("at", "k")).alias("steps"))
+    last = F.array_max(F.filter("steps", lambda s: s["at"] < F.col("failed")))
+    return found.select("stratum", last["at"].alias("cut"), "n_good", last["k"].alias("n_rejected"), "level")
+
+
+def judge(measured: DataFrame, cuts: DataFrame) -> DataFrame:
+    """measured with `kept`. cuts has one row a stratum, at most 5, and so is sent to all."""
+    out = measured.join(F.broadcast(cuts.select("stratum", F.col("cut").alias("_cut"))), "stratum", "left")
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("step") <= F.col("_cut"), F.lit(False))).drop("_cut")
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """docs with measures, stratum and kept, and with the text only if keep_text. The measures are
+    """docs with measures, stratum, step and kept, and with the text only if keep_text. The measures are
     written once and read for the calibration and the verdict. (A filter on `kept` over unwritten
     measures would have the optimizer copy their expressions into it again and again.)"""
-    measured = features(docs, text).withColumn("stratum", stratum())
+    measured = features(docs, text).withColumns({"stratum": stratum(), "step": strictness(), "text_hash": F.xxhash64(text)})
     measured = core.cut(measured if keep_text else measured.drop(text), "measures")
     return judge(measured, core.cut(calibrate(measured, labels), "cutoffs"))

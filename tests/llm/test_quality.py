@@ -57,3 +57,29 @@ def test_cutoffs_hold_their_promise(spark):
     few = {r.doc_id: r for r in quality.verdicts(d, lab.limit(0)).collect()}
     assert all(r.kept != r.base_failed for r in few.values())
     assert quality.verdicts(d.limit(0), lab).count() == 0
+
+
+def test_acts_on_the_given_table(spark):
+    """Rows beyond the base rule go, few of them labelled good, and the verdict is the SQL twin's."""
+    t = {n: spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels")}
+    out = quality.verdicts(t["documents"], t["labels"]).select("doc_id", "stratum", "base_failed", "kept").collect()
+    gone = {r.doc_id for r in out if not r.kept and not r.base_failed}
+    assert len(gone) >= 20 and {r.stratum for r in out if r.doc_id in gone} == {"en"}
+    good = {r.doc_id for r in t["labels"].where("quality = 1 and toxic = 0").collect()}
+    assert len(gone & good) <= quality.ALPHA * len(good)
+
+
+def test_copies_are_one_trial(spark):
+    def cuts(n, copies):
+        docs = [(k * n + i, f"w{i} " * 4 + " ".join(f"x{i}y{j}" for j in range(20)), "en") for i in range(n) for k in range(copies)]
+        d = quality.features(spark.createDataFrame(docs, "doc_id int, text string, lang string"))
+        d = d.withColumns({"stratum": quality.stratum(), "step": quality.strictness(), "text_hash": F.xxhash64("text")})
+        labels = spark.createDataFrame([(r[0], 1, 0) for r in docs], "doc_id int, quality int, toxic int")
+        return quality.calibrate(d, labels).first()
+
+    assert cuts(40, 10).cut is None and cuts(40, 10).n_good == 40
+    assert cuts(400, 1).cut == quality.STEPS - 1
+
+
+def test_steps_are_ordered():
+    assert all(len(c) == quality.STEPS and sorted(c, reverse=True) == list(c) for c in quality.GRID.values())
