@@ -70,7 +70,7 @@ def drop_cut(df: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
-def most_frequent(counted: DataFrame, column: str, most: int) -> tuple[Column, int]:
+def most_frequent(counted: DataFrame, column: Column | str, most: int) -> tuple[Column, int]:
     """(rank, least): rows with rank >= least are the most frequent ones, at most `most` of them. Ranks
     are sixteenths of a doubling of the count, so that the driver sees a row a rank, a thousand at most."""
     rank = F.floor(F.log2(column) * 16)

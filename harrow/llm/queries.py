@@ -14,9 +14,9 @@ from .oracle import ORACLE_SQL as ORACLE_SQL
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import core, mixing
 
-    sized = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.size_of().alias("words"))
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.size_of().alias("words"), F.xxhash64("text").alias("text"))
     sized = core.cut(sized, "sizes")  # the texts are read once
-    return mixing.mix(sized, F.array("source"), F.col("words"), own=F.col("source")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mixing.mix_copies(sized, F.col("words"), F.col("text")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,15 +58,89 @@ def test_empty_and_clashing(spark):
 
 
 def test_route_overlapping():
-    patterns = {("a",): 100, ("b",): 10, ("a", "b"): 50}
-    flow = mixing.route(patterns, {"a": 60, "b": 90}, 2)
+    patterns = {("a",): [100, 100], ("b",): [10, 10], ("a", "b"): [50, 50]}
+    flow = mixing.route(patterns, {"a": 60, "b": 90})
     assert sum(f["a"] for f in flow.values() if "a" in f) == 60 and sum(f["b"] for f in flow.values() if "b" in f) == 90
-    # first passes only could give 160 words; 150 are wanted, and b reaches 90 only by repeating
-    assert sum(max(0, sum(flow[p].values()) - n) for p, n in patterns.items()) == 30
+    # first uses only could give 160 words; 150 are wanted, and b reaches 90 only by repeating
+    assert sum(max(0, sum(flow[p].values()) - c[0]) for p, c in patterns.items()) == 30
+
+
+def cost(patterns, flow):
+    return sum(sum(k * min(max(0, sum(flow[p].values()) - sum(c[:k])), c[k]) for k in range(len(c))) for p, c in patterns.items())
+
+
+def best(patterns, quotas, most):
+    """(words, -cost) of the best of all flows."""
+    arcs = [(p, s) for p in patterns for s in p]
+
+    def tries(i, flow, room):
+        if i == len(arcs):
+            yield sum(sum(f.values()) for f in flow.values()), -cost(patterns, flow)
+            return
+        p, s = arcs[i]
+        for x in range(min(most.get((p, s), 0), room[s], sum(patterns[p]) - sum(flow[p].values())) + 1):
+            yield from tries(i + 1, flow | {p: flow[p] | {s: x}}, room | {s: room[s] - x})
+
+    return max(tries(0, {p: dict.fromkeys(p, 0) for p in patterns}, quotas))
+
+
+def test_route_costs_least():
+    rng = random.Random(3)
+    for _ in range(150):
+        patterns = {p: [n := rng.randint(0, 3), n, rng.randint(0, 2)] for p in rng.sample([("a",), ("b",), ("a", "b"), ("b", "c"), ("a", "b", "c")], 3)}
+        quotas = {s: rng.randint(0, 4) for s in "abc"}
+        most = {(p, s): rng.randint(0, 4) for p in patterns for s in p}
+        flow = mixing.route(patterns, quotas, most)
+        for s in quotas:
+            assert sum(f.get(s, 0) for f in flow.values()) <= quotas[s]
+        assert all(0 <= x <= most[p, s] for p, f in flow.items() for s, x in f.items())
+        assert (sum(sum(f.values()) for f in flow.values()), -cost(patterns, flow)) == best(patterns, quotas, most), (patterns, quotas, most)
+
+
+def shared(seed=6, n=300):
+    """Texts that several sources hold, some of them several times."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        text = f"t{i} " * rng.randint(1, 40)
+        for s in rng.sample(["a", "b", "c", None], rng.choice([1, 1, 2, 3])) * rng.choice([1, 1, 1, 3]):
+            rows.append((len(rows), text, s))
+    return rows
+
+
+def test_sources_with_common_texts(spark):
+    rows = shared()
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix_copies(df, mixing.size_of(), F.xxhash64("text")).collect()
+    size, target = wanted(rows)
+    assert len(out) == len(rows)
+    for s in size:
+        mine = [r for r in out if r.source == s]
+        assert all(0 <= r.taken <= 2 * r["size"] and r.source_size == size[s] for r in mine)
+        assert abs(sum(r.taken for r in mine) - target[s]) <= 12
+    # texts repeat less than when each source picks by itself
+    alone = mixing.mix(df, F.array("source"), mixing.size_of(), own=F.col("source")).collect()
+
+    def repeats(rows):
+        used, once = {}, {}
+        for r in rows:
+            used[r.text], once[r.text] = used.get(r.text, 0) + r.taken, r["size"]
+        return sum(max(0, n - once[t]) for t, n in used.items())
+
+    assert repeats(out) < repeats(alone)
+
+
+def test_many_patterns(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 8)
+    rows = shared()
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix_copies(df, mixing.size_of(), F.xxhash64("text")).collect()
+    size, target = wanted(rows)
+    for s in size:
+        assert abs(sum(r.taken for r in out if r.source == s) - target[s]) <= 12
 
 
 def test_overlapping_documents(spark):
-    rows = [(i, "w " * (i % 7 + 1), ["a", "b"] if i % 3 == 0 else ["a"] if i % 3 == 1 else ["b", None]) for i in range(300)]
+    rows = [(i, "w " * (i % 7 + 1), ["a", "b"] if i % 3 == 0 else ["a"] if i % 3 == 1 else ["b", None] if i % 2 else [] if i % 5 else None) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, sources array<string>")
     out = mixing.mix(df, F.col("sources"), mixing.size_of(), share=1.0).collect()
     assert all(0 <= r.taken <= 2 * r["size"] for r in out)
