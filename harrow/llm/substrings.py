@@ -7,13 +7,19 @@ substrings get equal symbols but near their ends. For each symbol we keep the wo
 depends; every 50-word window picks the leftmost symbol of the highest level that depends on the
 window alone. Equal windows pick equal symbols, so a window whose symbol occurs in one document only
 cannot repeat. Shuffle 1 finds the symbols that documents share; shuffle 2 verifies the windows that
-picked them, by 96 bits of hash of the window's own words, and finds the smallest document of each.
-Both are pre-aggregated: what repeats within a task's chunk is settled there and sends one row on.
+picked them, by 95 bits of hash of the window's own words, and finds the smallest document of each.
+Both are pre-aggregated: what repeats within a task's chunk is settled there, a symbol or window sends
+one row a chunk with all its places, and one that several documents of a task have sends one a task.
 Documents that repeat a smaller one whole are found first, by 128 bits of hash, and take no part.
 
+Two things differ from recompression as published: names are hashes instead of numbers from a global
+dictionary, which needs no exchange a level; and runs are named in the first round only, since in
+later ones that would make symbols depend on more words than windows have.
+
 Defined results: null, empty and blank texts have no words; texts under 50 words lose nothing; a null
-doc_id keeps its text and takes nothing from others; a doc_id names one text, rows that repeat it
-with the same text get the same result; an empty table gives no rows. Other columns are left out.
+doc_id keeps its text and takes nothing from others; rows that repeat a doc_id with the same text get
+the same result, rows with other texts are judged each by their own words, and none against another
+row of its doc_id; an empty table gives no rows. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -31,6 +37,7 @@ WINDOW = 50
 #: Rounds of pair naming; a round with True names runs first. Later rounds depend on more words than a window has.
 ROUNDS = (True, False, False, False, False, False, False, False)
 FAR = 1 << 40
+ROW = ["key", "doc", "tag", "own"]
 _A, _B, _C = (core.mix(np.array([x], np.uint64)) | np.uint64(1) for x in (11, 22, 33))
 _K1, _K2 = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 
@@ -124,16 +131,49 @@ def _packed(doc: np.ndarray, value: np.ndarray) -> tuple[pa.Array, pa.Array]:
     return pa.array(doc[first]), pa.array([value[a:b].tobytes() for a, b in zip(first, last, strict=True)], pa.binary())
 
 
-def _rows(key, doc, tag, own: tuple[pa.Array, pa.Array]) -> Iterator[pa.RecordBatch]:
-    names = ["key", "doc", "tag", "own"]
-    if len(key):
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(tag), pa.nulls(len(key), pa.binary())], names)
-    if len(own[0]):  # goes with the others to the task that a hash of the document names
+def _settled(own: tuple[pa.Array, pa.Array]) -> Iterator[pa.RecordBatch]:
+    """Places that need no one else go with the other rows to the task that a hash of their document names."""
+    if len(own[0]):
         spread = core.mix(own[0].to_numpy().view(np.uint64)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(spread), own[0], pa.nulls(len(spread), pa.int64()), own[1]], names)
+        yield pa.RecordBatch.from_arrays([pa.array(spread), own[0], pa.nulls(len(spread), pa.int64()), own[1]], ROW)
+
+
+def _open(key: np.ndarray, doc: np.ndarray, tag: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each run [first, last) of one key and document: the first tag, and all tags where there are several."""
+    if len(first):
+        one = last - first == 1
+        own = pa.array([None if o else tag[a:b].tobytes() for o, a, b in zip(one.tolist(), first.tolist(), last.tolist(), strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(doc[first]), pa.array(tag[first]), own], ROW)
+
+
+class Known:
+    """Keys that several documents of this task have, with the smallest document that was sent: at most MOST of them."""
+
+    MOST = 1 << 20
+
+    def __init__(self):
+        self.key, self.check, self.doc = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def least(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The document sent for each key, or one above all."""
+        out = np.full(len(key), np.iinfo(np.int64).max)
+        if len(self.key):
+            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            same = (self.key[at] == key) & (self.check[at] == check)
+            out[same] = self.doc[at[same]]
+        return out
+
+    def add(self, key: np.ndarray, check: np.ndarray, doc: np.ndarray) -> None:
+        if len(key) and len(self.key) < self.MOST:
+            key, check, doc = (np.concatenate(x) for x in ((self.key, key), (self.check, check), (self.doc, doc)))
+            order = np.lexsort((doc, check, key))
+            key, check, doc = key[order], check[order], doc[order]
+            new = np.append(True, key[1:] != key[:-1])
+            self.key, self.check, self.doc = key[new], check[new], doc[new]
 
 
 def _shared_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = Known()
     for batch in batches:
         raw, at = core.text_bytes(batch.column(1))
         ids = batch.column(0).to_numpy()
@@ -144,11 +184,18 @@ def _shared_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             order = np.lexsort((doc, name))
             name, doc, tag = name[order], doc[order], tag[order]
             s, e = core.runs(name)
-            several = np.repeat(doc[s] != doc[e - 1] if len(s) else np.zeros(0, bool), e - s)
-            lead = np.zeros(len(name), bool)
-            lead[s] = True
-            # a symbol of several documents of this chunk is shared: only its first row goes on, for others to see
-            yield from _rows(name[lead | ~several], doc[lead | ~several], tag[lead | ~several], _packed(doc[several], tag[several]))
+            if not len(s):
+                continue
+            zero = np.zeros(len(s), np.int64)
+            sent = known.least(name[s], zero) < np.iinfo(np.int64).max
+            several = doc[s] != doc[e - 1]
+            # a symbol of several documents of this task is shared: one row goes on, for others to see
+            yield from _open(name, doc, tag, s[~several & ~sent], e[~several & ~sent])
+            lead = s[several & ~sent]
+            yield from _open(name, doc, tag, lead, lead + 1)
+            here = np.repeat(several | sent, e - s)
+            yield from _settled(_packed(doc[here], tag[here]))
+            known.add(name[lead], zero[: len(lead)], doc[lead])
 
 
 def _singles(doc: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
@@ -159,17 +206,22 @@ def _singles(doc: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
 
 
 def _held(batches: Iterator[pa.RecordBatch], choose) -> Iterator[pa.RecordBatch]:
-    """(doc, own) of the rows that choose(key, doc, tag) marks in whole groups of key."""
+    """(doc, own) of the settled rows, and of those that choose(key, doc, tag) marks in whole groups of key."""
     for t in core.key_groups(batches, "key"):
-        own = t.filter(t.column("own").is_valid())
-        if own.num_rows:
-            yield from own.select(["doc", "own"]).to_batches()
-        t = t.filter(t.column("own").is_null())
+        done = t.filter(t.column("tag").is_null())
+        if done.num_rows:
+            yield from done.select(["doc", "own"]).to_batches()
+        t = t.filter(t.column("tag").is_valid())
         key, doc, tag = (t.column(c).to_numpy() for c in ("key", "doc", "tag"))
         if len(key):
             order, chosen = choose(key, doc, tag)
-            if chosen.any():
-                yield _singles(doc[order][chosen], tag[order][chosen])
+            mine = np.zeros(len(key), bool)
+            mine[order[chosen]] = True
+            one = t.column("own").combine_chunks().is_null().to_numpy(zero_copy_only=False)
+            if (mine & one).any():
+                yield _singles(doc[mine & one], tag[mine & one])
+            if (mine & ~one).any():
+                yield from t.filter(pa.array(mine & ~one)).select(["doc", "own"]).to_batches()
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,6 +271,7 @@ def span_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of documents with the spans of starts to look at (doc_id, text, spans)."""
+    known = Known()
     for batch in batches:
         raw, at = core.text_bytes(batch.column(1))
         ids = batch.column(0).to_numpy()
@@ -237,27 +290,45 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(start):
                 continue
             key, check = span_hashes(words, start, start + WINDOW)
+            check = (check >> np.uint64(33)).astype(np.int64)
             local = np.searchsorted(begin, start, "right") - 1
-            doc = ids[first:last][local]
-            tag = (check >> np.uint64(33)).astype(np.int64) << 32 | (start - begin[local])
-            order, later = _not_first(key, doc, tag)
-            key, doc, tag = key[order], doc[order], tag[order]
-            # where this chunk has the window in a smaller document, the place is settled
-            yield from _rows(key[~later], doc[~later], tag[~later], _packed(doc[later], tag[later]))
+            doc, place = ids[first:last][local], start - begin[local]
+            order = np.lexsort((place, doc, check, key))
+            key, check, doc, tag = key[order], check[order], doc[order], check[order] << 32 | place[order]
+            new = np.append(True, (key[1:] != key[:-1]) | (check[1:] != check[:-1]))
+            s = np.flatnonzero(new)
+            e = np.append(s[1:], len(key))
+            sent = known.least(key[s], check[s])
+            # where this task has the window in a smaller document, the place is settled
+            later = doc > np.repeat(np.minimum(doc[s], sent), e - s)
+            yield from _settled(_packed(doc[later], tag[later]))
+            mine = doc[s] <= sent
+            end = s + np.add.reduceat((~later).astype(np.int64), s)
+            yield from _open(key, doc, tag, s[mine], end[mine])
+            hot = s[mine & (end < e)]
+            known.add(key[hot], check[hot], doc[hot])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, places, copy, mixed): a copy goes whole; places of a doc_id with several texts
+    count where this text has the window that they stand for."""
     for batch in batches:
         n_words, n_removed, kept = [], [], []
-        for text, places, copy in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+        for text, places, copy, mixed in zip(*(batch.column(i) for i in range(1, 5)), strict=True):
             words = (text.as_py() or "").encode().split()
             n_words.append(len(words))
             if copy.is_valid:
                 words = []
             elif places.is_valid:
-                start = np.concatenate([np.frombuffer(y.as_buffer(), np.int64) for y in places.values]) & 0xFFFFFFFF
+                tag = np.concatenate([np.frombuffer(y.as_buffer(), np.int64) for y in places.values])
+                start, check = tag & 0xFFFFFFFF, tag >> 32
+                fits = start + WINDOW <= len(words)
+                start, check = start[fits], check[fits]
+                if mixed.is_valid and len(start):
+                    raw, at = core.text_bytes(pa.array([text.as_py()]))
+                    own = span_hashes(core.word_hashes(raw, at)[0], start, start + WINDOW)[1]
+                    start = start[(own >> np.uint64(33)).astype(np.int64) == check]
                 gone = np.zeros(len(words) + 1, np.int64)
-                start = start[start + WINDOW <= len(words)]
                 np.add.at(gone, start, 1)
                 np.add.at(gone, start + WINDOW, -1)
                 stay = (np.cumsum(gone[:-1]) == 0).tolist()
@@ -279,7 +350,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # what repeats a smaller document whole goes whole, and has nothing to tell about others
     whole = core.cut(named.mapInArrow(_whole, "doc long, k1 long, k2 long"), "whole")
     firsts = core.cut(whole.groupBy("k1", "k2").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
-    copies = core.cut(whole.join(firsts, ["k1", "k2"]).where("doc > first").select(F.col("doc").alias("doc_id")).distinct().withColumn("copy", F.lit(1)), "copies")
+    several = whole.groupBy(F.col("doc").alias("doc_id")).agg(*[f(k).alias(f"{n}_{k}") for k in ("k1", "k2") for n, f in (("lo", F.min), ("hi", F.max))])
+    mixed = core.cut(several.where("lo_k1 != hi_k1 or lo_k2 != hi_k2").select("doc_id", F.lit(1).alias("mixed")), "mixed")
+    copies = whole.join(firsts, ["k1", "k2"]).where("doc > first").select(F.col("doc").alias("doc_id")).distinct()
+    copies = core.cut(copies.join(mixed, "doc_id", "left_anti").withColumn("copy", F.lit(1)), "copies")
     core.drop_cut(whole)
     core.drop_cut(firsts)
     rows = "key long, doc long, tag long, own binary"
@@ -289,8 +363,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     met = named.join(spans.hint("merge"), "doc_id").select("doc_id", "text", "spans")
     repeats = met.mapInArrow(_windows, rows).repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _held(it, _not_first), "doc long, own binary")
     places = repeats.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("own").alias("places"))
-    out = named.join(places.hint("merge"), "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", "places", "copy")
-    none = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("places"), F.lit(None).cast("int").alias("copy"))
+    out = named.join(places.hint("merge"), "doc_id", "left").join(copies, "doc_id", "left").join(mixed, "doc_id", "left").select("doc_id", "text", "places", "copy", "mixed")
+    none = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("places"), F.lit(None).cast("int").alias("copy"), F.lit(None).cast("int").alias("mixed"))
     return out.unionByName(none).mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string")
 
 

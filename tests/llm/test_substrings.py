@@ -78,3 +78,26 @@ def test_words_of_pieces():
     assert len(h) == len(w) and len(set(h.tolist())) == len(set(w)) and begin.tolist() == [0, len(w)]
     one = [core.word_hashes(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x.encode())]))[0][0] for x in w]
     assert one == h.tolist()
+
+
+def test_a_doc_id_with_several_texts(spark):
+    """Each row is judged by its own words; what occurs nowhere else stays."""
+    rng = random.Random(3)
+    a, b, c = ([f"{x}{rng.randint(0, 10**9)}" for _ in range(60)] for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (6, b[:55] + c), (7, c + a), (7, b), (9, c[5:])]
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in rows], "doc_id long, text string")
+    want = {(1, a[0]): a, (5, a[0]): [], (5, b[0]): b, (6, b[0]): c, (7, c[0]): [], (7, b[0]): [], (9, c[5]): []}
+    got = substrings.remove_repeats(df).collect()
+    assert sorted((r.doc_id, r.n_words - r.n_removed, r.kept) for r in got) == sorted((d, len(w), " ".join(w)) for (d, _), w in want.items())
+
+
+def test_one_row_a_key_and_chunk():
+    """A line that a text repeats very often, and a passage of all texts, send few rows."""
+    import pyarrow as pa
+
+    line, passage = "l " * 20000, " ".join(f"p{i}" for i in range(80))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([line, passage + " x", passage + " y"])], ["doc_id", "text"])
+    more = pa.RecordBatch.from_arrays([pa.array([4, 5]), pa.array([passage, line])], ["doc_id", "text"])
+    rows = pa.Table.from_batches(list(substrings._shared_symbols(iter([batch, more]))))
+    open_ = rows.filter(rows.column("tag").is_valid()).column("key").to_pylist()
+    assert len(open_) <= len(set(open_)) + 40 and len(open_) < 400
