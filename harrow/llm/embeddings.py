@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import core
 
-COSINE, BLOCK, SEED = 0.98, 512, 7
+COSINE, BLOCK, SEED = 0.98, 256, 7
 MISS, MORE_BITS, LEAST_BITS = 2e-4, 3, 8
 #: Vectors in one matrix product's rows; bounds what a task computes at once.
 ROWS = 512
@@ -100,25 +100,32 @@ def _compare(cosine: float, tables: int):
         v = np.frombuffer(b"".join(raw[i] for i in order), np.float64).reshape(len(order), -1)
         sigs = np.asarray(t.column("sigs").combine_chunks().flatten()).reshape(len(rep), tables)[order]
         rep, mult, side, tab = rep[order], mult[order], side[order], int(table[0])
-        norms = np.sqrt((v * v).sum(1))
+        # small numbers for the signatures of this cell, a row a table
+        codes = np.stack([np.unique(sigs[:, k], return_inverse=True)[1].astype(np.uint32) for k in range(tab + 1)])
+        norms, weight = np.sqrt((v * v).sum(1)), mult.astype(np.float64)
         cut = int(np.searchsorted(side, 1)) if side.any() else 0
         left, right = (np.arange(cut), np.arange(cut, len(rep))) if cut else (np.arange(len(rep)),) * 2
-        links = np.zeros(len(rep), np.int64)
+        links = np.zeros(len(rep))
         up = np.arange(len(rep))
         for s in range(0, len(left), ROWS):
             rows = left[s : s + ROWS]
-            cos = (v[rows] @ v[right].T) / np.outer(norms[rows], norms[right])
-            a, b = np.nonzero(cos >= cosine)
+            hit = (v[rows] @ v[right].T) / np.outer(norms[rows], norms[right]) >= cosine
+            if not cut:
+                hit &= rows[:, None] < right[None, :]
+            hit &= codes[tab][rows][:, None] == codes[tab][right][None, :]
+            for k in range(tab):  # counted there already
+                if not hit.any():
+                    break
+                hit &= codes[k][rows][:, None] != codes[k][right][None, :]
+            links[rows] += hit @ weight[right]
+            links[right] += weight[rows] @ hit
+            some = np.flatnonzero(hit.any(1))
+            up = core.hook(up, rows[some], right[hit[some].argmax(1)])
+            a, b = np.nonzero(hit)
             a, b = rows[a], right[b]
-            ok = a < b if not cut else np.ones(len(a), bool)
-            a, b = a[ok], b[ok]
-            same = sigs[a, tab] == sigs[b, tab]
-            if tab:
-                same &= ~(sigs[a, :tab] == sigs[b, :tab]).any(1)
-            a, b = a[same], b[same]
-            np.add.at(links, a, mult[b])
-            np.add.at(links, b, mult[a])
-            up = core.hook(up, a, b)
+            apart = up[a] != up[b]
+            up = core.hook(up, a[apart], b[apart])
+        links = links.astype(np.int64)
         at = np.flatnonzero(links)
         if len(at):
             low = {}
