@@ -65,9 +65,12 @@ def drop_cut(df: DataFrame) -> None:
     """Remove a table made by cut() that nothing will read again."""
     path = getattr(df, "_harrow_path", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+        drop_path(df.sparkSession, path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def most_frequent(counted: DataFrame, column: Column | str, most: int) -> tuple[Column, int]:

@@ -1,16 +1,20 @@
-"""WARC archives: writing captures with Spark's text writer, reading them back, and assembling the
-request, response (or revisit) and metadata records of a capture into one nested row.
+"""WARC archives: writing captures, reading them back, and assembling the request, response (or
+revisit) and metadata records of a capture into one nested row.
 
-Writing is in DataFrame functions: a record is one string, and the writer's line separator is the
-blank line that ends a record. Of captures with equal payloads the one with the smallest page_id is
-the response and the others revisit it. Reading hands each archive file to Python whole; a file holds
-at most FILE_RECORDS records. Records are joined through WARC-Concurrent-To and WARC-Refers-To.
+Records are strings made by DataFrame functions. Small batches of Python make each a gzip member of its
+own, as the format advises, so that a reader can seek to a record; members are joined to pieces of about
+PIECE_BYTES, and FILE_PIECES pieces to a file, which bounds files by bytes whatever the pages' sizes.
+(Spark's text writer puts a separator after each piece: the zero byte with which every piece ends.) Of
+captures with equal payloads the one with the smallest page_id is the response and the others revisit
+it. Reading hands each file to Python compressed and inflates it record by record. Records are joined
+through WARC-Concurrent-To and WARC-Refers-To.
 
 Defined results: null html is an empty payload; a null url gives no target; repeated rows are
 captures of their own (numbered, so that record ids stay unique): the first is the response, the
 others revisit it; rows with a null page_id are responses and are never referred to; an empty table
 gives archives without records and no captures. Records without a main record are dropped, a capture
-without request or metadata has null there. Extra columns are not archived.
+without request or metadata has null there. Extra columns are not archived. Archives of other writers
+may be plain, or gzip of any number of members; what is no WARC raises ValueError.
 """
 
 from __future__ import annotations
@@ -30,7 +34,10 @@ from . import core
 
 END = "\r\n"
 MIN_BYTES = 0
-FILE_RECORDS = 24_000
+#: Compressed bytes of a piece, and pieces of a file; a piece ends with the record that fills it.
+PIECE_BYTES, FILE_PIECES = 8 << 20, 16
+#: What is inflated at once.
+STEP_BYTES = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 RECORD = T.StructType(
@@ -72,8 +79,10 @@ def _record(kind: str, record_id: Column, block: Column, media: str, uri: Column
     return F.concat(F.concat_ws(END, F.lit("WARC/1.1"), *lines), F.lit(END + END), block)
 
 
-def write_captures(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, compression: str = "gzip") -> None:
-    """Archives of pages (page_id long, url, html) under path: three records a page."""
+def write_captures(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, zipped: bool = True) -> None:
+    """Archives of pages (page_id long, url, html) under path: three records a page. Plain archives
+    (zipped=False) are for small data; nothing bounds their files."""
+    spark = pages.sparkSession
     held = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     held = held.withColumn("key", F.unhex(F.sha2(F.encode("html", "UTF-8"), 256)))
     # rows without an id stay apart: their own content stands for it
@@ -96,44 +105,119 @@ def write_captures(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, comp
     fields = F.concat(F.lit("page: "), F.to_json(F.struct("page_id", "url")), F.lit(END))
     about = _record("metadata", F.col("metadata"), fields, "application/warc-fields", u, ("WARC-Concurrent-To", main))
     out = rows.select(F.explode(F.array(F.when(F.col("revisit"), again).otherwise(response), request, about)).alias("value"))
-    out.write.option("lineSep", END + END).option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    if zipped:
+        core.small_batches(spark)
+        most = PIECE_BYTES
+        pieces = out.mapInArrow(lambda batches: _pieces(batches, most), "value binary").select(F.col("value").cast("string"))
+        pieces.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", FILE_PIECES).text(path)
+    else:
+        out.write.option("lineSep", END + END).option("compression", "none").text(path)
     core.drop_cut(twins)
     core.drop_cut(firsts)
 
 
-def _members(data: bytes) -> bytes:
-    """The content of an archive file: gzip members one after another, or plain."""
+def _pieces(batches: Iterator[pa.RecordBatch], most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Records to joined gzip members, without the zero byte that the writer adds. A member ends with its
+    size's highest byte, zero below 16 MB; a larger one is followed by an empty member."""
+
+    def member(data: bytes) -> bytes:
+        z = zlib.compressobj(wbits=31)
+        return z.compress(data) + z.flush()
+
+    held, size = [], 0
+    for batch in batches:
+        for record in batch.column(0):
+            data = member(record.as_py().encode("utf-8", "surrogatepass") + b"\r\n\r\n")
+            if data[-1]:
+                data += member(b"")
+            held.append(data)
+            size += len(data)
+            if size >= most:
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
+                held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
+
+
+def inflated(data: bytes) -> Iterator[bytes]:
+    """The content of an archive file in steps: gzip members one after another, or plain."""
     if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data:
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
-        data = member.unused_data.lstrip(b"\0")
-    return b"".join(out)
+        yield data
+        return
+    view, at, member = memoryview(data), 0, zlib.decompressobj(31)
+    while at < len(view):
+        step = view[at : at + STEP_BYTES]
+        at += len(step)
+        yield member.decompress(step)
+        if member.eof:
+            at -= len(member.unused_data)
+            while at < len(view) and not view[at]:
+                at += 1
+            member = zlib.decompressobj(31)
+
+
+class Reader:
+    """Bytes that arrive in steps, taken from the front."""
+
+    def __init__(self, steps: Iterator[bytes]):
+        self.steps, self.held, self.at = steps, bytearray(), 0
+
+    def more(self) -> bool:
+        step = next(self.steps, None)
+        if step is None:
+            return False
+        if self.at > STEP_BYTES or self.at == len(self.held):
+            del self.held[: self.at]
+            self.at = 0
+        self.held += step
+        return True
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What comes before the next mark, which is passed; None where there is none."""
+        seen = 0
+        while (end := self.held.find(mark, self.at + max(0, seen - len(mark)))) < 0:
+            seen = len(self.held) - self.at
+            if not self.more():
+                return None
+        out, self.at = bytes(self.held[self.at : end]), end + len(mark)
+        return out
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) - self.at < n and self.more():
+            pass
+        out = bytes(self.held[self.at : self.at + n])
+        self.at += len(out)
+        return out
+
+    def skip_lines(self) -> bool:
+        """Past empty lines; whether anything is left."""
+        while True:
+            if len(self.held) - self.at < 2 and self.more():
+                continue
+            if self.held[self.at : self.at + 2] != b"\r\n":
+                return self.at < len(self.held)
+            self.at += 2
 
 
 def parse(data: bytes, payload: bool) -> Iterator[tuple]:
     """The records of one archive, in order, as rows of RECORD."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 2] == b"\r\n":
-            at += 2
-            continue
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
+    source = Reader(inflated(data))
+    while source.skip_lines():
+        head = source.until(b"\r\n\r\n")
+        lines = (head or b"").decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record begins at byte {at}")
+            raise ValueError("no record begins where one should")
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        begin = end + 4
-        at = begin + int(head["content-length"])
+        block = source.take(int(head["content-length"]))
+        if len(block) < int(head["content-length"]):
+            raise ValueError("an archive ends within a record")
         kind, fields, found, size, body = head.get("warc-type"), None, None, None, None
         if kind == "response":
-            http = data.find(b"\r\n\r\n", begin, at)
-            body = data[http + 4 : at] if http >= 0 else data[begin:at]
+            http = block.find(b"\r\n\r\n")
+            body = block[http + 4 :] if http >= 0 else block
             size, found = len(body), base64.b32encode(hashlib.sha1(body).digest()).decode()
         elif kind == "metadata":
-            fields = data[begin:at].decode("utf-8", "replace")
+            fields = block.decode("utf-8", "replace")
         digest = head.get("warc-payload-digest")
         yield (head.get("warc-record-id"), kind, head.get("warc-concurrent-to"), head.get("warc-refers-to"), head.get("warc-target-uri"), head.get("warc-date"), digest and digest.removeprefix("sha1:"), found, size, fields, body if payload else None)
 
@@ -145,8 +229,8 @@ def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                data, rows, held = _members(content.as_py()), [], 0
-                for row in parse(data, payload):
+                rows, held = [], 0
+                for row in parse(content.as_py(), payload):
                     rows.append(row)
                     held += len(row[-1] or b"")
                     if len(rows) >= 2000 or held > 16 << 20:
@@ -181,6 +265,8 @@ def digest_rows(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     records = core.cut(read_records(spark, path, payload=False), "records")
     page = F.from_json(F.regexp_extract("metadata.fields", r"page: (\{.*\})\r\n", 1), "page_id long, url string")
     captures = core.cut(assemble(records).select("capture", page["page_id"].alias("page_id"), F.col("main.type").alias("record_type"), F.col("main.refers_to").alias("refers"), F.col("main.digest").alias("digest"), F.col("main.found_digest").alias("found"), F.col("main.payload_bytes").alias("bytes")), "captures")
+    core.drop_cut(records)
+    core.drop_path(spark, path)
     # what a revisit refers to: many may refer to one response, and Spark may split them
     origin = captures.where("record_type = 'response'").select(F.col("capture").alias("refers"), F.col("page_id").alias("origin"), F.col("bytes").alias("origin_bytes"), F.col("found").alias("origin_found"))
     revisits = captures.where("record_type = 'revisit'").drop("bytes", "found").join(origin, "refers", "left")
