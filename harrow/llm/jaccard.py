@@ -156,9 +156,10 @@ def _prefixes(last: np.ndarray, blocks: np.ndarray):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _groups(batches: Iterator[pa.RecordBatch], block: int = GROUP_BLOCK) -> Iterator[pa.RecordBatch]:
     """(grp, cid, n) of the classes that share a cell and have a partner of a size near their own;
-    groups with the same members have the same grp, and leave a task once."""
+    groups with the same members have the same grp, and leave a task once. A group of more than `block`
+    classes, however it came to be so large, leaves as a grid: one group a pair of its blocks."""
     seen: set = set()
     for t in core.key_groups(batches, "cell"):
         cell, cid, n = (t.column(c).to_numpy() for c in ("cell", "cid", "n"))
@@ -176,6 +177,15 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if key not in seen:
                 seen.add(key)
                 keep[i] = True
+        for i in np.flatnonzero(keep & (size > block)):
+            keep[i] = False
+            a, b = first[i], first[i] + size[i]
+            k = -(-int(size[i]) // block)
+            home = (core.mix(cid[a:b].view(np.uint64)) % np.uint64(k)).astype(np.int64)
+            for away in range(k):
+                pair = np.minimum(home, away) * k + np.maximum(home, away) + 1
+                grp = core.mix(name[i] + pair.astype(np.uint64) * _C[0])
+                yield pa.RecordBatch.from_arrays([pa.array(grp.view(np.int64)), pa.array(cid[a:b]), pa.array(n[a:b])], ["grp", "cid", "n"])
         take = np.repeat(keep, size)
         if take.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[take].view(np.int64)), pa.array(cid[take]), pa.array(n[take])], ["grp", "cid", "n"])

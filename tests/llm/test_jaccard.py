@@ -80,3 +80,20 @@ def test_empty(spark):
     assert jaccard.near_duplicates(df).count() == 0
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert [tuple(r) for r in jaccard.near_duplicates(one).collect()] == [(1, 1, 1)]
+
+
+def test_a_large_group_leaves_as_a_grid():
+    """Every pair of classes of a group meets in some part of it, and no part is much larger than two blocks."""
+    import pyarrow as pa
+
+    n = 500
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * n), pa.array(list(range(n))), pa.array([60] * n)], ["cell", "cid", "n"])
+    parts = {}
+    for b in jaccard._groups(iter([batch]), block=100):
+        for g, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            parts.setdefault(g, set()).add(c)
+    assert len(parts) == 15 and max(map(len, parts.values())) <= 300
+    met = set()
+    for p in parts.values():
+        met |= {(a, b) for a in p for b in p if a < b}
+    assert len(met) == n * (n - 1) // 2
