@@ -26,7 +26,7 @@ def parse(value: Column, now: Column) -> Column:
     seconds = amount.try_cast("long") * F.coalesce(*[F.when(unit == u, F.lit(s)) for u, s in UNITS.items()])
     said = (unit != "") & low.rlike("ago|posted|old")
     ago = F.timestamp_seconds(F.unix_micros(now) / 1e6 - seconds)
-    bare = F.initcap(F.trim(F.regexp_replace(low, r"^(posted|published|date\s*posted|posted\s*on)\s*:?\s*", "")))
+    bare = F.initcap(F.trim(F.regexp_replace(low, r"^(posted\s*on|date\s*posted|posted|published)\s*:?\s*", "")))
     written = F.coalesce(*[F.try_to_timestamp(F.regexp_replace(F.upper(bare), "(?<=[A-Z])([A-Z]+)", "$1") if "T" in f or f[0] == "y" else bare, F.lit(f)) for f in FORMATS])
     day = 86400
     age = (F.unix_micros(now) - F.unix_micros(written)) / 1e6
@@ -48,3 +48,25 @@ def expired(stamp: Column, today: Column, age: int, offset: Column) -> Column:
     if age <= 0:
         return F.lit(False)
     return stamp.isNull() | (today > F.date_add(stamp, F.lit(age) + offset.cast("int")))
+
+
+#: Hours beyond the window at which a walk over newest-first pages may stop.
+MARGIN = 48
+
+
+def freshness_cutoff(now: Column, hours: int = HOURS, margin: int = MARGIN) -> Column:
+    """The oldest posting worth paging to."""
+    return now - F.make_dt_interval(hours=F.lit(hours + margin))
+
+
+def iso(moment: Column) -> Column:
+    """A timestamp as ISO 8601 in UTC, fractions only where there are any."""
+    some = F.unix_micros(moment) % 1_000_000 != 0
+    return F.concat(F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss"), F.when(some, F.date_format(moment, ".SSSSSS")).otherwise(""), F.lit("+00:00"))
+
+
+def parse_iso(value: Column) -> Column:
+    """A timestamp from ISO 8601 text, UTC where it names no zone; null for anything else."""
+    t = F.trim(value)
+    shape = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+    return F.when(t.rlike(shape), F.replace(t, F.lit(","), F.lit(".")).try_cast("timestamp"))

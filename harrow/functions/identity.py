@@ -57,3 +57,14 @@ def stagger(key: Column, window: int) -> Column:
 
 def duplicate_key(company: Column, title: Column, location: Column, url: Column) -> Column:
     return F.concat_ws("|", text.company_key(company), text.token(title), text.location_key(location), F.coalesce(urls.normalize(url), F.lit("")))
+
+
+def run_id(moment: Column) -> Column:
+    """A sortable name of a run: when it began, in UTC (the session's time zone is UTC)."""
+    return F.date_format(moment, "yyyyMMdd'T'HHmmss'Z'")
+
+
+def parse_run_id(name: Column) -> Column:
+    """When a run began, or null for what is no run's name."""
+    t = F.trim(name)
+    return F.when(t.rlike(r"^\d{8}T\d{6}Z$"), F.try_to_timestamp(t, F.lit("yyyyMMdd'T'HHmmss'Z'")))

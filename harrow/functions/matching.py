@@ -117,17 +117,21 @@ def location_match(location: Column, title: Column, remote: Column) -> Column:
 
 
 def fit(title: Column, description: Column, skills=SKILLS) -> Column:
-    """struct<score, matched, explanation>; half points round to even."""
+    """struct<score, matched, explanation>; half points round to even. Each skill is looked for once:
+    what follows reads the list of hits, as the argument of a lambda, instead of looking again."""
     text = F.lower(F.concat(F.trim(F.coalesce(title, F.lit(""))), F.lit("\n"), F.trim(description)))
-    hits = F.array_compact(F.array(*[F.when(text.rlike(one_of(ps)), F.lit(name)) for name, ps in skills.items()]))
-    names = F.array(*[F.lit(n) for n in skills])
-    missing = F.array_except(names, hits)
-    told = F.when(F.size(hits) == 0, "no configured skills mentioned").otherwise(
-        F.concat(F.lit("matched "), F.array_join(hits, ", "), F.when(F.size(missing) > 0, F.concat(F.lit("; no mention of "), F.array_join(F.slice(missing, 1, 4), ", "))).otherwise(""))
-    )
     none = F.coalesce(F.trim(description), F.lit("")) == ""
-    return F.struct(
-        F.when(~none, F.bround(100.0 * F.size(hits) / len(skills)).cast("int")).alias("score"),
-        F.when(none, F.array().cast("array<string>")).otherwise(hits).alias("matched"),
-        F.when(none, "no description available").otherwise(told).alias("explanation"),
-    )
+    found = F.array_compact(F.array(*[F.when(text.rlike(one_of(ps)), F.lit(name)) for name, ps in skills.items()]))
+    names = F.array(*[F.lit(n) for n in skills])
+
+    def told(hits: Column) -> Column:
+        missing = F.array_except(names, hits)
+        less = F.when(F.size(missing) > 0, F.concat(F.lit("; no mention of "), F.array_join(F.slice(missing, 1, 4), ", "))).otherwise("")
+        return F.struct(
+            F.bround(100.0 * F.size(hits) / len(skills)).cast("int").alias("score"),
+            hits.alias("matched"),
+            F.when(F.size(hits) == 0, "no configured skills mentioned").otherwise(F.concat(F.lit("matched "), F.array_join(hits, ", "), less)).alias("explanation"),
+        )
+
+    empty = F.struct(F.lit(None).cast("int").alias("score"), F.array().cast("array<string>").alias("matched"), F.lit("no description available").alias("explanation"))
+    return F.when(none, empty).otherwise(F.element_at(F.transform(F.array(found), told), 1))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import urls
+from . import text, urls
 
 # Parts of hosts and the provider that each means, the first match wins.
 HOSTS = (
@@ -83,17 +83,56 @@ NOT_BOARDS = ("/legal/", "/privacy", "/terms", "/cookie", "/extlib/", "/static/"
 
 def embedded(html: Column, provider: str) -> Column:
     """Distinct board addresses of a provider in a page's markup, in order, safe to fetch."""
-    from .text import any_of
-
     raw = F.regexp_extract_all(html, F.lit("(?i)" + EMBEDDED[provider]), F.lit(0))
     tidy = F.transform(raw, lambda u: F.regexp_replace(F.replace(u, F.lit("&amp;"), F.lit("&")), r"""["'),;>\\]+$""", ""))
-    fit = lambda u: ~F.lower(u).rlike(any_of(NOT_BOARDS)) & ~F.lower(urls.part(u, 3)).rlike("(?:" + any_of(ASSETS) + ")$") & urls.safe_to_fetch(u)
+    fit = lambda u: ~F.lower(u).rlike(text.any_of(NOT_BOARDS)) & ~F.lower(urls.part(u, 3)).rlike("(?:" + text.any_of(ASSETS) + ")$") & urls.safe_to_fetch(u)
     return F.array_distinct(F.filter(tidy, fit))
 
 
+def boards(html: Column) -> Column:
+    """array<struct<provider, url>>: the first board address of each provider, in the providers' order."""
+    found = F.array(*[F.struct(F.lit(p).alias("provider"), F.try_element_at(embedded(html, p), F.lit(1)).alias("url")) for p in EMBEDDED])
+    return F.filter(found, lambda b: b["url"].isNotNull())
+
+
 def resolve(redirect: Column, html: Column) -> Column:
     """struct<provider, url>: where a redirect leads, else the first board that the page embeds, else what its markup mentions."""
-    boards = [F.when(F.size(embedded(html, p)) > 0, F.struct(F.lit(p).alias("provider"), F.element_at(embedded(html, p), 1).alias("url"))) for p in EMBEDDED]
     moved = F.when(by_host(redirect).isNotNull(), F.struct(by_host(redirect).alias("provider"), redirect.alias("url")))
     told = F.struct(F.coalesce(by_markup(html), F.lit("unknown")).alias("provider"), redirect.alias("url"))
-    return F.coalesce(moved, *boards, told)
+    return F.coalesce(moved, F.try_element_at(boards(html), F.lit(1)), told)
+
+
+#: Providers with a direct collector.
+SUPPORTED = tuple(dict.fromkeys(p for _, p in HOSTS))
+
+
+def plan_route(ats_url: Column, live_url: Column, resolved: Column, browser: bool = True) -> Column:
+    """struct<url, source, provider, method, note>: the ATS address, else the live page. A supported
+    provider by its address, or by what the page resolved to (struct<provider, url>, may be null), goes
+    by API; else the browser does it, where there is one."""
+    said = lambda c: F.when(~text.is_blank(c), F.trim(c))
+    url = F.coalesce(said(ats_url), said(live_url))
+    source = F.when(said(ats_url).isNotNull() | said(live_url).isNull(), "ats_url").otherwise("live_jobs_url")
+    own = by_host(url)
+    direct = own.isin(*SUPPORTED)
+    led = ~F.coalesce(direct, F.lit(False)) & F.coalesce(resolved["provider"].isin(*SUPPORTED), F.lit(False))
+    none = url.isNull()
+    return F.struct(
+        F.when(led & ~none, F.coalesce(resolved["url"], url)).otherwise(url).alias("url"),
+        source.alias("source"),
+        F.when(none, "unknown").when(direct, own).when(led, resolved["provider"]).otherwise("unknown").alias("provider"),
+        F.when(none, "browser").when(direct | led, "api").otherwise("browser" if browser else "api").alias("method"),
+        F.when(none, "no URL").when(direct | led | F.lit(browser), F.lit(None).cast("string")).otherwise("no browser, no direct collector").alias("note"),
+    )
+
+
+def agreed_tenant(hits: DataFrame, by: str, url: str, seq: str) -> DataFrame:
+    """hits: addresses that a page asked for. Each page's provider (that of its first known address) and
+    that address, where all its addresses of the provider name one tenant and site; others are left out."""
+    known = hits.withColumn("_c", coordinates(F.col(url))).where("_c.provider is not null")
+    first = known.groupBy(by).agg(F.min_by(F.struct(F.col("_c.provider").alias("provider"), F.col(url).alias("url")), seq).alias("_f"))
+    same = known.join(first, by).where("_c.provider = _f.provider")
+    # null tenants and sites are values here
+    place = F.struct(F.coalesce("_c.tenant", F.lit("\0")), F.coalesce("_c.site", F.lit("\0")))
+    one = same.groupBy(by).agg(F.min(place).eqNullSafe(F.max(place)).alias("_one"), F.first("_f").alias("_f")).where("_one")
+    return one.select(by, "_f.provider", "_f.url")

@@ -100,6 +100,12 @@ def humanize(seconds: Column) -> Column:
     return F.when(s < 60, few).when(s < 3600, some).otherwise(F.format_string("%dh %02dm", F.floor(s / 3600), F.floor(s % 3600 / 60)))
 
 
+def age(moment: Column, now: Column) -> Column:
+    """12 minutes ago; empty without a moment, and just now for one ahead."""
+    seconds = (F.unix_micros(now) - F.unix_micros(moment)) / 1_000_000
+    return F.when(moment.isNull(), "").when(seconds < 0, "just now").otherwise(F.concat(humanize(F.floor(seconds)), F.lit(" ago")))
+
+
 # Link texts that are navigation, whole and in part.
 NAV = ("apply", "apply now", "view job", "details", "job details", "learn more", "read more", "next", "previous", "back", "search", "save job", "share", "sign in", "login", "home", "view all jobs", "see all jobs", "more", "all jobs", "browse jobs", "job search")
 NAV_PARTS = (

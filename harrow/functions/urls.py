@@ -102,3 +102,13 @@ def other_hosts(host: Column) -> Column:
     root = root_domain(F.concat(F.lit("https://"), host))
     rest = F.when(F.lower(F.split_part(host, F.lit("."), F.lit(1))).isin(*STRIPPABLE), F.regexp_replace(host, r"^[^.]*\.", ""))
     return F.filter(F.array_distinct(F.array_compact(F.array(rest, F.concat(F.lit("www."), root), root))), lambda h: (h != host) & (h != ""))
+
+
+def safe_link(url: Column) -> Column:
+    """A link that may stand in a page: http(s) or without a scheme, escaped; else empty."""
+    t = F.trim(F.coalesce(url, F.lit("")))
+    scheme = F.when(F.contains(t, F.lit(":")), F.lower(F.split_part(t, F.lit(":"), F.lit(1)))).otherwise("")
+    out = t
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.when(scheme.isin("", "http", "https"), out).otherwise("")

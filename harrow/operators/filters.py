@@ -20,6 +20,10 @@ def company_named(df: DataFrame, names: DataFrame) -> DataFrame:
     return df.withColumn("_n", F.lower(F.trim("company"))).join(names.select(F.lower(F.trim("company")).alias("_n")), "_n", "left_semi").drop("_n")
 
 
+def provider_is(plans: DataFrame, provider: str) -> DataFrame:
+    return plans.where(F.col("provider") == provider)
+
+
 def needs_detail(provider: Column, location: Column) -> Column:
     """A posting whose place is missing or only counted."""
     return (provider == "workday") & (F.coalesce(location, F.lit("")) == "") | (provider == "workday") & location.rlike(r"(?i)^\s*\d+\s+locations?\s*$")

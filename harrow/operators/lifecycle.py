@@ -103,3 +103,59 @@ def sync(state: DataFrame, current: DataFrame, allowed: DataFrame) -> DataFrame:
 def unannounced(rows: DataFrame, sent: DataFrame) -> DataFrame:
     """Rows whose (job_id, kind) was not sent yet."""
     return rows.join(sent.select("job_id", "kind").distinct(), ["job_id", "kind"], "left_anti")
+
+
+def with_history(jobs: DataFrame, state: DataFrame) -> DataFrame:
+    """jobs with first_seen of the store and is_new (the store did not know the id)."""
+    known = state.select("job_id", F.col("first_seen").alias("_seen"), F.lit(True).alias("_known"))
+    out = jobs.drop("first_seen", "is_new").join(known, "job_id", "left")
+    return out.withColumns({"first_seen": F.col("_seen"), "is_new": F.col("_known").isNull()}).drop("_seen", "_known")
+
+
+def stats(state: DataFrame) -> DataFrame:
+    """company, jobs of the store."""
+    return state.groupBy("company").agg(F.count("*").alias("jobs"))
+
+
+def company_ids(state: DataFrame, companies: DataFrame) -> DataFrame:
+    """company, job_id that the store holds of these companies."""
+    return state.join(companies.select("company").distinct(), "company", "left_semi").select("company", "job_id")
+
+
+def upsert_counts(batch: DataFrame, state: DataFrame) -> DataFrame:
+    """added, changed, unchanged of a batch's rows before it is upserted: repeated ids count each."""
+    rows = with_hash(batch.where("job_id != '' and job_url != ''"))
+    o = state.select("job_id", F.struct(*[c for c in state.columns if c != "job_id"]).alias("o"))
+    both = rows.select("job_id", F.struct(*rows.columns).alias("n")).join(o, "job_id", "left")
+    known = F.col("o").isNotNull()
+    moved = known & ~F.col("n.record_hash").eqNullSafe(F.col("o.record_hash")) & (F.size(changed_fields("n", "o")) > 0)
+    return both.agg(F.count_if(~known).alias("added"), F.count_if(moved).alias("changed"), F.count_if(known & ~moved).alias("unchanged"))
+
+
+def removed_counts(state: DataFrame, current: DataFrame, allowed: DataFrame) -> DataFrame:
+    """company, removed, missing of what sync() does: missing rows hold those that it removes."""
+    listed = state.join(allowed.select("company").distinct(), "company", "left_semi")
+    missing = listed.join(current.select("company", "job_id").distinct(), ["company", "job_id"], "left_anti")
+    return missing.groupBy("company").agg(F.count_if(F.col("misses") + 1 >= MISSES).alias("removed"), F.count("*").alias("missing"))
+
+
+def changed_since(state: DataFrame) -> DataFrame:
+    """Postings that carry a change mark."""
+    return state.where("changed_fields is not null").select("job_id", "company", "title", "location", "job_url", "changed_fields")
+
+
+def clear_marks(state: DataFrame) -> DataFrame:
+    """The store once its changes are reported; when they happened stays."""
+    return state.withColumn("changed_fields", F.lit(None).cast("array<string>"))
+
+
+def record_notified(sent: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
+    """sent (job_id, kind, sent_at) after a digest went out: pairs known already keep their time, rows
+    without an id are left out, and a pair that comes twice counts once."""
+    new = rows.where("job_id != ''").select("job_id", "kind").distinct()
+    return sent.unionByName(unannounced(new, sent).select("job_id", "kind", now.alias("sent_at")))
+
+
+def changed_matching(changed: DataFrame, exported: DataFrame) -> DataFrame:
+    """Changed postings that the export holds."""
+    return changed.join(exported.select("job_id").distinct(), "job_id", "left_semi")

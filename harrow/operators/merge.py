@@ -40,3 +40,32 @@ def replace_exact(table: DataFrame, repairs: DataFrame, key: str, column: str) -
     r = repairs.select(key, "dead", "repaired").dropDuplicates([key, "dead"])
     joined = table.join(r, (table[key] == r[key]) & (table[column] == r["dead"]), "left").drop(r[key])
     return joined.withColumn(column, F.coalesce("repaired", column)).drop("dead", "repaired")
+
+
+def union_results(*harvests: DataFrame) -> DataFrame:
+    """All companies' postings as one table; columns that one harvest lacks are null."""
+    out = harvests[0]
+    for h in harvests[1:]:
+        out = out.unionByName(h, allowMissingColumns=True)
+    return out
+
+
+def carried(failures: DataFrame, attempted: DataFrame) -> DataFrame:
+    """Failures of an earlier run whose companies this run did not visit."""
+    return failures.join(attempted.select("company").distinct(), "company", "left_anti").select(*failures.columns)
+
+
+def enrich(rows: DataFrame, details: DataFrame, wanted: Column, columns: tuple[str, ...] = ("location", "description", "date_posted"), key: str = "job_url") -> DataFrame:
+    """Details laid back onto the rows that wanted them: what the detail says wins, what it leaves null stays."""
+    d = details.groupBy(key).agg(*[F.max(c).alias(f"_{c}") for c in columns])
+    out = rows.join(d, key, "left")
+    return out.withColumns({c: F.when(wanted, F.coalesce(f"_{c}", c)).otherwise(F.col(c)) for c in columns}).select(*rows.columns)
+
+
+def verified_repair(results: DataFrame) -> DataFrame:
+    """source, raw_url, url of repaired addresses that served postings, and so may replace the dead ones.
+    One that a page led further away from is only taken where the dead one stood among the ATS addresses."""
+    there = F.coalesce(F.col("raw_url"), F.lit("")) != ""
+    ok = F.col("success") & F.col("was_repaired") & there & (F.coalesce(F.col("url"), F.lit("")) != "") & (F.col("url") != F.col("raw_url"))
+    superseded = F.coalesce(F.col("resolved_via_page"), F.lit(False)) & (F.col("source") == "live_jobs_url")
+    return results.where(F.coalesce(ok & ~superseded, F.lit(False)))

@@ -68,3 +68,26 @@ def walk(pages: DataFrame, source: str = "source", most: int = 8000) -> DataFram
     ended = F.col("reason").isin("exhausted", "reported_total_reached")
     stop_reason = F.when((F.col("reason") == "exhausted") & lacking, "total_shortfall").otherwise(F.col("reason"))
     return out.select(source, "pages", "offset", "collected", "total", stop_reason.alias("stop_reason"), (ended & ~lacking).alias("complete"), short.alias("shortfall"))
+
+
+#: Steps in a row that add nothing and so end a click log.
+BARREN = 2
+
+
+def clicks(log: DataFrame, source: str = "source", most: int = 1 << 30, budget: float | None = None) -> DataFrame:
+    """Walks by a browser that clicks for more. log: source, step (0: before the first click), rows
+    array<key>, seconds since the start. A walk ends with the second step in a row that adds no key
+    (exhausted), or at `most` clicks or `budget` seconds (not exhausted), or with its log (exhausted)."""
+    by = W.partitionBy(source).orderBy("step")
+    over = F.col("step") > most
+    if budget is not None:
+        over = over | (F.lag("seconds").over(by) >= budget)
+    flat = log.select(source, "step", F.explode("rows").alias("key")).where("key is not null and key != ''")
+    new = flat.groupBy(source, "key").agg(F.min("step").alias("step")).groupBy(source, "step").agg(F.count("*").alias("added"))
+    s = log.join(new, [source, "step"], "left").withColumn("added", F.coalesce("added", F.lit(0)))
+    bare = (F.col("added") == 0) & (F.col("step") > 0)
+    s = s.withColumns({"over": (F.col("step") > 0) & over, "bare": bare}).withColumn("ends", F.col("bare") & F.coalesce(F.lag("bare").over(by), F.lit(False)))
+    end = s.groupBy(source).agg(F.min(F.when(F.col("over"), F.col("step"))).alias("_cut"), F.min(F.when(F.col("ends"), F.col("step"))).alias("_end"))
+    cut = F.col("_cut").isNotNull() & (F.col("_end").isNull() | (F.col("_cut") <= F.col("_end")))
+    kept = s.join(end, source).where(~F.coalesce(cut & (F.col("step") >= F.col("_cut")), F.lit(False)) & ~F.coalesce(F.col("step") > F.col("_end"), F.lit(False)))
+    return kept.groupBy(source).agg(F.sum("added").alias("collected"), F.max("step").alias("clicks"), (~F.max(F.coalesce(cut, F.lit(False)))).alias("exhausted"))

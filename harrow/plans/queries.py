@@ -531,3 +531,7 @@ def page_links(spark, d):
     from ..sources import pages
 
     return pages.job_links(_t(spark, d, "pages"), ("/",)).groupBy("page_id").agg(F.count("*").alias("n_links"))
+
+
+from . import page_queries as page_queries  # noqa: E402  (they register themselves)
+from . import run_queries as run_queries  # noqa: E402

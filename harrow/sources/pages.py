@@ -6,6 +6,7 @@ column of pages (site, url, html) to rows, in Arrow batches, with no shuffle.
 
 from __future__ import annotations
 
+import bisect
 import html as h
 import json
 import re
@@ -22,8 +23,9 @@ TITLE_KEYS = ("title", "jobtitle", "job_title", "positiontitle", "postingtitle")
 URL_KEYS = ("url", "joburl", "job_url", "applyurl", "absolute_url", "hostedurl", "externalpath", "canonicalpositionurl")
 BLOCKED = ("access denied", "are you a robot", "captcha", "unusual traffic", "verify you are human", "request blocked", "just a moment", "checking your browser", "enable javascript and cookies", "attention required", "pardon our interruption", "forbidden")
 _SCRIPT = re.compile(r"""<script[^>]*type\s*=\s*["']?application/ld\+json[^>]*>(.*?)</script>""", re.I | re.S)
-_BLOB = re.compile(r"""(?:id\s*=\s*["']__NEXT_DATA__["'][^>]*>|window\.[A-Za-z_$][\w$.]*\s*=\s*)(?=\{)""")
-_ANCHOR = re.compile(r"""<a\s[^>]*?href\s*=\s*["']([^"']+)["'][^>]*>(.*?)</a>""", re.I | re.S)
+_BLOB = re.compile(r"""(?:id\s*=\s*["']__NEXT_DATA__["'][^>]*>|(?:window\.|phApp\.)[A-Za-z_$][\w$.]*\s*=\s*)(?=\{)""")
+_ANCHOR = re.compile(r"""<a\s[^>]*?href\s*=\s*["']([^"']+)["'][^>]*>""", re.I)
+_ANCHOR_END = re.compile(r"</a>", re.I)
 _TAGS = re.compile(r"<[^>]+>")
 
 
@@ -70,7 +72,8 @@ def address(node: dict) -> str | None:
 
 
 def payloads(page: str, most: int = 25, least: int = 200) -> Iterator[object]:
-    """JSON objects that scripts of a page hold for their framework."""
+    """JSON objects that scripts of a page hold for their framework: the first `most`, and of those not
+    marked as a framework's only such of `least` letters or more. What is beyond is dropped."""
     decoder = json.JSONDecoder()
     for n, m in enumerate(_BLOB.finditer(page)):
         if n >= most:
@@ -83,8 +86,9 @@ def payloads(page: str, most: int = 25, least: int = 200) -> Iterator[object]:
             yield value
 
 
-def job_shaped(value: object, most: int = 200_000) -> Iterator[tuple[str, str]]:
-    """(title, address) of nested dicts with both, each address once."""
+def job_nodes(value: object, most: int = 200_000) -> Iterator[tuple[str, str, dict]]:
+    """(title, address, object with lower-case keys) of nested objects with both, each address once. No
+    more than `most` values are looked at; larger payloads are no lists of postings."""
     seen: set[str] = set()
     todo, n = [value], 0
     while todo and n < most:
@@ -97,15 +101,29 @@ def job_shaped(value: object, most: int = 200_000) -> Iterator[tuple[str, str]]:
             link = next((low[k] for k in URL_KEYS if isinstance(low.get(k), str) and low[k].strip()), None)
             if title and link and link not in seen:
                 seen.add(link)
-                yield title.strip(), link.strip()
+                yield title.strip(), link.strip(), low
             todo += [x for x in v.values() if isinstance(x, (dict, list))][::-1]
 
 
+def job_shaped(value: object, most: int = 200_000) -> Iterator[tuple[str, str]]:
+    """(title, address) of job_nodes()."""
+    for title, link, _ in job_nodes(value, most):
+        yield title, link
+
+
 def links(page: str, base: str, hints=LINK_HINTS) -> Iterator[tuple[str, str]]:
     """(text, absolute address) of anchors whose address looks like a posting's, each once."""
     seen: set[str] = set()
+    ends = [m.start() for m in _ANCHOR_END.finditer(page)]
+    at = 0
     for m in _ANCHOR.finditer(page):
-        text = " ".join(h.unescape(_TAGS.sub(" ", m[2])).split())
+        if m.start() < at:  # within the link before
+            continue
+        k = bisect.bisect_left(ends, m.end())
+        if k == len(ends):
+            break
+        at = ends[k]
+        text = " ".join(h.unescape(_TAGS.sub(" ", page[m.end() : at])).split())
         href = h.unescape(m[1]).strip()
         if len(text) < 3 or href.lower().startswith(("javascript:", "mailto:", "tel:")) or (href.startswith("#") and "/" not in href):
             continue

@@ -33,3 +33,36 @@ def test_vendor_mappings(spark):
     assert [(x.title, x.location, x.date_text, x.job_url, x.employment_type, x.description, x.remote) for x in r] == [("Data Engineer", "Remote", "1787745600000", "https://l/1", "Full", "x", True)]
     df = spark.createDataFrame([("b", "https://w/site/", wd)], "company string, base string, body string")
     assert [(x.job_url, x.date_text) for x in vendors.records(df, "workday").collect()] == [("https://w/site/job/x_R1", "Posted Today")]
+
+
+def test_markup():
+    from harrow.sources import markup as M
+
+    assert M.visible("<p>a<span class='x sr-only'>no<b>no</b></span><!-- c --><script>x</script> b &amp; c</p>") == "a b & c" and M.visible(None) == ""
+    assert M.more("", 3) == (None, None) and M.more("<p>10 jobs</p>", 10) == (10, None)
+    assert M.more("<p>Showing 1 - 10 of 1,234, 2,000,000 jobs posted</p>", 10) == (1234, "stated total")
+    assert M.more("<a class=sr-only>Next</a><button aria-label='Next page'></button>", 50)[1] == "more button"
+    assert M.more("<a href=/x>View all jobs</a>", 31)[1] is None
+    assert M.careers_link("<a href='/careers'>x</a><a href=/b>Our careers</a><a href=/c>Jobs</a>", "https://a.com/") == "https://a.com/c"
+    assert M.object_after("m = {\"a\": {\"b\": 1}} ; {", r"m\s*=\s*") == '{"a": {"b": 1}}' and M.object_after("m = {", r"m\s*=\s*") is None
+    assert not M.is_careers_page("<a href='/jobs/1'>Engineer</a>") and M.is_careers_page("<a href='/jobs/1'>Engineer</a>" + " " * 2000)
+    pages.links("<a href='/jobs/1'>" * 20000, "https://a.com")  # unclosed anchors take linear time
+
+
+def test_vendor_fields(spark):
+    def one(provider, row, **more):
+        body = row if provider == "lever" else None
+        path = vendors.MAPPINGS[provider]["rows"]
+        body = [row] if path == "$" else {"jobs": [row], "opportunities": [row], "content": [row], "jobPostings": [row]}[path[2:]] if False else {path[2:]: [row]}
+        df = spark.createDataFrame([("c", "https://h", json.dumps(body), more.get("site"), more.get("corp"))], "company string, base string, body string, site string, corp string")
+        return vendors.records(df, provider).first()
+
+    r = one("smartrecruiters", {"name": "T", "ref": "https://r", "location": {"city": "Plano", "region": "TX", "country": "us", "remote": True}})
+    assert (r.location, r.remote) == ("Plano, TX, us", True)
+    assert one("ukg", {"Title": "T", "Url": "https://r", "Locations": [{"LocalizedDescription": "A"}, {"LocalizedDescription": "B"}]}).location == "A, B"
+    assert one("ukg", {"Title": "T", "Url": "https://r", "Locations": [{"Address": {"City": "Plano", "State": {"Code": "TX"}}}]}).location == "Plano, TX"
+    assert one("amazon", {"title": "T", "job_path": "/x", "city": "Plano", "state": "TX", "country_code": "US"}).location == "Plano, TX, US"
+    r = one("phenom", {"title": "T", "jobId": "9", "multi_location_array": [{"city": "A"}, "B"]})
+    assert (r.location, r.job_url) == ("A | B", "https://h/job/9")
+    assert one("workday", {"title": "T", "externalPath": "/job/x_R1", "bulletFields": ["R1", "Dallas"]}).location == "Dallas"
+    assert one("paylocity", {"jobTitle": "T", "id": 7}).job_url == "https://h/recruiting/jobs/Details/7"
