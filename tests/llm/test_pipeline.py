@@ -3,6 +3,7 @@
 import random
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
@@ -71,3 +72,19 @@ def test_run_on_nothing(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_other_columns_and_repeated_rows(spark, tmp_path):
+    """Columns of any name pass through all stages; a repeated row counts once among near-duplicates."""
+    text = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(1, text, "en", "a", 5, 7, True, 1.5, "s"), (1, text, "en", "a", 5, 7, True, 1.5, "s"), (2, text + " x", "en", "a", 5, 8, True, 1.5, "s"), (3, other, "en", "b", 5, 9, False, None, None), (3, text + " y", "en", "b", 5, 9, False, None, None)]
+    docs = spark.createDataFrame(rows, DOCS + ", size int, kept boolean, taken double, base string").withColumn("spans", F.lit("k")).withColumn("n_words", F.lit(3))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for k, (_, stage) in enumerate(P.STAGES[:-1]):
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and {(r.spans, r.n_words) for r in got.collect()} == {("k", 3)}
+        got.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if k == 1:
+            assert sorted((r.doc_id, r.text[0], r["size"], r.kept) for r in docs.collect()) == [(1, "w", 7, True), (3, "v", 9, False)]
