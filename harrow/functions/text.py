@@ -92,8 +92,8 @@ def clean_label(c: Column) -> Column:
 
 
 def humanize(seconds: Column) -> Column:
-    """45 seconds, 12 minutes, 1h 04m."""
-    s = seconds.cast("long")
+    """45 seconds, 12 minutes, 1h 04m; less than none is none."""
+    s = F.greatest(seconds.cast("long"), F.lit(0))
     few = F.concat(s.cast("string"), F.when(s == 1, " second").otherwise(" seconds"))
     m = F.floor(s / 60)
     some = F.concat(m.cast("string"), F.when(m == 1, " minute").otherwise(" minutes"))

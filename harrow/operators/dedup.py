@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -24,8 +23,8 @@ def two_passes(df: DataFrame, url_key: Column, job_id: Column, composite: Column
 
 
 def first_of_each(df: DataFrame, by: list[str], url: str, seq: str = "seq") -> DataFrame:
-    """The first row of each group and URL; rows without a URL are all kept."""
+    """The first row of each group and URL; rows without a URL are all kept. One aggregation with partial
+    sums, as keep_best()."""
     some = F.coalesce(F.trim(url), F.lit("")) != ""
-    nth = F.row_number().over(W.partitionBy(*by, url).orderBy(seq))
-    kept = df.where(some).withColumn("_n", nth).where("_n = 1").drop("_n")
-    return kept.unionByName(df.where(~some))
+    best = df.where(some).groupBy(*by, url).agg(F.min_by(F.struct(*df.columns), seq).alias("_row"))
+    return best.select(*[F.col(f"_row.`{c}`").alias(c) for c in df.columns]).unionByName(df.where(~some))

@@ -138,7 +138,7 @@ _NAMED = ['<a href="/z">Careers</a>', '<a href="/careers">z</a><a href="/q">our
 
 @query(
     """with p as (select page_id, page_id % 8 as s, page_id % 4 as c, case when page_id % 3 = 0 then 3 else 2000 end as rows, page_id % 5 = 0 as long, page_id % 5 = 1 as search from pages)
-    select page_id, case s when 5 then 1234 when 6 then 7 end as total, case s when 0 then 'next link' when 1 then 'pager' when 2 then 'more button' when 3 then 'page link' when 4 then case when rows = 3 then 'link to all' end when 5 then case when rows = 3 then 'stated total' end when 6 then case when rows = 3 then 'stated total' end end as more,
+    select page_id, cast(case s when 5 then 1234 when 6 then 7 end as bigint) as total, case s when 0 then 'next link' when 1 then 'pager' when 2 then 'more button' when 3 then 'page link' when 4 then case when rows = 3 then 'link to all' end when 5 then case when rows = 3 then 'stated total' end when 6 then case when rows = 3 then 'stated total' end end as more,
     case c when 0 then 'https://s.example/z' when 1 then 'https://s.example/q' end as careers_link, long as careers_page, case when c = 1 then '' else '' end as list_links from p"""
 )
 def page_signs(spark, d):
@@ -224,7 +224,7 @@ def written_dates(spark, d):
     return _t(spark, d, "events").select("event_id", dates.parse(text, F.lit(_NOW).cast("timestamp")).cast("timestamp_ntz").alias("parsed"))
 
 
-@query("select cast(l_suppkey as bigint) as source, least(100, ceil(count(*) / 20.0) * 20) as collected, case when count(*) > 80 then 'budget_exhausted' else 'exhausted' end as stop_reason from lineitem group by 1 having count(*) > 80")
+@query("select cast(l_suppkey as bigint) as source, cast(least(100, ceil(count(*) / 20.0) * 20) as bigint) as collected, case when count(*) > 80 then 'budget_exhausted' else 'exhausted' end as stop_reason from lineitem group by 1 having count(*) > 80")
 def walk_budget(spark, d):
     """Walks of suppliers with many lines, in pages of 20, under a budget of 90 rows."""
     from pyspark.sql import Window as W

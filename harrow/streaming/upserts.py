@@ -12,11 +12,13 @@ from ..operators import lifecycle
 from ..operators.store import Store
 
 
-def start(records: DataFrame, store: Store, checkpoint: str, time: str = "date_posted"):
-    """records: a streaming DataFrame with the columns that upsert() takes, and `seq`."""
+def start(records: DataFrame, store: Store, checkpoint: str, time: str | None = None):
+    """records: a streaming DataFrame with the columns that upsert() takes, and `seq`. A batch's moment, which
+    first_seen and last_seen take, is when it is processed, or the largest value of the column `time`."""
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        now = F.coalesce(F.lit(batch.agg(F.max(time)).first()[0]), F.current_timestamp())
+        told = batch.agg(F.max(time)).first()[0] if time else None
+        now = F.current_timestamp() if told is None else F.lit(told)
         out = lifecycle.upsert(store.read(), batch, now).drop("change")
         store.commit(out)
 

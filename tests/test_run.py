@@ -54,7 +54,7 @@ def test_stream_equals_batches(spark, tmp_path):
         rows = [(str(i), f"u{i}", "c", f"t{i * k % 3}", "x", T(2024, 1, 1 + k), i) for i in range(k, k + 3)]
         df = spark.createDataFrame(rows, schema)
         df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        upserts.start(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), store, f"file://{tmp_path}/cp").awaitTermination()
+        upserts.start(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), store, f"file://{tmp_path}/cp", time="date_posted").awaitTermination()
         batch.commit(lifecycle.upsert(batch.read(), df, F.lit(T(2024, 1, 1 + k))).drop("change"))
     assert sorted(map(str, store.read().collect())) == sorted(map(str, batch.read().collect()))
 
