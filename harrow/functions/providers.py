@@ -95,6 +95,14 @@ def boards(html: Column) -> Column:
     return F.filter(found, lambda b: b["url"].isNotNull())
 
 
+def candidates(html: Column) -> Column:
+    """Board addresses that a page reveals: of the provider that its markup mentions, where it mentions
+    one with boards, else of every provider, each once."""
+    told = by_markup(html)
+    mine = lambda b: told.isNull() | ~told.isin(*EMBEDDED) | (b["provider"] == told)
+    return F.array_distinct(F.transform(F.filter(boards(html), mine), lambda b: b["url"]))
+
+
 def resolve(redirect: Column, html: Column) -> Column:
     """struct<provider, url>: where a redirect leads, else the first board that the page embeds, else what its markup mentions."""
     moved = F.when(by_host(redirect).isNotNull(), F.struct(by_host(redirect).alias("provider"), redirect.alias("url")))

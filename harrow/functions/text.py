@@ -133,4 +133,4 @@ def place_of_bullets(bullets: Column, path: Column) -> Column:
     """The bullets that are no requisition id: not the id that the path ends with, nor shaped like one."""
     own = F.when(path.contains("_"), F.regexp_extract(path, "_([^_]*)$", 1)).otherwise("")
     stays = lambda b: (b != "") & ~((own != "") & (b.startswith(own) | own.startswith(b))) & ~b.rlike(r"^[A-Za-z]{0,6}[-_]?\d[\d\-_]*$")
-    return F.nullif(F.array_join(F.array_distinct(F.filter(F.transform(bullets, F.trim), stays)), ", "), F.lit(""))
+    return F.nullif(F.array_join(F.array_distinct(F.filter(F.transform(bullets, lambda b: F.trim(b)), stays)), ", "), F.lit(""))

@@ -535,3 +535,4 @@ def page_links(spark, d):
 
 from . import page_queries as page_queries  # noqa: E402  (they register themselves)
 from . import run_queries as run_queries  # noqa: E402
+from . import small_queries as small_queries  # noqa: E402

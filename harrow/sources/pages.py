@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Words that mark a posting's address, and keys that hold a title or an address.
+#: Words that mark a posting's address.
 LINK_HINTS = ("/job", "/jobs/", "/careers/", "/position", "/opening", "/vacanc", "/requisition", "jobid=", "gh_jid=", "/opportunit")
+# Keys that hold a title or an address, and what pages say that keep robots out.
 TITLE_KEYS = ("title", "jobtitle", "job_title", "positiontitle", "postingtitle")
 URL_KEYS = ("url", "joburl", "job_url", "applyurl", "absolute_url", "hostedurl", "externalpath", "canonicalpositionurl")
 BLOCKED = ("access denied", "are you a robot", "captcha", "unusual traffic", "verify you are human", "request blocked", "just a moment", "checking your browser", "enable javascript and cookies", "attention required", "pardon our interruption", "forbidden")
