@@ -8,11 +8,9 @@
 3. In a group, classes are the leaves of signature trees: nodes hold the OR of their token bitmaps
    and the range of sizes. A dual traversal drops node pairs whose largest possible overlap is too
    small; what is left are plausible links, of which a spanning forest leaves the task.
-4. Plausible links make clusters (connected components). A cluster's whole sets are dealt to cells,
-   each with the cluster's first set beside its own, and a second dual traversal with exact overlaps
-   finds the links in a cell. Where they hold a cluster of several cells together, all is said; the
-   others are dealt once more, as a grid in which all pairs of cells meet, and only pairs that are
-   not joined yet are compared.
+4. Plausible links make clusters (connected components). A cluster's whole sets meet once, and a
+   second dual traversal with exact overlaps finds the links that make the components. Clusters of
+   more than CELL_TOKENS shingles are dealt as a grid of blocks.
 No step loses a link between different texts, and no step emits the pairs of a group.
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and are their own
@@ -37,12 +35,8 @@ WORDS = 5
 COUNT_TOKENS, FREQUENT = 1_000_000, 16
 #: So many frequent shingles, the most frequent ones, are put last in the order; the choice changes the work, not the links.
 LAST = 65_536
-#: A frequent shingle on that list is dealt in parts of so many texts before its group forms.
-PART = 20_000
-#: Classes of a group that meet in one block of a grid.
-GROUP_BLOCK = 512
-#: Sets and shingles of a cluster that meet in one cell.
-CELL_SETS, CELL_TOKENS = 128, 3_000_000
+#: Classes of a group, and shingles of a cluster, that meet in one block of a grid.
+GROUP_BLOCK, CELL_TOKENS = 20_000, 3_000_000
 LEAF, FAN = 32, 8
 _C = core.mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -250,11 +244,10 @@ def dual(a: Tree, b: Tree, same: bool, found: Callable[[int, int, np.ndarray, np
         found(p * LEAF, q * LEAF, np.arange(p * LEAF, min(len(a.n), (p + 1) * LEAF)), np.arange(q * LEAF, min(len(b.n), (q + 1) * LEAF)))
 
 
-def plausible(bits: list[np.ndarray], n: np.ndarray, link: Callable[[int, int], bool], side: np.ndarray | None = None, forest: core.Forest | None = None) -> core.Forest:
+def plausible(bits: list[np.ndarray], n: np.ndarray, link: Callable[[int, int], bool], side: np.ndarray | None = None) -> core.Forest:
     """Dual traversal over sets with bitmaps of several widths; link(i, j) decides on a pair whose
-    bitmaps allow it, unless i and j are joined already (in the forest that is given, if one is). side:
-    only pairs of different sides count."""
-    forest = forest or core.Forest(len(n))
+    bitmaps allow it, unless i and j are joined already. side: only pairs of different sides count."""
+    forest = core.Forest(len(n))
     widths = np.array([len(x) for x in bits])
     tiers = np.unique(widths)
     order = {w: (at := np.flatnonzero(widths == w))[np.argsort(n[at], kind="stable")] for w in tiers}
@@ -317,15 +310,14 @@ def _plausible_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _true_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per cell (cell, side, split, joined, node, cid, text): a spanning forest of the links between sets that are
-    not joined yet (of one value of `joined`)."""
+    """Per cell (cell, side, split, node, cid, text): a spanning forest of the links."""
     for t in core.key_groups(batches, "cell"):
-        cell, node, cid, side, split, joined = (t.column(c).to_numpy() for c in ("cell", "node", "cid", "side", "split", "joined"))
+        cell, rep, cid, side, split = (t.column(c).to_numpy() for c in ("cell", "node", "cid", "side", "split"))
         found = list(sets(t.column("text").combine_chunks()))
         out = []
         for a, b in zip(*core.runs(cell), strict=True):
-            # a doc_id that is repeated may bring other texts, and a text several times
-            at = list({int(node[i]): i for i in range(a, b) if len(found[i]) and set_id(found[i]) == cid[i]}.values())
+            # a doc_id that is repeated may bring other texts
+            at = [i for i in range(a, b) if len(found[i]) and set_id(found[i]) == cid[i]]
             if len(at) > 1:
                 own = [found[i] for i in at]
 
@@ -334,40 +326,12 @@ def _true_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                     return bool(links(int((y[at] == x).sum()), len(x), len(y)))
 
-                forest = core.Forest(len(own))
-                first: dict[int, int] = {}
-                for k, i in enumerate(at):
-                    forest.join(first.setdefault(int(joined[i]), k), k)
-                before = [int(node[i]) for i in at], forest.roots()
-                plausible([bitmap(s) for s in own], np.array([len(s) for s in own]), link, side[at] if split[a] else None, forest)
-                out.append(_news(*before, forest))
+                sides = side[at] if split[a] else None
+                out.append(_edges(rep[at], plausible([bitmap(s) for s in own], np.array([len(s) for s in own]), link, sides)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in (0, 1)], ["a", "b"])
 
 
-def _news(ids: list[int], before: np.ndarray, forest: core.Forest) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join what was apart before."""
-    now = forest.roots()
-    at = np.flatnonzero((before == np.arange(len(ids))) & (now != np.arange(len(ids))))
-    ids = np.array(ids, np.int64)
-    return ids[at], ids[now[at]]
-
-
-def _cells(members: DataFrame, named: DataFrame, clusters: DataFrame, grid: bool) -> DataFrame:
-    """True links of members (node, rep, cid, cluster, joined) whose clusters (cluster, cells) are given: dealt to
-    cells with the cluster's first set in each, or as a grid of them."""
-    placed = members.join(clusters, "cluster").withColumn("home", F.pmod(F.xxhash64("cid"), F.col("cells")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("cells") - 1)
-    if grid:
-        placed = placed.withColumn("away", F.explode(every))
-    else:
-        placed = placed.withColumn("away", F.explode(F.when(F.col("node") == F.col("cluster"), every).otherwise(F.array("home")))).withColumn("home", F.col("away"))
-    cell = F.xxhash64("cluster", F.least("home", "away"), F.greatest("home", "away"))
-    placed = placed.select("node", "rep", "cid", "joined", cell.alias("cell"), (F.col("home") > F.col("away")).cast("int").alias("side"), (F.col("home") != F.col("away")).alias("split"))
-    whole = placed.join(named.withColumnRenamed("doc_id", "rep"), "rep").repartition("cell").sortWithinPartitions("cell")
-    return whole.select("cell", "side", "split", "joined", "node", "cid", "text").mapInArrow(_true_links, "a long, b long")
-
-
 def _keeping(cut: DataFrame, df: DataFrame) -> DataFrame:
     """df, which reads the table of cut and nothing else, with that table's place."""
     df._harrow_path = cut._harrow_path
@@ -389,7 +353,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     core.drop_cut(hits)
     last = np.array([r.token for r in hot], np.int64).view(np.uint64)
     by = np.argsort(last)
-    last, blocks = last[by], np.array([-(-r.hits // PART) for r in hot], np.int64)[by]
+    last, blocks = last[by], np.array([-(-r.hits // GROUP_BLOCK) for r in hot], np.int64)[by]
     cast = spark.sparkContext.broadcast((last, blocks))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,21 +381,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     clusters = core.connected_components(loose)
     core.drop_cut(loose)
     members = core.cut(classes.select("node", "rep", "cid", "n").join(clusters, "node").withColumnRenamed("component", "cluster"), "members")
-    sums = core.cut(members.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / CELL_TOKENS, F.count("*") / CELL_SETS)).cast("int").alias("cells")), "cells")
-    true = core.cut(_cells(members.withColumn("joined", F.col("node")), named, sums, False), "links")
-    comps = core.cut(core.connected_components(true), "components")
-    # clusters of several cells that are not held together yet
-    known = members.join(sums.where("cells > 1").select("cluster"), "cluster").join(comps, "node", "left").withColumn("joined", F.coalesce("component", "node")).drop("component")
-    open_ = core.cut(known.groupBy("cluster").agg(F.min("joined").alias("lo"), F.max("joined").alias("hi")).where("lo != hi").select("cluster"), "open")
-    if open_.head(1):
-        more = core.cut(_cells(known, named, sums.join(open_, "cluster"), True), "links")
-        both = core.cut(true.unionAll(more), "links")
-        core.drop_cut(comps)
-        comps = core.cut(core.connected_components(both), "components")
-        core.drop_cut(more)
-        core.drop_cut(both)
-    for old in (members, sums, open_, true):
-        core.drop_cut(old)
+    sums = core.cut(members.groupBy("cluster").agg(F.ceil(F.sum("n") / CELL_TOKENS).cast("int").alias("blocks")), "blocks")
+    placed = members.join(sums, "cluster").withColumn("home", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("away", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("node", "rep", "cid", F.xxhash64("cluster", F.least("home", "away"), F.greatest("home", "away")).alias("cell"), (F.col("home") > F.col("away")).cast("int").alias("side"), (F.col("home") != F.col("away")).alias("split"))
+    whole = placed.join(named.withColumnRenamed("doc_id", "rep"), "rep").repartition("cell").sortWithinPartitions("cell")
+    true = core.cut(whole.select("cell", "side", "split", "node", "cid", "text").mapInArrow(_true_links, "a long, b long"), "links")
+    core.drop_cut(members)
+    core.drop_cut(sums)
+    comps = core.connected_components(true)
+    core.drop_cut(true)
     if apart:
         least = comps.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
         comps = comps.join(least, "component").select("node", F.col("least").alias("component"))

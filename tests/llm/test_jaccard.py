@@ -69,8 +69,8 @@ def test_frequent_shingles_and_grids(spark, monkeypatch):
             w[rng.randrange(100)] = "x%d" % rng.randrange(10**6)
         rows.append((i, " ".join(w)))
     rows += [(1000 + i, t) for i, t in corpus(7) if i is not None]
-    monkeypatch.setattr(jaccard, "PART", 50)
-    monkeypatch.setattr(jaccard, "CELL_SETS", 20)
+    monkeypatch.setattr(jaccard, "GROUP_BLOCK", 50)
+    monkeypatch.setattr(jaccard, "CELL_TOKENS", 2000)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert got(df) == brute(rows)
 
@@ -100,8 +100,8 @@ def test_a_large_group_leaves_as_a_grid():
 
 
 def test_chains_across_cells(spark, monkeypatch):
-    """Clusters that their first set does not hold together, in cells of one or two sets; a doc_id with several texts."""
-    monkeypatch.setattr(jaccard, "CELL_SETS", 2)
+    """Clusters dealt to blocks of few sets each; a doc_id with several texts."""
+    monkeypatch.setattr(jaccard, "CELL_TOKENS", 200)
     rows, words = [], [f"w{i}" for i in range(400)]
     for c in range(4):
         for i in range(12):  # each links with its neighbours only
