@@ -2,7 +2,8 @@
 
 A word's adjacent pairs are the leaves of a segment tree that holds (rank, position); the root is
 the leftmost pair of lowest rank. A merge updates three leaves in logarithmic time, until the root
-says that nothing can merge. Words recur, so each worker keeps a bounded cache of encoded words.
+says that nothing can merge. Words recur, so each worker process keeps a bounded cache of encoded words,
+from task to task.
 
 Defined results: null and empty texts have no tokens (empty ids, empty decoded text); repeated rows
 are encoded each; all columns of the input stay, and `ids`, `decoded` replace columns of that name.
@@ -10,6 +11,7 @@ are encoded each; all columns of the input stay, and `ids`, `decoded` replace co
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import unicodedata
@@ -26,8 +28,9 @@ from . import core
 
 NONE = 1 << 62
 LOW = (1 << 32) - 1
-#: Words that a worker remembers; the cache starts anew when it is full.
-CACHE_WORDS = 300_000
+#: Words that a worker remembers in a generation. When one is full it becomes the old one, and words that
+#: were not met since the last time are forgotten.
+CACHE_WORDS = 200_000
 #: White space as the vocabulary's normalizer knows it.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -80,7 +83,11 @@ def merge(symbols: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) ->
         while k > 1:
             k >>= 1
             a, b = tree[2 * k], tree[2 * k + 1]
-            tree[k] = a if a < b else b
+            if b < a:
+                a = b
+            if tree[k] == a:  # and so are all above
+                return
+            tree[k] = a
 
     while tree[1] != NONE:
         i = tree[1] & LOW
@@ -108,6 +115,7 @@ class Codec(dict):
 
     def __init__(self, spec: dict):
         super().__init__()
+        self.old: dict[str, bytes] = {}
         vocab, suffix = spec["vocab"], spec["suffix"]
         self.pairs = {(vocab[a], vocab[b]): (rank << 32, vocab[a + b]) for rank, (a, b) in reversed(list(enumerate(spec["merges"]))) if a in vocab and b in vocab and a + b in vocab}
         letters = byte_letters()
@@ -118,11 +126,16 @@ class Codec(dict):
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
 
     def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        out = self.old.pop(word, None)
+        if out is not None:
+            self[word] = out
+            return out
         raw = word.encode()
         ids = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]
         out = array("I", merge([i for i in ids if i >= 0], self.pairs)).tobytes()
-        if len(self) >= CACHE_WORDS:
-            self.clear()
         self[word] = out
         return out
 
@@ -144,20 +157,29 @@ class Codec(dict):
         return " ".join(map(self.tokens.__getitem__, array("I", ids)))
 
 
+_CODECS: dict[str, Codec] = {}
+
+
+def codec_of(name: str, spec) -> Codec:
+    """This process's codec of the vocabulary with that digest, made once from the broadcast."""
+    if name not in _CODECS:
+        _CODECS.clear()
+        _CODECS[name] = Codec(spec.value)
+    return _CODECS[name]
+
+
 def transcode(docs: DataFrame, vocabulary: str, text: str = "text", decoded: bool = True) -> DataFrame:
     """docs with `ids` (binary, little-endian 32-bit numbers) and, unless decoded is false,
     `decoded`, the text that the ids stand for. One pass, no shuffle."""
     spark = docs.sparkSession
     core.small_batches(spark)
     spec = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
+    with open(vocabulary, "rb") as f:
+        name = hashlib.sha256(f.read()).hexdigest()
     docs = docs.drop("ids", "decoded")
     fields = [*docs.schema.fields, T.StructField("ids", T.BinaryType())] + [T.StructField("decoded", T.StringType())] * decoded
-    held: list[Codec] = []
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            held.append(Codec(spec.value))
-        codec = held[0]
+        codec = codec_of(name, spec)
         for batch in batches:
             ids = [codec.encode(t.as_py()) for t in batch.column(batch.schema.get_field_index(text))]
             more = [pa.array(ids, pa.binary())]
