@@ -64,4 +64,14 @@ with recursive v as (select vec_id, label, cast(embedding as double[]) as e from
  t as (select a, min(b) as component from r group by a), n as (select x, count(*) as n from e2 group by x)
 select vec_id, coalesce(n, 0) as n_links, coalesce(component, vec_id) as component_id, vec_id = coalesce(component, vec_id) as kept from v left join n on n.x = vec_id left join t on t.a = vec_id"""
 
-ORACLE_SQL = {"op2_quality": QUALITY, "op3_substrings": SUBSTRINGS, "op4_jaccard": JACCARD, "op5_warc": WARC, "op7_embeddings": EMBEDDINGS}
+#: Sources with sizes, caps, weights, and the rate at which weights fill up what the capped ones leave.
+SOURCES = r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as n from documents),
+ s as (select source, sum(n) as size, [3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight from d group by source),
+ c as (select *, 2 * size as cap, 2 * size / weight as ratio, 1.5 * sum(size) over () as share from s),
+ o as (select *, coalesce(sum(cap) over (order by ratio, source rows between unbounded preceding and 1 preceding), 0) as before, sum(weight) over (order by ratio, source rows between current row and unbounded following) as rest from c),
+ r as (select coalesce(min_by((share - before) / rest, (ratio, source)) filter (where (share - before) / rest <= ratio), 1e300) as rate from o)"""
+
+TARGETS = SOURCES + " select doc_id, n as size, cast(o.size as bigint) as source_size, cast(least(cap, rate * weight) as double) as target from d join o on d.source is not distinct from o.source cross join r"
+
+ORACLE_SQL = {"mix_targets": TARGETS, "op2_quality": QUALITY, "op3_substrings": SUBSTRINGS, "op4_jaccard": JACCARD, "op5_warc": WARC, "op7_embeddings": EMBEDDINGS}

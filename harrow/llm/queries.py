@@ -19,6 +19,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_copies(sized, F.col("words"), F.col("text")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1_mixing aims at: the columns of its result that SQL can express."""
+    return op1_mixing(spark, sf_dir).select("doc_id", "size", "source_size", "target")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -80,6 +85,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "mix_targets": mix_targets,
     "op2_quality": op2_quality,
     "op3_substrings": op3_substrings,
     "op4_jaccard": op4_jaccard,

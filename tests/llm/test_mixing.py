@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from harrow.llm import mixing
+from harrow.llm import mixing, oracle
 
 from .brute import words
 
@@ -145,3 +145,18 @@ def test_overlapping_documents(spark):
     out = mixing.mix(df, F.col("sources"), mixing.size_of(), share=1.0).collect()
     assert all(0 <= r.taken <= 2 * r["size"] for r in out)
     assert mixing.copies(mixing.mix(df, F.col("sources"), mixing.size_of())).columns == df.columns
+
+
+def test_sizes_and_targets_in_sql(spark):
+    """On the given table; SQL orders by bytes, as code points do in UTF-8."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create view documents as select * from read_parquet('/root/testdata/sf0.01/documents.parquet')")
+    want = {s: (n, t) for s, n, t in con.sql(oracle.SOURCES + " select source, size, least(cap, rate * weight) as target from o cross join r").fetchall()}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source", "text")
+    got = mixing.mix_copies(docs, mixing.size_of(), F.xxhash64("text")).groupBy("source").agg(F.max("source_size").alias("n"), F.max("target").alias("t"), F.sum("size").alias("m"), F.sum("taken").alias("taken")).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert r.n == r.m == want[r.source][0] and r.t == pytest.approx(want[r.source][1], rel=1e-9)
+        assert abs(r.taken - r.t) <= 0.001 * r.t + 40, r
