@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROKEN = "_broken"
+# The lines of a run's log that tell its progress, and how the end of a company begins.
+TOTAL_LINE = r"\bpipeline: Executing (\d+) companies\b"
+COMPANY_LINE = r"\bats\.router: (.+?) -> (\S.*?)\s*$"
+DONE = r"^\d+ jobs? retrieved\b"
 HINT = "entry_url string, json_endpoint string, verified_at string, jobs_last_seen long, consecutive_failures int, proven boolean, unsupported boolean, checked_at string"
 
 
@@ -87,14 +91,14 @@ def tail(lines: DataFrame, n: int, by: tuple[str, ...] = ("file",)) -> DataFrame
 def progress(lines: DataFrame, by: tuple[str, ...] = ("file",)) -> DataFrame:
     """How far each run is, from its log: total is the last announced one, started and finished count
     companies named after it, current is the last company named and provider where it was routed."""
-    total = F.regexp_extract("line", r"\bpipeline: Executing (\d+) companies\b", 1).try_cast("long")
-    company = F.trim(F.regexp_extract("line", r"\bats\.router: (.+?) -> (\S.*?)\s*$", 1))
-    detail = F.trim(F.regexp_extract("line", r"\bats\.router: (.+?) -> (\S.*?)\s*$", 2))
+    total = F.regexp_extract("line", TOTAL_LINE, 1).try_cast("long")
+    company = F.trim(F.regexp_extract("line", COMPANY_LINE, 1))
+    detail = F.trim(F.regexp_extract("line", COMPANY_LINE, 2))
     told = lines.select(*by, "line_no", total.alias("total"), F.nullif(company, F.lit("")).alias("company"), detail.alias("detail"))
     told = told.where("total is not null or company is not null")
     mark = told.groupBy(*by).agg(F.max(F.when(F.col("total").isNotNull(), F.col("line_no"))).alias("_mark"))
     named = told.join(mark, list(by)).withColumn("_after", F.col("company").isNotNull() & (F.col("line_no") > F.coalesce("_mark", F.lit(-1))))
-    done = F.col("detail").rlike(r"^\d+ jobs? retrieved\b")
+    done = F.col("detail").rlike(DONE)
     first = W.partitionBy(*by, "company")
     routed = F.min_by(F.col("detail"), F.when(F.col("_after") & ~done, F.col("line_no"))).over(first)
     named = named.withColumn("_routed", routed).withColumn("_provider", F.when(done, F.coalesce("_routed", F.lit(""))).otherwise(F.col("detail")))
