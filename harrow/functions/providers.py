@@ -27,11 +27,19 @@ BODIES = (
 )
 
 
+def _once(value: Column, make) -> Column:
+    """make(value), where value is worked out once however often make reads it."""
+    return F.element_at(F.transform(F.array(value), make), 1)
+
+
 def _first(hay: Column, needles) -> Column:
-    out = F.when(F.lit(False), F.lit(""))
-    for part, provider in needles:
-        out = out.when(F.contains(hay, F.lit(part)), provider)
-    return out
+    def told(h: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(""))
+        for part, provider in needles:
+            out = out.when(F.contains(h, F.lit(part)), provider)
+        return out
+
+    return _once(hay, told)
 
 
 def by_host(url: Column) -> Column:
@@ -46,17 +54,17 @@ def by_markup(html: Column, needles=BODIES) -> Column:
 def coordinates(url: Column) -> Column:
     """struct<provider, host, tenant, site>: the tenant is the host's first label, or the first path
     segment where all tenants share a host; a Workday site is the first segment that is no language."""
-    host = F.lower(urls.part(url, 2))
     segments = F.filter(F.split(urls.part(url, 3), "/"), lambda s: s != "")
-    provider = by_host(url)
-    shared = provider.isin("greenhouse", "lever", "ashby", "smartrecruiters", "jobvite")
-    site = F.try_element_at(F.filter(segments, lambda s: ~s.rlike("^[a-z]{2}(-[A-Za-z]{2})?$")), F.lit(1))
-    return F.struct(
-        provider.alias("provider"),
-        host.alias("host"),
-        F.when(shared, F.try_element_at(segments, F.lit(1))).when(provider.isNotNull(), F.split_part(host, F.lit("."), F.lit(1))).alias("tenant"),
-        F.when(provider == "workday", site).alias("site"),
-    )
+    parts = F.struct(by_host(url).alias("provider"), F.lower(urls.part(url, 2)).alias("host"), segments.alias("segments"))
+
+    def told(p: Column) -> Column:
+        provider, host, segments = p["provider"], p["host"], p["segments"]
+        shared = provider.isin("greenhouse", "lever", "ashby", "smartrecruiters", "jobvite")
+        site = F.try_element_at(F.filter(segments, lambda s: ~s.rlike("^[a-z]{2}(-[A-Za-z]{2})?$")), F.lit(1))
+        tenant = F.when(shared, F.try_element_at(segments, F.lit(1))).when(provider.isNotNull(), F.split_part(host, F.lit("."), F.lit(1)))
+        return F.struct(provider.alias("provider"), host.alias("host"), tenant.alias("tenant"), F.when(provider == "workday", site).alias("site"))
+
+    return _once(parts, told)
 
 
 # Addresses of job boards as pages embed them, and what is no board.
@@ -137,10 +145,9 @@ def plan_route(ats_url: Column, live_url: Column, resolved: Column, browser: boo
 def agreed_tenant(hits: DataFrame, by: str, url: str, seq: str) -> DataFrame:
     """hits: addresses that a page asked for. Each page's provider (that of its first known address) and
     that address, where all its addresses of the provider name one tenant and site; others are left out."""
-    known = hits.withColumn("_c", coordinates(F.col(url))).where("_c.provider is not null")
-    first = known.groupBy(by).agg(F.min_by(F.struct(F.col("_c.provider").alias("provider"), F.col(url).alias("url")), seq).alias("_f"))
-    same = known.join(first, by).where("_c.provider = _f.provider")
+    known = hits.select(by, url, seq, coordinates(F.col(url)).alias("_c")).where("_c.provider is not null")
     # null tenants and sites are values here
     place = F.struct(F.coalesce("_c.tenant", F.lit("\0")), F.coalesce("_c.site", F.lit("\0")))
-    one = same.groupBy(by).agg(F.min(place).eqNullSafe(F.max(place)).alias("_one"), F.first("_f").alias("_f")).where("_one")
-    return one.select(by, "_f.provider", "_f.url")
+    each = known.groupBy(by, F.col("_c.provider").alias("provider")).agg(F.min(F.struct(seq, url)).alias("_f"), F.min(place).eqNullSafe(F.max(place)).alias("_one"))
+    first = each.groupBy(by).agg(F.min_by(F.struct("provider", F.col(f"_f.{url}").alias("url"), "_one"), f"_f.{seq}").alias("_p"))
+    return first.where("_p._one").select(by, "_p.provider", "_p.url")
