@@ -205,22 +205,33 @@ def posting_ids(spark, d):
 
 
 _NOW = "2024-01-31 00:00:00"
-#: A written form of a date, as Spark's formats; None where it is made below.
-_FORMS = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "M/d/yy", "MMMM d, yyyy", "MMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "'Posted on: 'yyyy-MM-dd"]
+#: Written forms of a date, as Spark's formats: with seconds, to the minute, the day only, with offsets.
+_TO_SECOND = """yyyy-MM-dd'T'HH:mm:ss'Z'|yyyy-MM-dd'T'HH:mm:ss|yyyy-MM-dd HH:mm:ss|yyyy-MM-dd'T'HH:mm:ss'+0000'|yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'|yyyy-MM-dd HH:mm:ss'+00:00'|EEE, dd MMM yyyy HH:mm:ss 'GMT'
+MM/dd/yyyy hh:mm:ss a|EEE MMM dd HH:mm:ss yyyy|d MMMM yyyy HH:mm:ss|'Posted on: 'yyyy-MM-dd HH:mm:ss""".replace("\n", "|").split("|")
+_TO_MINUTE = "yyyy-MM-dd'T'HH:mm'Z'|yyyy-MM-dd HH:mm|MMM d, yyyy hh:mm a|MMMM d, yyyy 'at' h:mm a|MM/dd/yyyy HH:mm|d MMM yyyy, HH:mm|EEEE, MMMM d, yyyy h:mma".split("|")
+_TO_DAY = """yyyy-MM-dd|yyyy/MM/dd|MM/dd/yyyy|M/d/yy|MM-dd-yyyy|MMMM d, yyyy|MMM d, yyyy|MMM. d, yyyy|d MMM yyyy|d MMMM yyyy|dd-MMM-yyyy|d-MMMM-yy|EEEE, MMMM d, yyyy|EEEE d MMMM yyyy|MMMM d'th', yyyy|d'th of' MMMM yyyy|yyyy MMM dd
+MMM d|d MMMM|'Date posted: 'MMMM d, yyyy|'Published 'd MMM yyyy|'closing 'MMMM d, yyyy' for all'""".replace("\n", "|").split("|")
+_SHIFTED = {"yyyy-MM-dd'T'HH:mm:ss'+05:30'": -19800, "yyyy-MM-dd HH:mm:ss' -0700'": 25200, "EEE, d MMM yyyy HH:mm:ss' +0200'": -7200}
+_FORMS = [*_TO_SECOND, *_TO_MINUTE, *_TO_DAY, *_SHIFTED]
+_S, _M, _D = len(_TO_SECOND), len(_TO_SECOND) + len(_TO_MINUTE), len(_TO_SECOND) + len(_TO_MINUTE) + len(_TO_DAY)
+_N = len(_FORMS) + 7
+_SHIFTS = " ".join(f"when f = {_D + i} then t + interval ({x}) second" for i, x in enumerate(_SHIFTED.values()))
 
 
 @query(
-    f"""with e as (select event_id, date_trunc('second', ts) as t, date_trunc('day', ts) as day, event_id % 18 as f, (event_id // 18) % 9 + 1 as n from events)
-    select event_id, case when f < 3 then case when epoch(t) - epoch(timestamp '{_NOW}') <= 2 * 86400 then t end when f < 11 then case when epoch(day) - epoch(timestamp '{_NOW}') <= 2 * 86400 then day end
-    when f = 11 then timestamp '{_NOW}' - n * interval 1 hour when f = 12 then timestamp '{_NOW}' - n * interval 7 day when f = 13 then timestamp '{_NOW}' - n * interval 30 day when f = 14 then timestamp '{_NOW}' - interval 1 day when f = 15 then t end as parsed from e"""
+    f"""with e as (select event_id, date_trunc('second', ts) as t, event_id % {_N} as f, (event_id // {_N}) % 9 + 1 as n from events),
+    w as (select *, case when f < {_S} then t when f < {_M} then date_trunc('minute', t) when f < {_D} then date_trunc('day', t) {_SHIFTS} end as written from e)
+    select event_id, case when f < {len(_FORMS)} then case when epoch(written) - epoch(timestamp '{_NOW}') <= 2 * 86400 then written end
+    when f = {len(_FORMS)} then timestamp '{_NOW}' - n * interval 1 hour when f = {len(_FORMS) + 1} then timestamp '{_NOW}' - n * interval 7 day when f = {len(_FORMS) + 2} then timestamp '{_NOW}' - n * interval 30 day
+    when f = {len(_FORMS) + 3} then timestamp '{_NOW}' - interval 1 day when f = {len(_FORMS) + 4} then t end as parsed from w"""
 )
 def written_dates(spark, d):
-    """Dates in every written form, phrases, epochs, and texts that are no dates."""
-    k, t = F.col("event_id"), F.col("ts").cast("timestamp")
-    n = (F.floor(k / 18) % 9 + 1).cast("string")
+    """Dates in over 40 written forms, phrases, epochs, and texts that are no dates."""
+    k, t = F.col("event_id"), F.date_trunc("second", F.col("ts")).cast("timestamp")
+    n = (F.floor(k / _N) % 9 + 1).cast("string")
     said = [F.date_format(t, f) for f in _FORMS]
     said += [F.concat(n, F.lit(" hours ago")), F.concat(F.lit("Posted "), n, F.lit("+ Weeks Ago")), F.concat(n, F.lit(" months old")), F.lit("Posted Yesterday"), F.concat(F.unix_seconds(t).cast("string"), F.lit("000")), F.concat(F.lit("Suite "), n), F.concat(n, F.lit(" openings"))]
-    text = F.element_at(F.array(*said), (k % 18 + 1).cast("int"))
+    text = F.coalesce(*[F.when(k % _N == i, s) for i, s in enumerate(said)])
     return _t(spark, d, "events").select("event_id", dates.parse(text, F.lit(_NOW).cast("timestamp")).cast("timestamp_ntz").alias("parsed"))
 
 
