@@ -74,4 +74,20 @@ with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^
 
 TARGETS = SOURCES + " select doc_id, n as size, cast(o.size as bigint) as source_size, cast(least(cap, rate * weight) as double) as target from d join o on d.source is not distinct from o.source cross join r"
 
-ORACLE_SQL = {"mix_targets": TARGETS, "op2_quality": QUALITY, "op3_substrings": SUBSTRINGS, "op4_jaccard": JACCARD, "op5_warc": WARC, "op7_embeddings": EMBEDDINGS}
+PHRASES = r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+ w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+ t as (select lang, cast(sum(len(ws)) as bigint) as n from w group by lang),
+ g as (select lang, ws[i : i + m - 1] as g from (select lang, ws, m, unnest(range(1, len(ws) - m + 2)) as i from w cross join range(1, 5) as r(m))),
+ f as (select lang, p, len(any_value(g)) as m, any_value(g) as g, count(*) as n from (select *, array_to_string(g, ' ') as p from g) group by lang, p),
+ c as (select lang, p, g, m, n as a from f where m > 1 and n >= 30),
+ k as (select lang, p, a, k, array_to_string(g[1:k], ' ') as first, array_to_string(g[k + 1:], ' ') as rest from (select *, unnest(range(1, m)) as k from c)),
+ s as (select k.lang, k.p, a, k, x.n as l, y.n as r, cast(cast(2000000 as hugeint) * a // (x.n + y.n) as bigint) as score from k join f x on x.lang = k.lang and x.p = first join f y on y.lang = k.lang and y.p = rest),
+ low as (select lang, p, a, arg_min({'l': l, 'r': r, 'score': score}, {'score': score, 'k': k}) as m from s group by lang, p, a),
+ sub as (select lang, a, array_to_string(g[i : i + size - 1], ' ') as p from (select *, unnest(range(1, m - size + 2)) as i from (select *, unnest(range(2, m)) as size from c))),
+ gone as (select distinct f.lang, f.p from sub join f on f.lang = sub.lang and f.p = sub.p where cast(100 as hugeint) * sub.a >= cast(80 as hugeint) * f.n),
+ z as (select lang, p as phrase, a, m.l as l, m.r as r, m.score as score from low where not exists (select 1 from gone where gone.lang = low.lang and gone.p = low.p)),
+ o as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from z)
+select o.lang, rank, phrase, a, l, r, n, score from o join t on t.lang = o.lang where rank <= 2000"""
+
+ORACLE_SQL = {"mix_targets": TARGETS, "op2_quality": QUALITY, "op3_substrings": SUBSTRINGS, "op4_jaccard": JACCARD, "op5_warc": WARC, "op7_embeddings": EMBEDDINGS, "op11_phrases": PHRASES}
