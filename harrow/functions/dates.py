@@ -62,7 +62,7 @@ def _midnight(y: Column, m: Column, d: Column) -> Column:
 def _date(parts: Column, today: Column) -> Column:
     """Midnight of the date. Of two numbers that may be the month the first one is, unless it is over 12. A
     year of two digits is the one nearest to today; what is missing is today's (a day at most the month's last)."""
-    y, m, d = (parts[i].try_cast("int") for i in range(3))
+    y, m, d = (F.when(F.length(parts[i]).between(1, 2 if i else 4), parts[i].cast("int")) for i in range(3))  # a cast that fails is slow
     name = F.coalesce(*[F.when(F.substring(parts[1], 1, 3) == x[:3], F.lit(i + 1)) for i, x in enumerate(MONTHS)])
     now = F.year(today)
     near = F.pmod(y - now + 50, F.lit(100)) + now - 50
@@ -74,13 +74,13 @@ def _date(parts: Column, today: Column) -> Column:
 
 def _time(parts: Column) -> Column:
     """Microseconds since midnight in UTC; 0 without a time, null where it is none."""
-    number = lambda i: F.coalesce(parts[i].try_cast("long"), F.lit(0))
-    micros = F.substring(F.rpad(parts[3], 6, "0"), 1, 6).try_cast("long")
+    number = lambda i: F.when(parts[i] != "", parts[i].cast("long")).otherwise(0)
+    micros = F.substring(F.rpad(parts[3], 6, "0"), 1, 6).cast("long")
     offset = F.when(parts[5] == "-", -60).otherwise(60) * (60 * number(6) + number(7))
 
     def whole(h: Column) -> Column:
         hour = F.when((parts[4] == "p") & (h < 12), h + 12).when((parts[4] == "a") & (h == 12), 0).otherwise(h)
-        return F.when((h < 24) & (number(1) < 60) & (number(2) < 60), (3600 * hour + 60 * number(1) + number(2) - offset) * 1_000_000 + F.coalesce(micros, F.lit(0)))
+        return F.when((h < 24) & (number(1) < 60) & (number(2) < 60), (3600 * hour + 60 * number(1) + number(2) - offset) * 1_000_000 + micros)
 
     return F.when(parts.isNull(), 0).otherwise(_let(number(0), whole))
 
