@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 
 def merge_rows(previous: DataFrame, fresh: DataFrame, companies: DataFrame, key: str = "job_id") -> DataFrame:
     """companies: company, success, authoritative. An authoritative company's rows are replaced; a
-    successful one's are joined by id, fresh ones in place; others stay. Rows without id are kept.
-    `seq` orders the result: previous places first, then the fresh rows."""
+    successful one's fresh rows are joined by id; others stay. An id comes out of the fresh rows once: the
+    last of them (by seq) takes the place of the last previous row with that id, or else the place of the
+    first of them. Rows whose id is null or empty are all kept. `seq` orders the result: previous places
+    first, then the fresh rows."""
     told = companies.select("company", (F.col("success") & F.col("authoritative")).alias("_replace"), F.col("success").alias("_merge"))
-    p = previous.join(told, "company", "left").where("not coalesce(_replace, false)")
-    f = fresh.join(told.where("_merge"), "company").drop("_replace", "_merge")
-    # null ids find no partner
-    pk, fk = p.withColumn("_id", F.col(key)), f.withColumn("_id", F.col(key))
     cols = previous.columns
-    left = pk.select("company", "_id", F.struct(*cols).alias("p"), F.coalesce("_merge", F.lit(False)).alias("m"))
-    right = fk.select(F.col("company").alias("fc"), F.col("_id").alias("fi"), F.struct(*cols).alias("f"))
-    both = left.join(right, (F.col("company") == F.col("fc")) & (F.col("_id") == F.col("fi")) & F.col("m"), "full")
+    named = F.coalesce(F.col(key).cast("string"), F.lit("")) != ""
+    p = previous.join(told, "company", "left").where("not coalesce(_replace, false)").select(F.struct(*cols).alias("p"), F.when(named, F.col(key)).alias("pi"), F.col("seq").alias("ps"))
+    f = fresh.join(told.where("_merge"), "company").select(F.struct(*cols).alias("f"), F.when(named, F.col(key)).alias("fi"), F.col("seq").alias("fs"))
+    one = f.where("fi is not null").groupBy("fi").agg(F.max_by("f", "fs").alias("f"), F.min("fs").alias("first"))
+    last = p.where("pi is not null").groupBy(F.col("pi").alias("fi")).agg(F.max("ps").alias("last"))
+    one = one.join(last, "fi", "left").unionByName(f.where("fi is null").select("fi", "f", F.col("fs").alias("first"), F.lit(None).cast(p.schema["ps"].dataType).alias("last")))
+    both = p.join(one, (F.col("pi") == F.col("fi")) & (F.col("ps") == F.col("last")), "full")
     value = lambda c: F.when(F.col("f").isNotNull(), F.col(f"f.{c}")).otherwise(F.col(f"p.{c}"))
-    order = F.when(F.col("p").isNotNull(), F.struct(F.lit(0).alias("t"), F.col("p.seq").alias("s"))).otherwise(F.struct(F.lit(1).alias("t"), F.col("f.seq").alias("s")))
+    order = F.when(F.col("p").isNotNull(), F.struct(F.lit(0).alias("t"), F.col("ps").alias("s"))).otherwise(F.struct(F.lit(1).alias("t"), F.col("first").alias("s")))
     return both.select(*[value(c).alias(c) for c in cols], order.alias("place"))
 
 

@@ -371,15 +371,20 @@ def first_seen_lookup(spark, d):
 
 
 @query(
-    f"""with c as (select c_custkey as k, c_custkey % 4 <> 0 as success, c_custkey % 3 = 0 as auth from customer), p as (select * from orders where o_orderdate < timestamp '{_CUT}'), f as (select * from orders where o_orderdate >= timestamp '{_CUT}' or o_orderkey % 5 = 0)
-    select p.o_orderkey, p.o_custkey, case when f.o_orderkey is not null and coalesce(success, false) then 'fresh' else 'old' end as origin from p left join c on p.o_custkey = c.k left join f on p.o_orderkey = f.o_orderkey where not coalesce(success and auth, false)
-    union all select f.o_orderkey, f.o_custkey, 'fresh' from f join c on f.o_custkey = c.k where success and (auth or f.o_orderdate >= timestamp '{_CUT}')"""
+    f"""with c as (select c_custkey as k, c_custkey % 4 <> 0 as success, c_custkey % 3 = 0 as auth from customer),
+    p as (select *, max(seq) over (partition by id) as last from (select r.*, o_orderkey * 3 + n as seq, case when o_orderkey % 11 > 0 then o_orderkey end as id from (select * from orders where o_orderdate < timestamp '{_CUT}') r cross join range(3) as x(n) where n = 0 or o_orderkey % 7 = n) left join c on o_custkey = k where not coalesce(success and auth, false)),
+    f as (select *, row_number() over (partition by id order by seq desc) as nth, 'fresh' || (seq - o_orderkey * 3) as origin from (select r.*, o_orderkey * 3 + n as seq, case when o_orderkey % 11 > 0 then o_orderkey end as id from (select * from orders where o_orderdate >= timestamp '{_CUT}' or o_orderkey % 5 = 0) r cross join range(3) as x(n) where n = 0 or o_orderkey % 3 = n) join c on o_custkey = k where success)
+    select p.id as o_orderkey, p.o_custkey, coalesce(f.origin, 'old' || (p.seq - p.o_orderkey * 3)) as origin from p left join f on p.id = f.id and p.seq = p.last and f.nth = 1
+    union all select id, o_custkey, origin from f where id is null or nth = 1 and id not in (select id from p where id is not null)"""
 )
 def merge_jobs(spark, d):
-    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("company"), "o_orderdate", F.col("o_orderkey").alias("seq"))
+    """A retry into the last run, with ids that repeat on both sides, and rows without one."""
+    n, k = F.col("n"), F.col("o_orderkey")
+    o = _t(spark, d, "orders").withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    o = o.select(k, F.when(k % 11 > 0, k).alias("job_id"), F.col("o_custkey").alias("company"), "o_orderdate", (k * 3 + n).alias("seq"), "n")
     day = F.lit(_CUT).cast("timestamp_ntz")
-    p = o.where(F.col("o_orderdate") < day).withColumn("origin", F.lit("old"))
-    f = o.where((F.col("o_orderdate") >= day) | (F.col("job_id") % 5 == 0)).withColumn("origin", F.lit("fresh"))
+    p = o.where((F.col("o_orderdate") < day) & ((n == 0) | (k % 7 == n))).withColumn("origin", F.concat(F.lit("old"), n))
+    f = o.where(((F.col("o_orderdate") >= day) | (k % 5 == 0)) & ((n == 0) | (k % 3 == n))).withColumn("origin", F.concat(F.lit("fresh"), n))
     told = _t(spark, d, "customer").select(F.col("c_custkey").alias("company"), (F.col("c_custkey") % 4 != 0).alias("success"), (F.col("c_custkey") % 3 == 0).alias("authoritative"))
     out = merge.merge_rows(p, f, told)
     return out.select(F.col("job_id").alias("o_orderkey"), F.col("company").alias("o_custkey"), "origin")

@@ -1,3 +1,4 @@
+import random
 from pyspark.sql import functions as F
 
 from harrow.operators import dedup, lifecycle, merge, walk
@@ -53,6 +54,32 @@ def test_merge(spark):
     assert got(told(False, False)) == [("a1", "old"), ("a2", "old"), ("g9", "old")]
 
 
+def test_merge_leaves_one_row_an_id(spark):
+    """As a fold over the rows: the last previous place of an id takes the last fresh row of it."""
+    rng = random.Random(8)
+    schema = "job_id string, company string, seq long, run string"
+    for _ in range(3):
+        make = lambda run, n: [(rng.choice([None, "", *"abcdefg"]), rng.choice("xyz"), i, f"{run}{i}") for i in range(n)]
+        prev, fresh, told = make("old", 14), make("new", 10), {"x": (True, True), "y": (True, False), "z": (False, False)}
+        want, at = [], {}
+        for job, company, _, run in prev:
+            if told[company] != (True, True):
+                if job:
+                    at[job] = len(want)
+                want.append((job, company, run))
+        for job, company, _, run in fresh:
+            if told[company][0]:
+                if job in at:
+                    want[at[job]] = job, company, run
+                else:
+                    if job:
+                        at[job] = len(want)
+                    want.append((job, company, run))
+        df = spark.createDataFrame([(c, *v) for c, v in told.items()], "company string, success boolean, authoritative boolean")
+        out = merge.merge_rows(spark.createDataFrame(prev, schema), spark.createDataFrame(fresh, schema), df)
+        assert [(r.job_id, r.company, r.run) for r in out.orderBy("place").collect()] == want
+
+
 def test_walk(spark):
     pages = [("t", k, list(range(20 * k, min(95, 20 * k + 20))), 95, False) for k in range(5)]
     pages += [("n", k, list(range(20 * k, min(50, 20 * k + 20))), None, False) for k in range(3)]
