@@ -3,8 +3,9 @@
 The rules find e-mail addresses, IPv4 addresses, card numbers and phone numbers. The field reads the
 words around anything with digits, @, = or spelled-out addresses. Its segments are up to MOST_WORDS
 words long; a segment's features describe it whole (shape, digits, checksums, ends, the word before),
-and dynamic programming over segments chooses boundaries and kinds together. Rule spans stay; of the
-field's segments those are added that touch none of them. It knows one kind more: secret.
+and dynamic programming over segments chooses boundaries and kinds together. Some features forbid a kind: a
+segment that fails the checksum or the bounds of a card is none, whatever the words around it say. Rule
+spans stay; of the field's segments those are added that touch none of them. It knows one kind more: secret.
 
 The field is trained when first needed, on sentences that a seeded generator makes (TRAIN_SENTENCES
 of them), in a few seconds on the driver; its few hundred weights go to the workers.
@@ -49,6 +50,11 @@ _SAID_DOT = re.compile(rf" [\[(]?(?:{_DOT})[\])]? ")
 _SAID_WHOLE = re.compile(rf"[\w.-]+ [\[(]?(?:{_AT})[\])]? [\w-]+(?: [\[(]?(?:{_DOT})[\])]? [a-z]{{2,12}})+")
 #: English, as in `at this point in time`, unless an address ends so.
 _AT_THIS_POINT = re.compile(r"(?:^| )at [\w-]+ point (?!(?:com|net|org|info|edu|fr|ch|eu|lu)$)")
+#: How a said address ends, and what is no host before that: `at the dot at noon` is none.
+_SAID_END = re.compile(rf"(?:{_AT})[\])]? (?!(?:the|a|an|this|that|his|her|its|our|your|my|one|some|any) )[\w-]+(?: [\[(]?(?:{_DOT})[\])]? [\w-]+)* [\[(]?(?:{_DOT})[\])]? (?:com|net|org|edu|gov|info|biz|test|example|io|dev|app|eu|de|fr|es|uk|ch|nl|pl|ca|au|jp|cn|br|mx|se|dk|fi|lu|us|ru)$")
+_PHONE_FORM = re.compile(r"[+(0]|[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}$")
+_UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+_HEX = re.compile(r"(?:0x)?(?:[0-9a-f]+|[0-9A-F]+)")
 _KEY = re.compile("pass|pwd|token|secret|key|api")
 _TOKEN = re.compile(r"[A-Za-z0-9_+/=-]+")
 #: A signed web token names what it is, as an assignment does.
@@ -98,7 +104,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # ---------------------------------------------------------------- the field
 
-_HINTS = {"mail": "mail", "email": "mail", "tel": "tel", "phone": "tel", "call": "tel", "telefon": "tel", "mobil": "tel", "card": "card", "visa": "card", "password": "key", "token": "key", "key": "key", "secret": "key", "ip": "ip", "host": "ip", "version": "version", "seite": "page", "page": "page", "license,": "version"}
+_HINTS = {"mail": "mail", "email": "mail", "tel": "tel", "phone": "tel", "call": "tel", "telefon": "tel", "mobil": "tel", "card": "card", "visa": "card", "password": "key", "token": "key", "key": "key", "secret": "key", "ip": "ip", "host": "ip", "version": "version", "seite": "page", "page": "page", "license,": "version", "isbn": "code", "serial": "code", "order": "code", "iban": "code", "invoice": "code", "id": "code", "ref": "code", "sku": "code", "sha": "hash", "md5": "hash", "sha256": "hash", "commit": "hash", "checksum": "hash"}
 
 
 def trim(word: str) -> tuple[int, int]:
@@ -120,7 +126,8 @@ def describe(words: list[str], i: int, j: int) -> list[str]:
     letters = sum(c.isalpha() for c in text)
     n, d = len(text), len(digits)
     low = text.lower()
-    before = _HINTS.get(words[i - 1].lower().strip(":.,"), "-") if i else "^"
+    told = i - 2 if i > 1 and words[i - 1] in ("=", ":", "=>") else i - 1
+    before = _HINTS.get(words[told].lower().strip(":.,"), "-") if i else "^"
     shape = "d" if d == n and n else "p" if letters == 0 else "l" if d == 0 else "m"
     out = [f"words{j - i}", f"shape{shape}", f"shape{shape}words{j - i}", f"before-{before}", f"before-{before}{shape}", f"digits{min(d, 20) if shape != 'l' else 'x'}", f"length{min(n // 4, 12)}"]
     if shape in "dp":
@@ -156,17 +163,37 @@ def describe(words: list[str], i: int, j: int) -> list[str]:
                 out.append("hex-key")
         if re.match(r"https?:|www\.", low):
             out.append("link")
+    out += [f"no-{k}" for k in forbidden(text, low, digits, before, out)]
+    if i and words[i - 1][-1].isdigit() and text[:1] not in ("+", "(") and "no-phone" not in out:
+        out.append("no-phone")  # the rest of a longer number
     if words[i] != words[i].lstrip("\"'«»<[{,;:!?") or (j - i > 1 and any(w[-1] in ",;:!?" for w in words[i : j - 1])):
         out.append("crosses-mark")
     return out
 
 
+def forbidden(text: str, low: str, digits: str, before: str, out: list[str]) -> Iterator[str]:
+    """Kinds that a segment cannot be, by what it is as a whole."""
+    d = len(digits)
+    if "@" not in text and not ("whole-address" in out and _SAID_END.search(low)):
+        yield "email"
+    if "four-bytes" not in out:
+        yield "ip"
+    if "luhn" not in out:
+        yield "card"
+    if "phone-like" not in out or not (before == "tel" or _PHONE_FORM.match(text)):
+        yield "phone"
+    if not ("assigned" in out or before == "key") and (_HEX.fullmatch(text) or _UUID.fullmatch(text) or d == len(text)):
+        yield "secret"
+
+
 class Field:
     """Weights of (feature, label) and of (label, label)."""
 
     def __init__(self):
-        self.at: dict[str, int] = {}
+        self.at: dict[str, int] = {f"no-{k}": i for i, k in enumerate(KINDS)}
         self.w = np.zeros((64, len(LABELS)))
+        for i in range(len(KINDS)):
+            self.w[i, i + 1] = -np.inf
         self.t = np.zeros((len(LABELS), len(LABELS)))
 
     def ending(self, words: list[str], j: int, grow: bool) -> list[tuple[int, list[int]]]:
@@ -266,6 +293,8 @@ def sentence(rng: random.Random) -> tuple[list[str], list[tuple[int, int, int]]]
     name = lambda a=3, b=9: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(a, b)))
     num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
 
+    mixed = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_") for _ in range(rng.randint(n // 2, 2 * n)))
+
     def card() -> str:
         body = rng.choice("3456") + num(rng.choice([13, 14, 14, 14]))
         return next(body + c for c in "0123456789" if luhn(body + c))
@@ -279,8 +308,29 @@ def sentence(rng: random.Random) -> tuple[list[str], list[tuple[int, int, int]]]
         2: lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
         3: lambda: spaced(card()),
         4: lambda: rng.choice([f"+1 ({num(3)}) 555-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"+49 {num(3)} {num(7)}", f"0{num(2)} {num(3)} {num(2)} {num(2)}"]),
-        5: lambda: rng.choice(["AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16)), f"password={''.join(rng.choice('0123456789abcdef') for _ in range(18))}", f"api_key={name(8, 12)}{num(6)}", f"token={num(4)}{name(8, 10)}"]),
+        5: lambda: rng.choice([f'{rng.choice(["token", "secret", "key"])} = "{"".join(rng.choice("0123456789abcdef") for _ in range(40))}"', "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16)), f"password={''.join(rng.choice('0123456789abcdef') for _ in range(18))}", f"api_key={name(8, 12)}{num(6)}", f"eyJ{mixed(30)}.eyJ{mixed(40)}.{mixed(12)}", f"token={num(4)}{name(8, 10)}"]),
     }
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+
+    def no_card() -> str:
+        body = rng.choice("123456789") + num(rng.choice([10, 11, 14, 14, 17]))
+        return spaced(next(body + c for c in rng.sample("0123456789", 10) if not luhn(body + c)))
+
+    alike = [  # what a careless reader would take for one
+        no_card,
+        lambda: f"ISBN 97{rng.choice('89')}-{num(1)}-{num(2)}-{num(6)}-{num(1)}",
+        lambda: f"serial {num(4)}-{num(4)}-{num(4)}",
+        lambda: f"IBAN DE{num(2)} {num(4)} {num(4)} {num(4)} {num(4)} {num(2)}",
+        lambda: f"{rng.choice(['sha', 'md5', 'commit', 'checksum'])} {hexa(rng.choice([32, 40, 64]))}",
+        lambda: "-".join(hexa(n) for n in (8, 4, 4, 4, 12)),
+        lambda: f"order {num(rng.choice([9, 10, 12]))}",
+        lambda: f"#{num(9)}",
+        lambda: f"{name()} at the dot at {name()}",
+        lambda: f"{name()} at {name()} dot {name()} the",
+        lambda: f"20{num(2)}-0{rng.randint(1, 9)}-{num(2)} {num(2)}:{num(2)}:{num(2)}",
+        lambda: f"{num(2)}.{num(6)}, {num(2)}.{num(6)}",
+        lambda: f"{num(3)}.{num(3)}.{num(3)}.{num(3)}" if rng.random() < 0.3 else f"{num(1)},{num(3)},{num(3)},{num(3)}",
+    ]
     plain = [lambda: num(rng.randint(1, 4)), lambda: f"{num(1)}.{num(1)}", lambda: f"{rng.randint(1, 31)}.{rng.randint(1, 12)}.20{num(2)}", lambda: f"20{num(2)}-0{rng.randint(1, 9)}-{num(2)}", lambda: f"{num(2)},{num(3)}", lambda: f"${num(2)}.{num(2)}", lambda: "version 2.0", lambda: f"x={num(1)}", lambda: f"{num(rng.choice([5, 6, 8]))}", lambda: f"{num(2)}%", lambda: f"{num(2)}:{num(2)}", lambda: "CC BY-NC 4.0", lambda: "dot", lambda: f"{name()} at", lambda: f"{num(1)}-{num(1)}"]
     hints = {1: ["mail", "email:"], 2: ["host", "ip"], 3: ["card", "visa:"], 4: ["tel", "phone:", "call"], 5: ["key", "secret"]}
     words: list[str] = []
@@ -293,10 +343,14 @@ def sentence(rng: random.Random) -> tuple[list[str], list[tuple[int, int, int]]]
                 gold.append((len(words), len(words) + 1, 0))
                 words.append(rng.choice(hints[y]))
             new = (made[y]() + rng.choice(["", "", ",", "."])).split()
+            while len(new) > 2 and new[1] == "=":  # what is assigned is the secret, not its name
+                gold += [(len(words) + i, len(words) + i + 1, 0) for i in range(2)]
+                words += new[:2]
+                new = new[2:]
             gold.append((len(words), len(words) + len(new), y))
             words += new
         else:
-            for w in (rng.choice(plain)().split() if roll < 0.5 else [name() + rng.choice(["", "", "", ",", "."])]):
+            for w in (rng.choice(alike)().split() if roll < 0.35 else rng.choice(plain)().split() if roll < 0.5 else [name() + rng.choice(["", "", "", ",", "."])]):
                 gold.append((len(words), len(words) + 1, 0))
                 words.append(w)
     return words, gold
