@@ -182,7 +182,7 @@ def forbidden(text: str, low: str, digits: str, before: str, out: list[str]) ->
         yield "card"
     if "phone-like" not in out or not (before == "tel" or _PHONE_FORM.match(text)):
         yield "phone"
-    if " " in text or len(text) < 6 or not ("assigned" in out or before == "key") and (_HEX.fullmatch(text) or _UUID.fullmatch(text) or d == len(text)):
+    if " " in text or len(text) < 6 or re.match(r"https?:|www\.", low) or not ("assigned" in out or before == "key") and (_HEX.fullmatch(text) or _UUID.fullmatch(text) or d == len(text)):
         yield "secret"
 
 
