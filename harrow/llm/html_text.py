@@ -31,9 +31,12 @@ from pyspark.sql import types as T
 from . import core
 
 PATH_DIM, LEAF_DIM, WORD_DIM, HIDDEN = 192, 64, 32, 24
-TRAIN_PAGES, EPOCHS, SEED = 700, 6, 5
-#: Blocks that one step of the network sees at once; pages of like length go together.
-TOGETHER = 64
+TRAIN_PAGES, EPOCHS, SEED = 1800, 8, 5
+#: Pages that one step of the network sees at once (of like length), and blocks with vectors at once: a group
+#: of pages takes its longest page's blocks times its pages; a page of more blocks goes through in pieces.
+TOGETHER, BLOCKS = 64, 8192
+#: Letters of pages whose blocks are held at once, beside the last page's.
+PAGES_CHARS = 2 << 20
 
 #: Close mark, name, attributes, self-closing mark. A quote opens a value only right after an equals sign.
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:\s++|/(?!>)|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?+)*+)(/?)>""")
@@ -99,6 +102,8 @@ def blocks(page: str) -> list[Block]:
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
                 path = tuple(taken)
+                if out and out[-1].path == path:  # neighbours share it
+                    path = out[-1].path
                 leaf = stack[stack[-1][2]][0] if stack and stack[-1][2] >= 0 else ""
                 out.append(Block(text, path, leaf, len(stack), min(1.0, linked / max(1, len(raw)))))
         linked = 0
@@ -251,11 +256,12 @@ class Network:
             self.p[f"c{d}"][HIDDEN : 2 * HIDDEN] = 1
         self.p |= {"o": w(2 * HIDDEN, 1), "q": np.zeros(1, np.float32)}
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None) -> np.ndarray:
-        """x: pages x steps x input. States of each step; padded steps carry the state on."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None, state: tuple | None = None) -> tuple[np.ndarray, tuple]:
+        """x: pages x steps x input. States of each step, and the last one (given back as `state`, it goes on
+        there); padded steps carry the state on."""
         b, t, _ = x.shape
         z = (x.reshape(b * t, -1) @ self.p[f"x{d}"] + self.p[f"c{d}"]).reshape(b, t, -1)
-        h, c = np.zeros((b, HIDDEN), np.float32), np.zeros((b, HIDDEN), np.float32)
+        h, c = state or (np.zeros((b, HIDDEN), np.float32), np.zeros((b, HIDDEN), np.float32))
         out = np.zeros((b, t, HIDDEN), np.float32)
         for s in range(t) if d == "f" else range(t - 1, -1, -1):
             a = z[:, s] + h @ self.p[f"h{d}"]
@@ -268,15 +274,27 @@ class Network:
                 keep.append((s, h, c, i, f, o, g, tc, m))
             h, c = np.where(m, o * tc, h), np.where(m, c2, c)
             out[:, s] = h
-        return out
+        return out, (h, c)
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._run(x, mask, "f", None), self._run(x, mask, "b", None)], axis=2)
+        both = np.concatenate([self._run(x, mask, d, None)[0] for d in "fb"], axis=2)
         return (both @ self.p["o"])[:, :, 0] + self.p["q"]
 
+    def long_logits(self, found: list[Block]) -> np.ndarray:
+        """The same for one page of any length: only the states of all its blocks are held."""
+        both = np.zeros((len(found), 2 * HIDDEN), np.float32)
+        starts = range(0, len(found), BLOCKS)
+        for n, d in enumerate("fb"):
+            state = None
+            for s in starts if d == "f" else reversed(starts):
+                x = vectors(found[s : s + BLOCKS])[None]
+                out, state = self._run(x, np.ones(x.shape[:2], bool), d, None, state)
+                both[s : s + BLOCKS, n * HIDDEN : (n + 1) * HIDDEN] = out[0]
+        return (both @ self.p["o"])[:, 0] + self.p["q"]
+
     def gradient(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
         kept = {"f": [], "b": []}
-        both = np.concatenate([self._run(x, mask, d, kept[d]) for d in "fb"], axis=2)
+        both = np.concatenate([self._run(x, mask, d, kept[d])[0] for d in "fb"], axis=2)
         p = _sigmoid((both @ self.p["o"])[:, :, 0] + self.p["q"])
         e = (p - y) * mask / mask.sum()
         g = {"o": np.einsum("bth,bt->h", both, e)[:, None], "q": e.sum(keepdims=True).reshape(1)}
@@ -311,18 +329,23 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def label(net: Network, pages: list[list[Block]]) -> list[np.ndarray]:
     """For each page, which blocks are main text."""
     out: list = [np.zeros(0, bool)] * len(pages)
-    full = [i for i, p in enumerate(pages) if p]
-    if not full:
-        return out
-    sizes = np.array([len(pages[i]) for i in full])
-    x = vectors([b for i in full for b in pages[i]])
-    cut = np.cumsum([0, *sizes])
-    order = np.argsort(sizes, kind="stable")
-    for s in range(0, len(order), TOGETHER):
-        some = order[s : s + TOGETHER]
-        xs, mask = padded([x[cut[k] : cut[k + 1]] for k in some])
-        for k, row in zip(some, net.logits(xs, mask), strict=True):
-            out[full[k]] = row[: sizes[k]] > 0
+    some: list[int] = []
+
+    def done() -> None:
+        if some:
+            for k, row in zip(some, net.logits(*padded([vectors(pages[k]) for k in some])), strict=True):
+                out[k] = row[: len(pages[k])] > 0
+            some.clear()
+
+    for k in sorted(range(len(pages)), key=lambda i: len(pages[i])):
+        n = len(pages[k])
+        if n > BLOCKS:
+            out[k] = net.long_logits(pages[k]) > 0
+        elif n:
+            if len(some) == TOGETHER or (len(some) + 1) * n > BLOCKS:
+                done()
+            some.append(k)
+    done()
     return out
 
 
@@ -345,10 +368,15 @@ MARKS = ("qqmain", "qqrest")
 def training_page(rng: random.Random) -> str:
     """A page whose every block ends in a marker word that says what it is."""
     syll = rng.choice([["the", "an", "er", "tion", "nd", "sh", "ing"], ["le", "eau", "qui", "ment", "oi", "pa"], ["der", "ung", "ich", "sch", "keit"], ["ción", "os", "ado", "que", "ja"]])
+    if rng.random() < 0.6:  # words of no language in particular
+        syll = ["".join(rng.choice("aeiouy" if k % 2 else "bcdfghklmnprstvwz") for k in range(rng.randint(1, 4))) for _ in range(12)]
+    plain = rng.random() < 0.5  # classes that say nothing, so that form and order must
     word = lambda: "".join(rng.choice(syll) for _ in range(rng.randint(1, 4)))
     words = lambda a, b: " ".join(word() + rng.choice(["", "", "", ",", "."]) for _ in range(rng.randint(a, b)))
 
     def tag(name: str, inner: str, cls: str = "") -> str:
+        if plain:
+            cls = rng.choice(["", "", f"c{rng.randint(1, 9)}", rng.choice("abwxyz"), f"css-{word()}", f"{word()} {word()}", "row", "col", "wrap", "inner", "box", "container"])
         how = f' class="{cls}"' if cls and rng.random() < 0.8 else f' id="{cls}"' if cls else ""
         return f"<{name}{how}>{inner}</{name}>"
 
@@ -372,6 +400,12 @@ def training_page(rng: random.Random) -> str:
             "comments": lambda: f"<h3>{rest(1, 3)}</h3>" + "".join(rng.choice([f'<div class="comment"><p>{rest(3, 40)}</p></div>', f"<p><b>{words(1, 2)}</b> {rest(3, 30)}</p>", f"<ul><li>{rest(3, 30)}</li></ul>"]) for _ in range(rng.randint(1, 5))),
         }[kind]()
         own = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "comments": "section"}.get(kind, "div")
+        if plain and kind in ("aside", "ad", "comments"):
+            return boiler(rng.choice(["nav", "footer", "form", "notice"]))  # not to be told from an article by form
+        if plain and kind == "notice":
+            return tag("div", f"<p>{rest(3, 14)}</p><button>{rest(1, 2)}</button>")
+        if plain and kind == "footer" and own == "footer" and rng.random() < 0.5:
+            return tag("div", rng.choice([f"&copy; {rest(2, 14)}", f"<p>© 2024 {rest(2, 8)}</p>"]))
         if rng.random() < 0.5 and own != "form":
             return tag("div", body, cls or rng.choice(_REST[kind]))
         return tag(own, body, cls or (rng.choice(_REST[kind]) if own in ("div", "section") else ""))
@@ -392,6 +426,19 @@ def training_page(rng: random.Random) -> str:
             paragraphs.append(f'<p><a href="/x">{words(1, 3)}</a> {inner}</p>')
         elif roll < 0.37:
             paragraphs.append(f"<table><tr><td>{main(1, 4)}</td><td>{main(1, 4)}</td></tr></table>")
+        elif roll < 0.42:
+            head = "".join(f"<th>{main(1, 2)}</th>" for _ in range(rng.randint(2, 4)))
+            paragraphs.append(f"<table><caption>{main(1, 5)}</caption><tr>{head}</tr>" + "".join(rng.choice([f"<tr><td>{main(1, 3)}</td><td>{main(1, 2)}</td></tr>", f"<tr><th>{main(1, 2)}</th><td>{main(1, 9)}</td></tr>"]) for _ in range(rng.randint(1, 6))) + "</table>")
+        elif roll < 0.46:
+            paragraphs.append(rng.choice(["<pre>{}</pre>", "<pre><code>{}</code></pre>", "<div><pre>{}</pre></div>"]).format(main(1, 30)))
+        elif roll < 0.5:
+            paragraphs.append("<dl>" + "".join(f"<dt>{main(1, 2)}</dt><dd>{main(1, 20)}</dd>" for _ in range(rng.randint(1, 5))) + "</dl>")
+        elif roll < 0.54:
+            paragraphs.append("<ol>" + "".join(f"<li>{main(1, 18)}</li>" for _ in range(rng.randint(2, 7))) + "</ol>")
+        elif roll < 0.57:
+            paragraphs.append(f"<figure><img src=x><figcaption>{main(1, 9)}</figcaption></figure>")
+        elif roll < (0.8 if plain else 0.6):
+            paragraphs.append(tag("div", inner) if rng.random() < 0.8 else f"<section><h2>{main(1, 5)}</h2><div>{inner}</div></section>")
         else:
             paragraphs.append(f"<p>{inner}</p>")
         if rng.random() < 0.08 and k:
@@ -401,12 +448,14 @@ def training_page(rng: random.Random) -> str:
         title = f"<header>{title}</header>"
     story = title + "".join(paragraphs) + (boiler("comments") if rng.random() < 0.12 else "")
     shape = rng.random()
-    if shape < 0.45:
+    if shape < (0.2 if plain else 0.45):
         story = tag("article", story, rng.choice(_MAIN) if rng.random() < 0.3 else "")
-    elif shape < 0.6:
+    elif shape < (0.3 if plain else 0.6):
         story = tag("main", story)
     elif shape < 0.92:
         story = tag("div", story, rng.choice(_MAIN))
+        for _ in range(rng.choice([0, 0, 1, 2]) if plain else 0):
+            story = tag("div", story)
     top = [boiler(k) for k in ("header", "nav", "ad", "notice", "form") if rng.random() < 0.5]
     end = [boiler(k) for k in ("aside", "comments", "ad", "notice", "footer", "nav") if rng.random() < 0.45]
     rng.shuffle(top)
@@ -467,8 +516,15 @@ def extract(pages: DataFrame, page: str = "html") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index(page)
-            found = [blocks(h.as_py() or "") for h in b.column(at)]
-            texts = ["\n\n".join(x.text for x, k in zip(bs, keep, strict=True) if k) for bs, keep in zip(found, label(cast.value, found), strict=True)]
+            texts: list[str] = []
+            held, n = [], 0
+            for i in range(b.num_rows):
+                h = b.column(at)[i].as_py() or ""
+                held.append(blocks(h))
+                n += len(h)
+                if n > PAGES_CHARS or i == b.num_rows - 1:
+                    texts += ["\n\n".join(x.text for x, k in zip(bs, keep, strict=True) if k) for bs, keep in zip(held, label(cast.value, held), strict=True)]
+                    held, n = [], 0
             rest = [c for i, c in enumerate(b.columns) if i != at]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [f.name for f in fields])
 

@@ -1,5 +1,8 @@
 import html.parser
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 
@@ -150,3 +153,51 @@ def test_random_markup_keeps_all_letters():
         plain.close()
         want = "".join("".join(plain.text).split())
         assert "".join("".join(b.text for b in H.blocks(page)).split()) == want, page
+
+
+def test_pages_of_another_make():
+    """Blocks of pages that the training generator does not make, with classes that say nothing."""
+    from .other_pages import pages
+
+    made = pages(200, 2024)
+    found = [H.blocks(p[0]) for p in made]
+    hit = wrong = lost = 0
+    for (_, main, _), bs, keep in zip(made, found, H.label(H.trained(), found), strict=True):
+        got = {b.text for b, k in zip(bs, keep, strict=True) if k}
+        hit, wrong, lost = hit + len(got & set(main)), wrong + len(got - set(main)), lost + len(set(main) - got)
+    assert 2 * hit / (2 * hit + wrong + lost) >= 0.95
+
+
+def test_articles_without_an_article_tag():
+    recipe = '<div class="c1"><div class="x"><h1>Apple cake</h1><div>Mix the flour with the butter until it looks like crumbs.</div><ol><li>Heat the oven to a hundred and eighty degrees.</li><li>Bake for forty minutes, until it is brown.</li></ol></div></div>'
+    wiki = "<h1>River Lune</h1><p>The river rises in the northern hills and flows for about two hundred kilometres to the sea.</p><table><tr><th>Length</th><td>213 km</td></tr><tr><th>Source</th><td>Hill Top</td></tr></table><pre>for r in rows: print(r)</pre><p>In the spring of that year the council decided to rebuild the bridge in stone.</p>"
+    around = '<ul class="q"><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/c">Contact</a></li></ul>', "<div>© 2024 The Company</div>"
+    for body in (recipe, wiki):
+        page = H.blocks(f"<html><body>{around[0]}{body}{around[1]}</body></html>")
+        keep = H.label(H.trained(), [page])[0]
+        inner = {b.text for b in H.blocks(body)}
+        assert [b.text for b, k in zip(page, keep, strict=True) if k != (b.text in inner)] == []
+
+
+def test_pieces_of_a_long_page_are_as_one(monkeypatch):
+    rng = random.Random(9)
+    pages = [H.blocks(H.training_page(rng)) for _ in range(12)]
+    net = H.trained()
+    want = H.label(net, pages)
+    monkeypatch.setattr(H, "BLOCKS", 5)
+    got = H.label(net, pages)
+    assert all((a == b).all() for a, b in zip(want, got, strict=True))
+
+
+def test_a_long_page_among_short_ones_takes_little_memory():
+    code = """
+import resource
+from harrow.llm import html_text as h
+page = "<table>" + "".join(f"<tr><td>{i} x" for i in range(120_000)) + "</table>"
+found = [h.blocks(page)] + [h.blocks("<p>a b</p>" * 5) for _ in range(63)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+h.label(h.Network(), found)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert int(out.stdout) < 300
