@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import dates, identity, matching, text, urls
 from ..operators import dedup, lifecycle
+from ..operators.buckets import BucketStore
 from ..operators.store import Store
+from ..sinks import places
 
 
 @dataclass(frozen=True)
@@ -48,15 +50,30 @@ def best(records: DataFrame) -> DataFrame:
     return dedup.two_passes(records, F.coalesce(urls.normalize(F.col("job_url")), F.lit("")), F.col("job_id"), composite, quality)
 
 
+def _written(df: DataFrame, what: str) -> DataFrame:
+    """df from files below the shared folder, so that what reads it twice does the work once."""
+    at = places.scratch(df.sparkSession, what)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def run(raw: DataFrame, results: DataFrame, store: Store, now: Column, settings: Settings = Settings()) -> DataFrame:
     """raw: harvested rows with `seq`; results: company, success, complete, jobs, previous. Commits the
-    store's next version and returns the export: selected postings with score and change status."""
-    records = build(raw)
-    state = store.read()
+    store's next version and returns the export: selected postings with score and change status. Records
+    and the updated rows are written once and read from there; of a store in buckets only those of the
+    companies in raw and results are read and written."""
+    records = _written(build(raw), "records")
+    own = None
+    if isinstance(store, BucketStore):
+        own = store.touched(records.select(store.key).unionByName(results.select(store.key)))
+    state = store.read() if own is None else store.read(own)
     known = state.select("job_id", "first_seen")
     chosen = best(select(records, known, now, settings))
     scored = chosen.withColumn("fit", matching.fit(F.col("title"), F.col("description"))).select("*", F.col("fit.score").alias("fit_score"), F.array_join("fit.matched", ", ").alias("fit_matched"), F.col("fit.explanation").alias("fit_explanation")).drop("fit")
+    scored = _written(scored, "scored")
     updated = lifecycle.upsert(state, records.select("job_id", "job_url", "company", "title", "location", "date_posted", "seq"), now)
+    updated = _written(updated, "updated")
     told = lifecycle.removal_allowed(F.col("success"), F.col("jobs"), F.col("complete"), F.col("previous"))
-    store.commit(lifecycle.sync(updated.drop("change"), records.select("company", "job_id").distinct(), results.where(told)))
+    synced = lifecycle.sync(updated.drop("change"), records.select("company", "job_id").distinct(), results.where(told))
+    store.commit(synced) if own is None else store.commit(synced, buckets=own)
     return scored.join(updated.select("job_id", F.col("change").alias("change_status"), "first_seen"), "job_id", "left")
