@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, identity
 from ..operators import walk
-from ..sources import markup, pages, vendors
-from .queries import _t, query
+from ..sinks import places
+from ..sources import markup, pages, recorded, vendors
+from .queries import SQL, _t, query, supplier_pages
 
 # ---------------------------------------------------------------- vendors' payloads
 
@@ -257,3 +258,17 @@ def walk_ceiling(spark, d):
     nth = F.row_number().over(W.partitionBy(k).orderBy("event_id")) - 1
     log = _t(spark, d, "events").select(k.alias("source"), nth.alias("page_no"), F.array("event_id").alias("rows"), F.lit(None).cast("long").alias("total"), F.lit(False).alias("failed"))
     return walk.walk(log).select("source", "pages", "stop_reason", "complete")
+
+
+@query(SQL["page_walk"])
+def recorded_walk(spark, d):
+    """The walks of page_walk replayed from recorded exchanges, with answers that fail before a good one."""
+    p, at = supplier_pages(spark, d), places.scratch(spark, "exchanges")
+    again = (F.col("page_no") % 4 == 1) | F.col("failed")
+    tries = p.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.when(again, 1).otherwise(0))))
+    bad = F.col("failed") | (again & (F.col("attempt") == 0))
+    log = tries.select(F.col("source").cast("string").alias("source"), "page_no", "attempt", F.when(bad, 503).otherwise(200).alias("status"), F.lit(None).cast("double").alias("retry_after"), F.when(~bad, F.col("rows").cast("array<string>")).alias("rows"), "total", F.lit(False).alias("stale"))
+    recorded.write(log, at)
+    recorded.register(spark)
+    out = spark.read.format("recorded").options(path=at, most=10**9, perPartition=16).load()
+    return out.select(F.col("source").cast("long").alias("source"), "pages", F.col("offset").alias("received"), "collected", "total", "stop_reason", "complete", "shortfall")

@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import schemas as S
 from ..functions import dates, identity, matching, text, urls
 from ..operators import dedup, lifecycle, merge, report, walk
+from ..operators.buckets import BucketStore
+from ..sinks import places
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -351,6 +354,20 @@ def sync_store(spark, d):
     return lifecycle.sync(old, new.select("company", "job_id"), allowed).select("job_id", F.col("misses").cast("int").alias("misses"))
 
 
+@query(
+    f"""with o as (select *, o_orderdate < timestamp '{_CUT}' as old, (o_orderdate >= timestamp '{_CUT}' or o_orderkey % 3 = 0) and o_custkey % 10 = 0 as hit from orders)
+    select cast(o_orderkey as varchar) as job_id, case when hit and o_orderkey % 2 = 0 then o_orderpriority || ' II' else o_orderpriority end as title, cast(case when hit then 0 else 1 end as integer) as misses, case when hit then 2 else 1 end as seen from o where old or hit"""
+)
+def bucketed_store(spark, d):
+    """Every tenth company's batch upserted into a store in buckets, of which it touches a part."""
+    old, new = _store(spark, d)
+    store = BucketStore(spark, places.scratch(spark, "buckets"), S.STATE, buckets=64)
+    store.commit(old)
+    batch = new.where(F.col("company").cast("long") % 10 == 0)
+    store.update(batch.select("company"), lambda s: lifecycle.upsert(s, batch, F.lit("2024-02-01").cast("timestamp")).drop("change"))
+    return store.read().select("job_id", "title", "misses", F.month("last_seen").alias("seen"))
+
+
 @query("""select event_id, cast(user_id as varchar) as job_id, event_type as kind from events e where not exists (select 1 from events s where s.event_type = 'purchase' and s.ts < timestamp '2024-01-15' and s.user_id = e.user_id and s.event_type = e.event_type)""")
 def unannounced(spark, d):
     e = _t(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("job_id"), F.col("event_type").alias("kind"), "ts")
@@ -427,14 +444,18 @@ _PAGES = """n as (select l_suppkey as source, l_orderkey * 10 + l_linenumber % 1
 )
 def page_walk(spark, d):
     """Suppliers as sources, their lines as rows in pages of 20; some tell no total, some fail on page 3."""
+    out = walk.walk(supplier_pages(spark, d), most=10**9)
+    return out.select("source", "pages", F.col("offset").alias("received"), "collected", "total", "stop_reason", "complete", "shortfall")
+
+
+def supplier_pages(spark, d):
+    """source, page_no, rows, total, failed of page_walk."""
     cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
     by = W.partitionBy("l_suppkey")
     n = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), (F.col("l_orderkey") * 10 + F.col("l_linenumber") % 10).alias("k"), (F.row_number().over(by.orderBy(*cols)) - 1).alias("rn"), F.count("*").over(by).alias("cnt"))
     n = n.withColumn("page_no", F.floor(F.col("rn") / 20).cast("int"))
     pages = n.groupBy("source", "page_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "k"))), lambda x: x["k"]).alias("rows"), F.max(F.when(F.col("source") % 3 != 0, F.col("cnt"))).alias("total"))
-    pages = pages.withColumn("failed", (F.col("source") % 7 == 0) & (F.col("page_no") == 3))
-    out = walk.walk(pages, most=10**9)
-    return out.select("source", "pages", F.col("offset").alias("received"), "collected", "total", "stop_reason", "complete", "shortfall")
+    return pages.withColumn("failed", (F.col("source") % 7 == 0) & (F.col("page_no") == 3))
 
 
 @query("select o_orderstatus, count(*) as n, count(distinct o_custkey) as companies, min(o_orderdate) as first_posted, max(o_orderdate) as last_posted from orders group by 1")
