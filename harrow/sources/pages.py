@@ -36,7 +36,7 @@ def _nodes(value, deep: bool) -> Iterator[dict]:
     while todo:
         v = todo.pop()
         if isinstance(v, list):
-            todo += reversed(v)
+            todo += [x for x in reversed(v) if isinstance(x, (dict, list))]
         elif isinstance(v, dict):
             yield v
             todo += [x for x in v.values() if isinstance(x, (dict, list))][::-1] if deep else [v["@graph"]] if "@graph" in v else []
@@ -72,30 +72,36 @@ def address(node: dict) -> str | None:
     return None
 
 
-def payloads(page: str, most: int = 25, least: int = 200) -> Iterator[object]:
-    """JSON objects that scripts of a page hold for their framework: the first `most`, and of those not
-    marked as a framework's only such of `least` letters or more. What is beyond is dropped."""
+def payloads(page: str, most: int | None = None, least: int = 200) -> Iterator[object]:
+    """JSON objects that scripts of a page hold for their framework, of those not marked as a framework's only
+    such of `least` letters or more; all of them, or those among the first `most` candidates. What does not
+    parse, or is nested deeper than the parser can follow, is passed over."""
     decoder = json.JSONDecoder()
-    for n, m in enumerate(_BLOB.finditer(page)):
-        if n >= most:
+    done = n = 0
+    for m in _BLOB.finditer(page):
+        if m.start() < done:  # within the payload before
+            continue
+        if n == most:
             break
+        n += 1
         try:
             value, end = decoder.raw_decode(page, m.end())
-        except ValueError:
+        except (ValueError, RecursionError):
             continue
+        done = end
         if "__NEXT_DATA__" in m[0] or end - m.end() >= least:
             yield value
 
 
-def job_nodes(value: object, most: int = 200_000) -> Iterator[tuple[str, str, dict]]:
-    """(title, address, object with lower-case keys) of nested objects with both, each address once. No
-    more than `most` values are looked at; larger payloads are no lists of postings."""
+def job_nodes(value: object, most: int | None = None) -> Iterator[tuple[str, str, dict]]:
+    """(title, address, object with lower-case keys) of nested objects with both, each address once: in the
+    whole value, or in its first `most` objects and lists. Time and memory follow the value's size."""
     seen: set[str] = set()
     todo, n = [value], 0
-    while todo and n < most:
+    while todo and n != most:
         v, n = todo.pop(), n + 1
         if isinstance(v, list):
-            todo += reversed(v)
+            todo += [x for x in reversed(v) if isinstance(x, (dict, list))]
         elif isinstance(v, dict):
             low = {str(k).lower(): x for k, x in v.items()}
             title = next((low[k] for k in TITLE_KEYS if isinstance(low.get(k), str) and low[k].strip()), None)
@@ -106,7 +112,7 @@ def job_nodes(value: object, most: int = 200_000) -> Iterator[tuple[str, str, di
             todo += [x for x in v.values() if isinstance(x, (dict, list))][::-1]
 
 
-def job_shaped(value: object, most: int = 200_000) -> Iterator[tuple[str, str]]:
+def job_shaped(value: object, most: int | None = None) -> Iterator[tuple[str, str]]:
     """(title, address) of job_nodes()."""
     for title, link, _ in job_nodes(value, most):
         yield title, link

@@ -66,3 +66,14 @@ def test_vendor_fields(spark):
     assert (r.location, r.job_url) == ("A | B", "https://h/job/9")
     assert one("workday", {"title": "T", "externalPath": "/job/x_R1", "bulletFields": ["R1", "Dallas"]}).location == "Dallas"
     assert one("paylocity", {"jobTitle": "T", "id": 7}).job_url == "https://h/recruiting/jobs/Details/7"
+
+
+def test_payloads_without_bound(spark):
+    """A thousand payloads of a page, and one of two million objects: every posting is kept."""
+    post = lambda k: f'{{"title": "Job {k}", "url": "/j/{k}", "text": "{"x" * 220}"}}'
+    many = "".join(f"<script>window.__STATE_{k}__ = {post(k)};</script>" for k in range(1000))
+    large = '<script id="__NEXT_DATA__" type="application/json">{"a": [' + ",".join('{"n":1}' if k % 4000 else f'{{"title": "Big {k}", "url": "/b/{k}"}}' for k in range(2_000_000)) + "]}</script>"
+    deep = '<script id="__NEXT_DATA__" type="application/json">' + '{"a":' * 200_000 + "1" + "}" * 200_000 + "</script>"
+    df = spark.createDataFrame([(1, "https://h.example/", many), (2, "https://h.example/", large), (3, "https://h.example/", deep + many)], "page_id long, url string, html string")
+    got = {r[0]: r[1] for r in pages.payload_jobs(df.repartition(3)).groupBy("page_id").count().collect()}
+    assert got == {1: 1000, 2: 500, 3: 1000}
