@@ -10,7 +10,7 @@ from ..operators import filters, hints, lifecycle, merge, report, walk
 from ..operators.store import Store
 from ..sinks import exports, places
 from ..sources import files
-from .queries import _CUT, _store, _t, query
+from .queries import _CUT, SQL, _store, _t, query
 
 _NOW = "2024-02-01 00:00:00"
 _RUN = "20240201T000000Z"
@@ -109,6 +109,36 @@ def run_report(spark, d):
     return files.json_rows(spark, at, schema)
 
 
+def _document(spark, d):
+    """The same report as one JSON document; its path."""
+    before = _t(spark, d, "orders").where("o_orderkey % 2 = 0").groupBy(_text("o_custkey").alias("company")).agg((3 * F.count("*")).alias("jobs"))
+    at, results = places.scratch(spark, "document"), _results(spark, d)
+    totals = results.agg(F.coalesce(F.sum("jobs"), F.lit(0)).alias("jobs_collected"), F.count_if(~F.col("complete")).alias("incomplete_companies"))
+    exports.write_document(exports.report_rows(results, before), at, _RUN, _now(), totals)
+    return at
+
+
+@query(SQL["run_report"].replace(f", '{_RUN}' as run_id", ""))
+def run_document(spark, d):
+    """The companies of the nested report, read back a line at a time."""
+    schema = "company string, method string, jobs long, reported_total long, complete boolean, stop_reason string, status string, error_type string, error_message string, duration_seconds double, previous_jobs long, removal_sync_allowed boolean, collapsed_vs_previous boolean"
+    return files.report_companies(spark, _document(spark, d), schema)
+
+
+@query(
+    f"""with {_RES} select '{_RUN}' as run_id, '2024-02-01T00:00:00+00:00' as generated_at, kind, value, cast(n as bigint) as n from (
+    select 'status' as kind, status as value, count(*) as n from res group by 2 union all select 'method', method, count(*) from res where method is not null group by 2
+    union all select 'total', 'jobs_collected', sum(jobs) from res union all select 'total', 'incomplete_companies', count(*) filter (where not complete) from res union all select 'companies', 'attempted', count(*) from res union all select 'companies', 'listed', count(*) from res)"""
+)
+def document_counts(spark, d):
+    """The counts of the nested report, read as the one document that it is."""
+    schema = "run_id string, generated_at string, companies_attempted long, status_counts map<string,bigint>, method_counts map<string,bigint>, totals map<string,bigint>, companies array<struct<company: string>>"
+    doc = files.document(spark, _document(spark, d), schema)
+    own = F.map_from_arrays(F.array(F.lit("attempted"), F.lit("listed")), F.array("companies_attempted", F.size("companies").cast("long")))
+    kinds = F.map_from_arrays(F.array(*map(F.lit, ("status", "method", "total", "companies"))), F.array("status_counts", "method_counts", "totals", own))
+    return doc.select("run_id", "generated_at", F.explode(kinds).alias("kind", "_m")).select("run_id", "generated_at", "kind", F.explode("_m").alias("value", "n"))
+
+
 @query(
     f"""with c as (select c_custkey as k, c_custkey % 4 <> 0 as success, c_custkey % 3 = 0 as auth from customer), p as (select * from orders where o_orderdate < timestamp '{_CUT}'), f as (select * from orders where o_orderdate >= timestamp '{_CUT}' or o_orderkey % 5 = 0)
     select cast(p.o_orderkey as varchar) as job_id, cast(p.o_custkey as varchar) as company, case when f.o_orderkey is not null and coalesce(success, false) then '{_RUN}' else 'before' end as run_id from p left join c on p.o_custkey = c.k left join f on p.o_orderkey = f.o_orderkey where not coalesce(success and auth, false)

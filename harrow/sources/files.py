@@ -65,6 +65,14 @@ def document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.where(f"d is not null and d.{BROKEN} is null").select("d.*").drop(BROKEN)
 
 
+def report_companies(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The companies of a report that sinks.exports.write_document() wrote, read a line at a time."""
+    if not exists(spark, path):
+        return _none(spark, schema)
+    lines = spark.read.text(path).where(F.col("value").startswith('{"company":'))
+    return lines.select(F.from_json(F.regexp_replace("value", ",$", ""), schema).alias("r")).select("r.*")
+
+
 def hints(spark: SparkSession, path: str) -> DataFrame:
     """A hint file (one object, a company a key) as rows; values that are no objects are left out."""
     if not exists(spark, path):

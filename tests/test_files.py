@@ -152,3 +152,25 @@ def test_ranked_without_a_global_window(spark):
     assert sorted((r.x, r["rank"]) for r in got) == [(i, i + 1) for i in range(1000)]
     assert [r.x for r in report.ranked(df, [F.asc("x")], "id", most=3).collect()] == [0, 1, 2]
     assert report.ranked(df.limit(0), [F.asc("x")], "id").count() == 0
+
+
+def test_report_document(spark, tmp_path):
+    """One JSON document, valid as a whole, that gives back the flat table line by line."""
+    import json
+
+    from pyspark.sql import functions as F
+
+    from harrow.sinks import exports
+
+    schema = "company string, method string, jobs long, status string, error_message string"
+    now = F.lit("2024-02-01").cast("timestamp")
+    for rows in ([], [("a", "m", 1, "ok", None)], [(f"c{i % 7}", "m" if i % 2 else None, i, "ok" if i % 3 else "failed", 'quote " and, comma' if i % 5 == 0 else None) for i in range(200)]):
+        flat, at = spark.createDataFrame(rows, schema).repartition(3), f"file://{tmp_path}/d{len(rows)}"
+        exports.write_document(flat, at, "r1", now, flat.agg(F.count("*").alias("jobs_collected")))
+        text = "".join(p.read_text() for p in sorted((tmp_path / f"d{len(rows)}").glob("part-*")))
+        doc = json.loads(text)
+        assert doc["companies_attempted"] == len(rows) == len(doc["companies"]) == doc["totals"]["jobs_collected"] and doc["generated_at"] == "2024-02-01T00:00:00+00:00"
+        assert doc["status_counts"].get("ok", 0) == sum(r[3] == "ok" for r in rows) and set(doc["method_counts"]) <= {"m"}
+        assert [c["company"] for c in doc["companies"]] == sorted(r[0] for r in rows)
+        assert sorted(map(str, files.report_companies(spark, at, schema).collect())) == sorted(map(str, flat.collect()))
+    assert files.report_companies(spark, f"file://{tmp_path}/none", schema).count() == 0

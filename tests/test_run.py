@@ -80,3 +80,20 @@ def test_providers(spark):
     for r in df.select("p", "t", "s", providers.coordinates(F.col("u")).alias("c")).collect():
         assert (r.c.provider, r.c.tenant, r.c.site) == (r.p, r.t, r.s)
     assert [r[0] for r in spark.createDataFrame([("<a href=X.icims.com>",), ("x",)], "h string").select(providers.by_markup(F.col("h"))).collect()] == ["icims", None]
+
+
+def test_stage_counts_come_from_the_runs_own_pass(spark, tmp_path):
+    from harrow.functions import dates, matching
+    from harrow.operators import report
+
+    titles, places = ["Data Engineer", "Chef", None, "ETL Developer"], ["Dallas, TX", "Paris, France", "Remote"]
+    days = [T(2024, 1, 28), T(2023, 10, 1), None]
+    raw = spark.createDataFrame([("c", titles[i % 4], places[i % 3], days[i // 2 % 3], f"https://x.example/{i}", None, None, None, "python", "lever", "direct_api", i) for i in range(120)], S.RECORD + ", seq long")
+    told = spark.createDataFrame([("c", True, True, 120, 100)], "company string, success boolean, complete boolean, jobs long, previous long")
+    now, stages = F.lit(T(2024, 1, 29)).cast("timestamp"), R.Stages()
+    R.run(raw, told, Store(spark, f"file://{tmp_path}/s", S.STATE), now, stages=stages)
+    records = R.build(raw)
+    status, _ = dates.freshness(F.col("date_posted"), F.lit(None).cast("timestamp"), now)
+    flags = records.select(matching.role(F.col("title")).alias("role"), matching.location_match(F.col("location"), F.col("title"), F.col("remote")).isNotNull().alias("place"), status.alias("status"))
+    want = report.stage_counts(flags).first().asDict()
+    assert stages.counts() == want and 0 < want["within_window"] < want["location_match"] < want["target_role"] < want["collected"]
