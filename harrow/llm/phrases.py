@@ -28,9 +28,11 @@ from . import core
 #: Phrases (words at first) with a rank: each takes 16 bytes in the driver and in every worker.
 HEAD = 2_000_000
 #: Side of a tile; hits in a task's buffer from which a tile is dense; dense tiles of a task (2 MB each).
-SIDE, DENSE, TILES = 512, 1 << 14, 40
+SIDE, DENSE, TILES = 512, 1 << 14, 24
 #: Neighbours that a task counts at once, and cells that it holds before it hands them on.
 BUFFER, HELD = 1 << 20, 2_000_000
+#: Rows of a batch that a task hands on; different words that it holds.
+ROWS, WORDS = 1 << 17, 150_000
 #: Parts into which each language is dealt before its best phrases are chosen.
 SALTS = 64
 #: Before a piece; a word or phrase without a rank.
@@ -99,7 +101,7 @@ def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
                         held[k][3] += c
                     else:
                         held[k] = [k, known[of[i]], raw[begins[i] : ends[i]].tobytes().decode(), c]
-                if len(held) > 500_000:
+                if len(held) > WORDS:
                     yield rows(held)
                     held = {}
         yield rows(held)
@@ -209,21 +211,29 @@ class Cells:
     def full(self) -> bool:
         return self.n_held > HELD
 
-    def rows(self) -> pa.RecordBatch:
-        """All cells so far as (left name, right name, n); starts anew."""
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """All cells so far as (left name, right name, n), a few at a time; starts anew."""
         self.count()
         key, n = self._summed()
-        left, right, counts = [self.ranks.by_rank[key >> 32]], [self.ranks.by_rank[key & 0xFFFFFFFF]], [n]
-        for t, table in self.tiles.items():
+        self.coo = []
+        by = self.ranks.by_rank
+        for i in range(0, len(key), ROWS):
+            k = key[i : i + ROWS]
+            yield _cells(by[k >> 32], by[k & 0xFFFFFFFF], n[i : i + ROWS])
+        for t in [*self.tiles]:
+            table = self.tiles.pop(t)
             hit = np.flatnonzero(table)
-            left.append(self.ranks.by_rank[(t >> 32) * SIDE + hit // SIDE])
-            right.append(self.ranks.by_rank[(t & 0xFFFFFFFF) * SIDE + hit % SIDE])
-            counts.append(table[hit])
+            yield _cells(by[(t >> 32) * SIDE + hit // SIDE], by[(t & 0xFFFFFFFF) * SIDE + hit % SIDE], table[hit])
         if self.named:
             _, x, y, n = self._merged(self.named)
-            left, right, counts = [*left, x], [*right, y], [*counts, n]
-        self.coo, self.named, self.tiles, self.n_held = [], [], {}, 0
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right, counts)], ["left", "right", "n"])
+            self.named = []
+            for i in range(0, len(x), ROWS):
+                yield _cells(x[i : i + ROWS], y[i : i + ROWS], n[i : i + ROWS])
+        self.n_held = 0
+
+
+def _cells(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(n)], ["left", "right", "n"])
 
 
 def _climb(rank: np.ndarray, name: np.ndarray, joined: np.ndarray, more: list[Ranks]) -> tuple[np.ndarray, ...]:
@@ -258,8 +268,8 @@ def neighbours(rows: DataFrame, ranks: list) -> DataFrame:
                 if len(rank) > len(known):
                     cells.add(*_climb(rank, name, ~begins[1:-1], known[1:]))
                 if cells.full():
-                    yield cells.rows()
-        yield cells.rows()
+                    yield from cells.rows()
+        yield from cells.rows()
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -76,8 +76,8 @@ def test_tiles_count_exactly():
         want.update(zip(ranks.by_rank[rank[:-1]].tolist(), ranks.by_rank[rank[1:]].tolist(), strict=True))
     cells.count()
     assert cells.tiles  # the dense form was used
-    rows = cells.rows().to_pydict()
-    assert {(x, y): n for x, y, n in zip(rows["left"], rows["right"], rows["n"], strict=True)} == want
+    rows = [r for b in cells.rows() for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert {(x, y): n for x, y, n in rows} == want and len(rows) == len(want)
 
 
 def test_empty_and_clashing(spark):
