@@ -77,13 +77,3 @@ def duplicates(table: DataFrame, name: str, url: Column, columns: tuple[str, ...
     for c in columns:
         same_url = same_url | F.coalesce(urls.duplicate_form(F.col(c)) == urls.duplicate_form(url), F.lit(False))
     return table.withColumns({"same_name": F.coalesce(same_name, F.lit(False)), "same_url": same_url}).where("same_name or same_url")
-
-
-def slowest_last(plans: DataFrame, seq: str = "seq") -> DataFrame:
-    """plans: timed_out, seconds of the last run, null for the unknown. Quick ones first, those that ran out of time last."""
-    return plans.orderBy(F.coalesce("timed_out", F.lit(False)), F.coalesce("seconds", F.lit(0.0)), seq)
-
-
-def shortest_first(report: DataFrame) -> DataFrame:
-    """Truncated walks by how much they miss; a total that was never told counts as nothing missing."""
-    return report.orderBy(F.desc(F.greatest(F.lit(0), F.coalesce("reported_total", F.lit(0)) - F.col("jobs"))), "company")
