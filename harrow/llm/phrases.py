@@ -30,7 +30,7 @@ HEAD = 2_000_000
 #: Side of a tile; hits in a task's buffer from which a tile is dense; dense tiles of a task (2 MB each).
 SIDE, DENSE, TILES = 512, 1 << 14, 24
 #: Neighbours that a task counts at once, and cells that it holds before it hands them on.
-BUFFER, HELD = 1 << 20, 2_000_000
+BUFFER, HELD = 1 << 20, 1_000_000
 #: Rows of a batch that a task hands on; different words that it holds.
 ROWS, WORDS = 1 << 17, 150_000
 #: Parts into which each language is dealt before its best phrases are chosen.
