@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..sinks import places
 from . import hints, lifecycle
 
 GOOD_ENOUGH = 10
@@ -162,10 +163,14 @@ def collapsed_order() -> list[Column]:
 
 def ranked(df: DataFrame, order: list[Column], seq: str, most: int | None = None) -> DataFrame:
     """df with rank, the place that an order gives it (ties by seq), or only the first `most`. Places are
-    counted by range partitions and their prefix sums, so no task sees all rows."""
+    counted by range partitions and their prefix sums, so no task sees all rows. The sorted rows are
+    written once: a second sort may cut its partitions elsewhere."""
     if most is not None:
         return df.orderBy(*order, F.asc(seq)).limit(most)
     df = df.orderBy(*order, F.asc(seq)).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    at = places.scratch(df.sparkSession, "ranked")
+    df.write.parquet(at)
+    df = df.sparkSession.read.schema(df.schema).parquet(at)
     sizes = df.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return df.join(F.broadcast(before), "_part").withColumn("rank", F.col("_before") + F.col("_at") % (1 << 33) + 1).drop("_part", "_at", "_before")
