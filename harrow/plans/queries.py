@@ -134,7 +134,7 @@ def norm_company(spark, d):
 
 
 @query(
-    r"""with t as (select page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') as x from pages), u as (select page_id, replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as x from t),
+    r"""with t as (select page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') as x from pages), u as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&quot;?', chr(34), 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') as x from t),
     s as (select page_id, trim(regexp_replace(x, '[\s\x0b\x85\p{Z}]+', ' ', 'g')) as x from u) select page_id, case when length(x) > 5000 then rtrim(substr(x, 1, 5000)) || '...' else x end as stripped from s"""
 )
 def strip_html(spark, d):
