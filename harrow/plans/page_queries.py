@@ -122,7 +122,7 @@ def listed_pages(spark, d):
 
 # ---------------------------------------------------------------- pages
 
-_SEEN = r"""seen as (select page_id, html, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[\s\x0b\x1c-\x1f\x85\p{Z}]+', ' ', 'g')) as text from pages)"""
+_SEEN = r"""seen as (select page_id, html, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&quot;?', chr(34), 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'), '[\s\x0b\x1c-\x1f\x85\p{Z}]+', ' ', 'g')) as text from pages)"""
 
 
 @query(f"with {_SEEN} select page_id, text from seen")

@@ -26,7 +26,7 @@ def tables(tmp_path):
     return made
 
 
-@pytest.mark.parametrize("name", ["strip_html"])
+@pytest.mark.parametrize("name", ["strip_html", "visible_text"])
 def test_references_without_semicolon(spark, tables, name):
     d = tables("pages", "select * replace('<p>a &amp b &ltc &quot, x&amp</p>' || html as html) from '{t}' limit 20")
     got = spark_rows(Q[name](spark, d))
