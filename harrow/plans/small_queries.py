@@ -219,7 +219,7 @@ def may_send(spark, d):
     return _customers(spark, d).select("c_custkey", hints.may_send(_k() % 3, F.when(_k() % 5 == 0, 1).otherwise(0), _k() % 7 == 0, reasons, _k() % 6).alias("send"))
 
 
-@query("select c_custkey, case c_custkey % 4 when 0 then c_custkey + 20 when 1 then 99 when 2 then c_custkey end as total, c_custkey % 5 = 0 as blocked from customer")
+@query("select c_custkey, case when said <= 100000 then said end as total, c_custkey % 5 = 0 as blocked from (select c_custkey, case c_custkey % 4 when 0 then c_custkey + 20 when 1 then 99 when 2 then c_custkey end as said from customer)")
 def page_texts(spark, d):
     """Counts that pages state, and pages that keep robots out."""
     said = _case(_made("Showing 1 - 20 of ", (_k() + 20).cast("string"), " jobs"), "99 openings, 3 results", _made("total: ", F.col("k")), _made("999999", F.col("k"), " jobs"))

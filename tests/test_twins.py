@@ -32,3 +32,10 @@ def test_references_without_semicolon(spark, tables, name):
     got = spark_rows(Q[name](spark, d))
     assert got == sql_rows(SQL[name], d)
     assert all('a & b <c ", x&' in r[-1] for r in got[1])
+
+
+def test_counts_beyond_belief(spark, tables):
+    d = tables("customer", "select * replace(cast(c_custkey + 99900 as {k}) as c_custkey) from '{{t}}'".format(k=duckdb.sql(f"describe select c_custkey from '{DATA}/customer.parquet'").fetchall()[0][1]))
+    got = spark_rows(Q["page_texts"](spark, d))
+    assert got == sql_rows(SQL["page_texts"], d)
+    assert {None, 99} < {r[-1] for r in got[1]}
