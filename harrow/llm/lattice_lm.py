@@ -1,19 +1,21 @@
 """Subword lattice likelihood: the probability of a text, summed over all its segmentations.
 
-A text is a stream of pieces of a given vocabulary (never trained here) and one end symbol, drawn
-independently. Every word begins with the vocabulary's space mark, so a text's probability is the
-product of its words' lattice sums and the end's probability. The vocabulary's scores weigh the pieces;
-the training documents (all but every tenth by crc32) give the rate of ends to words, and the counts of
-the base measures. On request, `rounds` of expectation-maximisation over their word counts refit the
-weights. The forward recursion is in log space, for many words of one length at once. A letter that
-the vocabulary lacks is its UTF-8 bytes, as the vocabulary provides.
+A text is a stream of words and one end symbol, drawn independently. A word is one whole edge of its
+lattice, if training documents (all but every tenth by crc32) hold it, or a path of pieces of a given
+vocabulary (never trained here), the first of which carries the space mark. With N words and T distinct
+ones in training, E ends, c of this word and q the sum of its paths of pieces, its probability is
+(c + T q) / (N + T + E), and the end's E / (N + T + E): what is spelled has the share that new words had
+in training (Witten and Bell), and all words and the end sum to one. The vocabulary's scores are the
+first weights of the pieces; `rounds` of expectation-maximisation over the distinct training words refit
+them. The forward recursion is in log space, for many words of one length at once. A letter that the
+vocabulary lacks is its UTF-8 bytes, as the vocabulary provides.
 
 Word counts are joined by a 64-bit word hash. The HEAD most frequent words are sent to all workers (a
 fixed bound); the others' counts come by a join, so frequent words never meet in one task.
 
 Defined results: null and empty texts are the end symbol alone; repeated rows are scored each (and
-counted each); a null doc_id counts as held out; with no training documents every word is unknown
-and the piece weights stay as given; an empty table gives no rows.
+counted each); a null doc_id counts as held out; with no training documents every word is spelled
+by the weights as given, and T and E are 1; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from . import core
 
 HEAD = 1 << 18
 #: Refits of the piece weights; none: the vocabulary's scores stay.
-EM_ROUNDS = 0
+EM_ROUNDS = 1
 #: Added to every piece's expected count.
 SMOOTH = 0.1
 #: Distinct words of chunks that are merged before they leave a task.
@@ -61,7 +63,7 @@ def read_pieces(path: str) -> tuple[list[str], np.ndarray]:
 
 
 class Lattice:
-    """pieces, then 256 bytes, then the end symbol; logp in natural logarithms."""
+    """pieces, then 256 bytes; logp in natural logarithms."""
 
     def __init__(self, pieces: list[str], logp: np.ndarray):
         self.n, self.logp = len(pieces), logp
@@ -207,38 +209,37 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 10 == 0, F.lit(True))
 
 
-def fit(counts: DataFrame, n_docs: int, pieces: list[str], weights: np.ndarray, rounds: int = EM_ROUNDS) -> np.ndarray:
-    """Log probabilities of pieces, bytes and the end: from the given weights, refitted by rounds of EM
-    over the counted words. What reaches the driver is a sum for each piece of the vocabulary."""
+def fit(counts: DataFrame, pieces: list[str], weights: np.ndarray, rounds: int = EM_ROUNDS) -> np.ndarray:
+    """Log probabilities of pieces and bytes: from the given weights, refitted by rounds of EM over the
+    distinct words, each once: words that training lacks are like those, not like its frequent ones.
+    What reaches the driver is a sum for each piece of the vocabulary."""
     spark = counts.sparkSession
     uses = np.concatenate([weights, np.full(256, weights.min() / 256)])
-    end = max(n_docs, 1)
-    words = int(counts.agg(F.sum("c")).first()[0] or 0)
+    words = counts.count()
     uses *= 2.0 * max(words, 1) / uses.sum()
     for _ in range(rounds if words else 0):
-        cast = spark.sparkContext.broadcast((pieces, _logs(uses, end)))
+        cast = spark.sparkContext.broadcast((pieces, _logs(uses)))
 
         def expected(batches: Iterator[pa.RecordBatch], cast=cast) -> Iterator[pa.RecordBatch]:
-            lattice, total, words, times = Lattice(*cast.value), None, [], []
+            lattice, total, words = Lattice(*cast.value), None, []
             for b in itertools.chain(batches, [None]):
                 if b is not None:
                     words += b.column(0).to_pylist()
-                    times.append(b.column(1).to_numpy())
                 if words and (b is None or len(words) >= TOGETHER):
-                    part = lattice.expect(words, np.concatenate(times))
-                    total, words, times = part if total is None else total + part, [], []
+                    part = lattice.expect(words, np.ones(len(words)))
+                    total, words = part if total is None else total + part, []
             if total is not None:
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["piece", "uses"])
 
-        got = counts.select("word", "c").mapInArrow(expected, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas()
+        got = counts.select("word").mapInArrow(expected, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas()
         uses = np.zeros(len(uses))
         uses[got["piece"].to_numpy()] = got["uses"].to_numpy()
-    return _logs(uses, end)
+    return _logs(uses)
 
 
-def _logs(uses: np.ndarray, end: int) -> np.ndarray:
-    uses = np.append(uses + SMOOTH, end)
+def _logs(uses: np.ndarray) -> np.ndarray:
+    uses = uses + SMOOTH
     return np.log(uses / uses.sum())
 
 
@@ -253,17 +254,19 @@ def score(docs: DataFrame, vocabulary: str, head: int = HEAD, rounds: int = EM_R
     sums = counts.agg(F.sum("c"), F.count("*")).first()
     total, distinct = int(sums[0] or 0) + n_docs, int(sums[1]) + (n_docs > 0)
     pieces, weights = read_pieces(vocabulary)
-    logp = fit(counts, n_docs, pieces, weights, rounds)
+    logp = fit(counts, pieces, weights, rounds)
+    ends, types = max(n_docs, 1), max(int(sums[1]), 1)
+    mass = int(sums[0] or 0) + types + ends
     rank, least = core.most_frequent(counts, "c", head)
     top = counts.where(rank >= least).select("h", "c").toPandas()
     order = np.argsort(top["h"].to_numpy().astype(np.int64).view(np.uint64))
     h, c = top["h"].to_numpy().astype(np.int64).view(np.uint64)[order], top["c"].to_numpy().astype(np.int64)[order]
-    cast = spark.sparkContext.broadcast((pieces, logp, h, c, total, distinct, n_docs))
+    cast = spark.sparkContext.broadcast((pieces, logp, h, c, total, distinct, n_docs, ends, types, mass))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, logp, h, c, total, distinct, n_docs = cast.value
+        pieces, logp, h, c, total, distinct, n_docs, ends, types, mass = cast.value
         lattice = Lattice(pieces, logp)
-        known = np.full(len(h), np.nan)  # scores of frequent words, found when first met
+        known = np.full(len(h), np.nan)  # spellings of frequent words, summed when first met
         base = lambda x: np.log10((x + 0.1) / (total + 0.1 * (distinct + 1)))
         for batch in batches:
             uid = batch.column(0).to_numpy()
@@ -282,27 +285,29 @@ def score(docs: DataFrame, vocabulary: str, head: int = HEAD, rounds: int = EM_R
                 n_tokens = np.diff(begin) + 1
                 n_known = add(frequent.astype(float)).astype(np.int64) + (n_docs > 0)
                 base_score = add(np.where(frequent, base(times), 0.0)) + base(n_docs)
-                full = (add(values) + logp[-1]) / np.log(10)
-                names = ["key", "uid", "doc_id", "tf", "n_tokens", "n_known", "base_score", "score"]
+                whole = np.log10((np.where(frequent, times, 1) + types * np.exp(values)) / mass)
+                full = add(np.where(frequent, whole, 0.0)) + np.log10(ends / mass)
+                names = ["key", "uid", "doc_id", "tf", "spelled", "n_tokens", "n_known", "base_score", "score"]
                 ids = uid[first:last]
-                yield pa.RecordBatch.from_arrays([pa.array(core.mix(ids.view(np.uint64)).view(np.int64)), pa.array(ids), batch.column(1).slice(first, m), pa.array(np.zeros(m, np.int64)), pa.array(n_tokens), pa.array(n_known), pa.array(base_score), pa.array(full)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(core.mix(ids.view(np.uint64)).view(np.int64)), pa.array(ids), batch.column(1).slice(first, m), pa.array(np.zeros(m, np.int64)), pa.nulls(m, pa.float64()), pa.array(n_tokens), pa.array(n_known), pa.array(base_score), pa.array(full)], names)
                 rare = ~frequent[back]
                 pair, tf = np.unique(docs_of[rare] * len(words) + back[rare], return_counts=True)
                 k = len(pair)
                 if k:
                     d, w = np.divmod(pair, len(words))
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[w].view(np.int64)), pa.array(ids[d]), pa.nulls(k, pa.int64()), pa.array(tf), *[pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[w].view(np.int64)), pa.array(ids[d]), pa.nulls(k, pa.int64()), pa.array(tf), pa.array(values[w]), *[pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]], names)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "key long, uid long, doc_id long, tf long, n_tokens long, n_known long, base_score double, score double")
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "key long, uid long, doc_id long, tf long, spelled double, n_tokens long, n_known long, base_score double, score double")
     rare = counts.where(rank < least).select(F.col("h").alias("key"), "c")
     joined = rows.join(rare.hint("merge"), "key", "left")
     c = F.coalesce("c", F.lit(0))
     tail = F.when(F.col("tf") > 0, F.col("tf") * F.log10((c + 0.1) / (total + 0.1 * (distinct + 1))))
+    spelled = F.when(c > 0, F.log10((c + types * F.exp("spelled")) / mass)).otherwise((F.col("spelled") + float(np.log(types / mass))) / float(np.log(10)))
     by = joined.groupBy("uid").agg(
         F.max("doc_id").alias("doc_id"),
         F.sum("n_tokens").alias("n_tokens"),
         (F.sum("n_known") + F.coalesce(F.sum(F.when((F.col("tf") > 0) & (c > 0), F.col("tf"))), F.lit(0))).alias("n_known"),
         (F.sum("base_score") + F.coalesce(F.sum(tail), F.lit(0.0))).alias("base_score"),
-        F.sum("score").alias("score"),
+        (F.sum("score") + F.coalesce(F.sum(F.when(F.col("tf") > 0, F.col("tf") * spelled)), F.lit(0.0))).alias("score"),
     )
     return by.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
