@@ -73,6 +73,17 @@ def report_companies(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.select(F.from_json(F.regexp_replace("value", ",$", ""), schema).alias("r")).select("r.*")
 
 
+def report_head(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What stands before the companies of such a report, and listed, how many of them there are, counted a
+    line at a time; a report without its end gives none."""
+    if not exists(spark, path):
+        return _none(spark, f"{schema}, listed long")
+    lines = spark.read.text(path)
+    company = F.col("value").startswith('{"company":')
+    whole = lines.agg(F.max(F.when(F.endswith("value", F.lit('"companies":[')) & ~company, F.col("value"))).alias("head"), F.count_if(company).alias("listed"), F.max(F.col("value") == "]}").alias("ends"))
+    return whole.where("ends and head is not null").select(F.from_json(F.concat("head", F.lit("]}")), schema).alias("r"), "listed").select("r.*", "listed")
+
+
 def hints(spark: SparkSession, path: str) -> DataFrame:
     """A hint file (one object, a company a key) as rows; values that are no objects are left out."""
     if not exists(spark, path):
