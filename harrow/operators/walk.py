@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 
 MAX_PAGES = 500
 SHORTFALL_SHARE = 0.02
+#: Narrow rows that one task sorts or groups at once.
+TASK_ROWS = 250_000
 
 
-def walk(pages: DataFrame, source: str = "source", most: int = 8000) -> DataFrame:
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt by keys to as many tasks as `rows` rows ask for. Left to itself, Spark joins shuffled partitions
+    by their compressed bytes, and narrow rows take fifty times theirs in memory."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *keys)
+
+
+def walk(pages: DataFrame, source: str = "source", most: int = 8000, rows: int | None = None) -> DataFrame:
     """pages: source, page_no, rows array<key>, total (reported, nullable), failed; and, if there, stale:
     all dated rows of the page are older than wanted (false when none is dated).
 
@@ -19,14 +27,22 @@ def walk(pages: DataFrame, source: str = "source", most: int = 8000) -> DataFram
     page shorter than the first (only without a total), row budget, page ceiling. The first page on
     which one holds ends the walk; that page still counts unless it failed, was empty or repeated.
     Gives per source: pages, offset (rows received), collected (distinct keys), total, stop_reason,
-    complete, shortfall."""
+    complete, shortfall.
+
+    rows: about how many keys all pages hold (none: they are counted first). Pages go once to their source's
+    task, and no further shuffle follows; pages after the ceiling, which no walk reaches, end there."""
+    if rows is None:
+        rows = pages.agg(F.sum(F.greatest(F.lit(1), F.size("rows")))).first()[0] or 0
     by = W.partitionBy(source).orderBy("page_no")
     before = by.rowsBetween(W.unboundedPreceding, -1)
-    flat = pages.select(source, "page_no", F.posexplode_outer("rows").alias("pos", "key"))
-    firsts = flat.where("key is not null").groupBy(source, "key").agg(F.min("page_no").alias("page_no"))
-    fresh = firsts.groupBy(source, "page_no").agg(F.count("*").alias("fresh"))
-    p = pages.join(fresh, [source, "page_no"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(0)))
-    p = p.withColumn("size", F.coalesce(F.size("rows"), F.lit(0))).withColumn("print", F.sha1(F.to_json("rows")))
+    p = dealt(pages, rows, source).where(F.col(source).isNotNull())
+    p = p.withColumn("_rank", F.rank().over(by)).where(F.col("_rank") <= MAX_PAGES)
+    p = p.withColumns({"size": F.coalesce(F.size("rows"), F.lit(0)), "print": F.sha1(F.to_json("rows"))})
+    told = [c for c in ("size", "print", "total", "failed", "stale") if c in p.columns]
+    flat = p.withColumn("page", F.struct(*told)).select(source, "page_no", "page", F.posexplode_outer("rows").alias("pos", "key"))
+    first = F.row_number().over(W.partitionBy(source, "key").orderBy("page_no")) == 1
+    flat = flat.select(source, "page_no", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("page")).alias("page"), (first & F.col("key").isNotNull()).alias("new"))
+    p = flat.groupBy(source, "page_no").agg(F.max("page").alias("page"), F.count_if("new").alias("fresh")).select(source, "page_no", "page.*", "fresh")
     again = W.partitionBy(source, "print").orderBy("page_no")
     p = p.withColumns(
         {
@@ -53,8 +69,8 @@ def walk(pages: DataFrame, source: str = "source", most: int = 8000) -> DataFram
         .when(F.col("nth") >= MAX_PAGES, "page_ceiling")
     )
     p = p.withColumn("reason", reason)
-    stop = p.groupBy(source).agg(F.min(F.when(F.col("reason").isNotNull(), F.col("page_no"))).alias("stop_page"))
-    seen = p.join(stop, source).where("stop_page is null or page_no <= stop_page")
+    stop = F.min(F.when(F.col("reason").isNotNull(), F.col("page_no"))).over(W.partitionBy(source))
+    seen = p.withColumn("stop_page", stop).where("stop_page is null or page_no <= stop_page")
     counts = ~F.coalesce(F.col("reason").isin("page_failed", "repeated_page", "no_new_rows") | (F.col("size") == 0), F.lit(False))
     out = seen.groupBy(source).agg(
         F.count_if(~F.coalesce(F.col("failed"), F.lit(False))).alias("pages"),

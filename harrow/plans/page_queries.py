@@ -241,11 +241,12 @@ def walk_budget(spark, d):
     """Walks of suppliers with many lines, in pages of 20, under a budget of 90 rows."""
     from pyspark.sql import Window as W
 
-    rn = F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")) - 1
-    n = _t(spark, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("source"), rn.alias("rn"), F.floor(rn / 20).cast("int").alias("page_no"))
-    many = n.groupBy("source").agg(F.count("*").alias("c")).where("c > 80").select("source")
-    log = n.join(many, "source", "left_semi").groupBy("source", "page_no").agg(F.array_sort(F.collect_list("rn")).alias("rows"))
-    out = walk.walk(log.withColumns({"total": F.lit(None).cast("long"), "failed": F.lit(False)}), most=90)
+    lines = _t(spark, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("source"), "l_orderkey", "l_linenumber", "l_partkey")
+    rows, by = lines.count(), W.partitionBy("source")
+    n = walk.dealt(lines, rows, "source").select("source", (F.row_number().over(by.orderBy("l_orderkey", "l_linenumber", "l_partkey")) - 1).alias("rn"), F.count("*").over(by).alias("c"))
+    n = n.where("c > 80").withColumn("page_no", F.floor(F.col("rn") / 20).cast("int"))
+    log = n.groupBy("source", "page_no").agg(F.array_sort(F.collect_list("rn")).alias("rows"))
+    out = walk.walk(log.withColumns({"total": F.lit(None).cast("long"), "failed": F.lit(False)}), most=90, rows=rows)
     return out.select("source", "collected", "stop_reason")
 
 
@@ -256,8 +257,9 @@ def walk_ceiling(spark, d):
 
     k = F.col("event_id") % 16
     nth = F.row_number().over(W.partitionBy(k).orderBy("event_id")) - 1
-    log = _t(spark, d, "events").select(k.alias("source"), nth.alias("page_no"), F.array("event_id").alias("rows"), F.lit(None).cast("long").alias("total"), F.lit(False).alias("failed"))
-    return walk.walk(log).select("source", "pages", "stop_reason", "complete")
+    events = _t(spark, d, "events")
+    log = events.select(k.alias("source"), nth.alias("page_no"), F.array("event_id").alias("rows"), F.lit(None).cast("long").alias("total"), F.lit(False).alias("failed"))
+    return walk.walk(log, rows=events.count()).select("source", "pages", "stop_reason", "complete")
 
 
 @query(SQL["page_walk"])

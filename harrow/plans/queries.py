@@ -444,7 +444,7 @@ _PAGES = """n as (select l_suppkey as source, l_orderkey * 10 + l_linenumber % 1
 )
 def page_walk(spark, d):
     """Suppliers as sources, their lines as rows in pages of 20; some tell no total, some fail on page 3."""
-    out = walk.walk(supplier_pages(spark, d), most=10**9)
+    out = walk.walk(supplier_pages(spark, d), most=10**9, rows=_t(spark, d, "lineitem").count())
     return out.select("source", "pages", F.col("offset").alias("received"), "collected", "total", "stop_reason", "complete", "shortfall")
 
 
@@ -452,7 +452,8 @@ def supplier_pages(spark, d):
     """source, page_no, rows, total, failed of page_walk."""
     cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
     by = W.partitionBy("l_suppkey")
-    n = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), (F.col("l_orderkey") * 10 + F.col("l_linenumber") % 10).alias("k"), (F.row_number().over(by.orderBy(*cols)) - 1).alias("rn"), F.count("*").over(by).alias("cnt"))
+    lines = _t(spark, d, "lineitem").select("l_suppkey", *cols)
+    n = walk.dealt(lines, lines.count(), "l_suppkey").select(F.col("l_suppkey").alias("source"), (F.col("l_orderkey") * 10 + F.col("l_linenumber") % 10).alias("k"), (F.row_number().over(by.orderBy(*cols)) - 1).alias("rn"), F.count("*").over(by).alias("cnt"))
     n = n.withColumn("page_no", F.floor(F.col("rn") / 20).cast("int"))
     pages = n.groupBy("source", "page_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "k"))), lambda x: x["k"]).alias("rows"), F.max(F.when(F.col("source") % 3 != 0, F.col("cnt"))).alias("total"))
     return pages.withColumn("failed", (F.col("source") % 7 == 0) & (F.col("page_no") == 3))

@@ -90,3 +90,22 @@ def test_walk(spark):
     assert (out["n"].collected, out["n"].stop_reason, out["n"].complete) == (50, "exhausted", True)
     assert (out["r"].collected, out["r"].stop_reason, out["r"].complete, out["r"].shortfall) == (3, "repeated_page", False, 6)
     assert (out["f"].collected, out["f"].stop_reason, out["f"].complete) == (2, "page_failed", False)
+
+
+def test_walk_is_dealt_by_its_rows(spark):
+    """Tasks follow the keys, however small the shuffled bytes are; rows are counted where nobody tells them."""
+    pages = [(s, p, [p * 3, p * 3 + 1, None] if p % 5 else [0, 1], 9 if s % 2 else None, s == 7 and p == 2) for s in range(40) for p in range(6)]
+    df = spark.createDataFrame(pages, "source long, page_no int, rows array<long>, total long, failed boolean")
+    few, many = walk.walk(df), walk.walk(df, rows=10 * walk.TASK_ROWS)
+    assert few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and many.rdd.getNumPartitions() == 10
+    want = {s: (4, "page_failed") if s == 7 else (10, "reported_total_reached" if s % 2 else "repeated_page") for s in range(40)}
+    for out in (few, many):
+        assert {r.source: (r.collected, r.stop_reason) for r in out.collect()} == want
+
+
+def test_walk_beyond_its_ceiling(spark):
+    """Pages after the ceiling change nothing."""
+    pages = [(s, p, [p], None, False) for s in (1, 2) for p in range(walk.MAX_PAGES + (5 if s == 1 else -1))]
+    df = spark.createDataFrame(pages, "source long, page_no int, rows array<long>, total long, failed boolean")
+    out = {r.source: (r.pages, r.collected, r.stop_reason) for r in walk.walk(df).collect()}
+    assert out == {1: (walk.MAX_PAGES, walk.MAX_PAGES, "page_ceiling"), 2: (walk.MAX_PAGES - 1, walk.MAX_PAGES - 1, "exhausted")}
