@@ -270,7 +270,7 @@ def recorded_walk(spark, d):
     tries = p.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.when(again, 1).otherwise(0))))
     bad = F.col("failed") | (again & (F.col("attempt") == 0))
     log = tries.select(F.col("source").cast("string").alias("source"), "page_no", "attempt", F.when(bad, 503).otherwise(200).alias("status"), F.lit(None).cast("double").alias("retry_after"), F.when(~bad, F.col("rows").cast("array<string>")).alias("rows"), "total", F.lit(False).alias("stale"))
-    recorded.write(log, at)
+    recorded.write(log, at, _t(spark, d, "lineitem").count())
     recorded.register(spark)
     out = spark.read.format("recorded").options(path=at, most=10**9, perPartition=16).load()
     return out.select(F.col("source").cast("long").alias("source"), "pages", F.col("offset").alias("received"), "collected", "total", "stop_reason", "complete", "shortfall")

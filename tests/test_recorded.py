@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from harrow.operators import walk
@@ -70,3 +71,29 @@ def test_no_exchanges(spark, tmp_path):
     recorded.register(spark)
     (tmp_path / "x").mkdir()
     assert spark.read.format("recorded").option("path", f"{tmp_path}/x").load().count() == 0
+
+
+def test_files_follow_the_rows_not_the_sources(spark, tmp_path):
+    """Few files for many sources, names that look like the next field, a missing name, sources longer than a block."""
+    names = [None, "", 'a","page_no":1', "a\nb", "é\\", *(f"s{i}" for i in range(300))]
+    log = [(s, p, 0, 200, None, [f"{p}-{i}" for i in range(1 + k % 3)], None, False) for k, s in enumerate(names) for p in range(2)]
+    log += [("long", p, 0, 200, None, [f"{p}-{i}-{'x' * 300}" for i in range(1000)], None, False) for p in range(6)]
+    recorded.register(spark)
+    for rows in (None, 2 * 10**6):
+        at = f"{tmp_path}/{rows}"
+        recorded.write(spark.createDataFrame(log, recorded.EXCHANGE), at, rows)
+        files = [f for f in (tmp_path / str(rows)).rglob("*.json")]
+        assert len(files) <= 8 and not list((tmp_path / str(rows)).rglob("*.tmp*"))
+        for each in (1, 16, 1000):
+            out = spark.read.format("recorded").options(path=at, perPartition=each).load()
+            assert out.rdd.getNumPartitions() == -(-(len(names) + 1) // each)
+            got = {r.source: (r.pages, r.collected, r.stop_reason) for r in out.collect()}
+            assert got == {s: (2, 2 * (1 + k % 3), "exhausted") for k, s in enumerate(names)} | {"long": (6, 6000, "exhausted")}
+
+
+def test_files_without_starts(spark, tmp_path):
+    recorded.register(spark)
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "part-0.json").write_text("{}\n")
+    with pytest.raises(Exception, match="write the exchanges again"):
+        spark.read.format("recorded").option("path", f"{tmp_path}/x").load().count()
