@@ -160,3 +160,45 @@ def test_sizes_and_targets_in_sql(spark):
     for r in got:
         assert r.n == r.m == want[r.source][0] and r.t == pytest.approx(want[r.source][1], rel=1e-9)
         assert abs(r.taken - r.t) <= 0.001 * r.t + 40, r
+
+
+def least(rng, bounded):
+    """Patterns of which many sources share few, with quotas that need ways through other patterns."""
+    patterns, most = {}, {}
+    for _ in range(14):
+        p = tuple(sorted(rng.sample("abcd", rng.randint(1, 3))))
+        n = rng.randint(1, 9)
+        patterns[p] = [n, n, rng.randint(0, 6)]
+        most |= {(p, s): rng.randint(0, 12) if bounded else 1 << 62 for s in p}
+    return patterns, {s: rng.randint(5, 60) for s in "abcd"}, most
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_route_table_costs_least(spark, monkeypatch, seed):
+    """Flows that stay in Spark move as many words at the same cost as those of the driver."""
+    monkeypatch.setattr(mixing, "GROUP", 3)
+    patterns, quotas, most = least(random.Random(seed), seed % 2 == 1)
+    want = mixing.route(patterns, quotas, most)
+    rows = [("".join(p), c, {s: most[p, s] for s in p}) for p, c in patterns.items()]
+    df = spark.createDataFrame(rows, "_p string, costs array<long>, left map<string,long>")
+    got = {p: dict.fromkeys(p, 0) for p in patterns}
+    for r in mixing.route_table(df, quotas).collect():
+        got[tuple(r._p)][r._s] = r.words
+    assert all(0 <= x <= most[p, s] for p, f in got.items() for s, x in f.items())
+    assert all(sum(f.values()) <= sum(patterns[p]) for p, f in got.items())
+    moved = lambda flow: {s: sum(f.get(s, 0) for f in flow.values()) for s in quotas}
+    assert all(moved(got)[s] <= quotas[s] for s in quotas)
+    assert sum(moved(got).values()) == sum(moved(want).values()) and cost(patterns, got) == cost(patterns, want)
+
+
+def test_many_patterns_keep_their_sources(spark, monkeypatch):
+    """Beyond the driver's bound no document loses a source: a leaves the texts that it shares to b."""
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 1)
+    texts = [(f"t{i} " * 10, s) for i in range(80) for s in (["a", "b"] if i % 2 else ["a"])]
+    df = spark.createDataFrame([(k, t, s) for k, (t, ss) in enumerate(texts) for s in ss], "doc_id long, text string, source string")
+    out = mixing.mix_copies(df, mixing.size_of(), F.xxhash64("text"), share=0.5).collect()
+    used = {}
+    for r in out:
+        used[r.text] = used.get(r.text, 0) + r.taken
+    # a few texts meet where one share ends and the next begins, as that is placed by hashes, not words
+    assert sum(used.values()) == 600 and sum(max(0, n - 10) for n in used.values()) <= 50
