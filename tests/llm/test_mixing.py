@@ -202,3 +202,12 @@ def test_many_patterns_keep_their_sources(spark, monkeypatch):
         used[r.text] = used.get(r.text, 0) + r.taken
     # a few texts meet where one share ends and the next begins, as that is placed by hashes, not words
     assert sum(used.values()) == 600 and sum(max(0, n - 10) for n in used.values()) <= 50
+
+
+def test_route_table_goes_through_other_sources(spark):
+    """a and b first take what c could be reached by, and make way."""
+    any_ = lambda p: dict.fromkeys(p, 1 << 62)
+    rows = [("1", [10], any_("ab")), ("2", [10], any_("bc")), ("3", [10], any_("a"))]
+    df = spark.createDataFrame(rows, "_p string, costs array<long>, left map<string,long>")
+    got = {(r._p, r._s): r.words for r in mixing.route_table(df, dict.fromkeys("abc", 10)).collect() if r.words}
+    assert got == {("3", "a"): 10, ("1", "b"): 10, ("2", "c"): 10}
