@@ -123,7 +123,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if column.null_count:
         column = column.fill_null("")
     _, offsets, data = column.buffers()
-    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     at = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return raw[at[0] : at[-1]], at - at[0]

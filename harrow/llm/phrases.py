@@ -2,13 +2,15 @@
 
 Words with at least `least` occurrences are ranked by frequency, over all languages; texts become rows of
 ranks once. Neighbours are then counted in tiles of the (left rank, right rank) plane: a tile with many
-hits in a task is a dense table that a bincount fills at its direct address, the others are sorted
-coordinates. The tasks' cells are summed by one grouping. Pairs with enough occurrences are ranked anew, and
+hits in a task is a dense table, filled at its direct address, the others are sorted coordinates. The
+tasks' cells are summed by one grouping. Pairs with enough occurrences are ranked anew, and
 the same count over neighbouring pairs gives the triples, over neighbouring triples the phrases of four: a
 phrase is frequent only if both phrases that it overlaps in all but one word are.
 
 Words and phrases are named by 64 bits of hash; the ranks are only addresses. At most `head` of them have a
 rank (sent to all workers); what has none goes by its name through the same coordinates, so nothing is left out.
+A worker holds 8 bytes and some bits a name, for the words and for the phrases that are ranked last; of those
+between it holds only the bits, which may let a rare phrase pass, to be counted and then found too rare.
 
 Defined results: null and empty texts have no words; a null language is `und`; repeated rows count each;
 other columns are ignored. No phrase with enough occurrences in a language: no row of it.
@@ -25,12 +27,17 @@ from pyspark.sql import functions as F
 
 from . import core
 
-#: Phrases (words at first) with a rank: each takes 16 bytes in the driver and in every worker.
+#: Phrases (words at first) with a rank: each takes 8 bytes, and 16 to 32 bits, in every worker.
 HEAD = 2_000_000
-#: Side of a tile; hits in a task's buffer from which a tile is dense; dense tiles of a task (2 MB each).
-SIDE, DENSE, TILES = 512, 1 << 14, 24
+#: Side of a tile; hits in a task's buffer from which a tile is dense; dense tiles of a task (1 MB each), and
+#: hits that they hold before they are handed on, so that no count passes 32 bits.
+SIDE, DENSE, TILES, TILED = 512, 1 << 13, 24, 1 << 30
 #: Neighbours that a task counts at once, and cells that it holds before it hands them on.
-BUFFER, HELD = 1 << 20, 1_000_000
+BUFFER, HELD = 1 << 19, 1 << 19
+#: Ranks and breaks of a row of pieces, about (a longer piece is a row of its own), and bytes that a task takes up at once.
+LINE, STRETCH = 1 << 10, 1 << 19
+#: Ranks at which the names begin anew in order: what is frequent is looked up among few.
+STEPS = (1 << 9, 1 << 12, 1 << 15, 1 << 18)
 #: Rows of a batch that a task hands on; different words that it holds.
 ROWS, WORDS = 1 << 17, 150_000
 #: Parts into which each language is dealt before its best phrases are chosen.
@@ -114,21 +121,44 @@ def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
     return cells.groupBy("name", "lang", "word").agg(F.sum("n").alias("n"))
 
 
+class Bits:
+    """A set of names as bits: `may` holds for each of them, and for one in sixteen of others at most."""
+
+    def __init__(self, names: np.ndarray):
+        n = max(10, (16 * len(names)).bit_length())
+        self.shift = np.uint64(64 - n)
+        flags = np.zeros(1 << n, bool)
+        flags[names.view(np.uint64) >> self.shift] = True
+        self.bits = np.packbits(flags, bitorder="little")
+
+    def may(self, names: np.ndarray) -> np.ndarray:
+        at = (names.view(np.uint64) >> self.shift).view(np.int64)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 class Ranks:
-    """Names in order of frequency; `whole` says that no other name is frequent."""
+    """Names, the most frequent first: those between two of the STEPS are in the order of their names.
+    `whole` says that no other name is frequent."""
 
     def __init__(self, names: np.ndarray, n: np.ndarray, whole: bool):
-        order = np.lexsort((names, -n))
-        self.by_rank = names[order]
-        by_name = np.argsort(self.by_rank)
-        self.sorted, self.rank = self.by_rank[by_name], by_name.astype(np.int32)
-        self.whole = whole
+        self.by_rank = names[np.lexsort((names, -n))]
+        self.steps = [0, *(k for k in STEPS if k < len(names)), len(names)]
+        for a, b in zip(self.steps, self.steps[1:], strict=False):
+            self.by_rank[a:b].sort()
+        self.bits, self.whole = Bits(self.by_rank), whole
 
     def look(self, names: np.ndarray) -> np.ndarray:
-        if not len(self.sorted):
-            return np.full(len(names), NAMED, np.int64)
-        at = np.minimum(np.searchsorted(self.sorted, names), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == names, self.rank[at].astype(np.int64), NAMED)
+        rank = np.full(len(names), NAMED, np.int64)
+        at = np.flatnonzero(self.bits.may(names))
+        for a, b in zip(self.steps, self.steps[1:], strict=False):
+            if not len(at) or a == b:
+                break
+            part, wanted = self.by_rank[a:b], names[at]
+            place = np.minimum(np.searchsorted(part, wanted), b - a - 1)
+            hit = part[place] == wanted
+            rank[at[hit]] = place[hit] + a
+            at = at[~hit]
+        return rank
 
 
 def _ranks(counted: DataFrame, head: int):
@@ -149,124 +179,145 @@ class Cells:
 
     def __init__(self, ranks: Ranks):
         self.ranks, self.tiles = ranks, {}
-        self.waiting: list[tuple[np.ndarray, ...]] = []
-        self.n_waiting = 0
+        self.across = len(ranks.by_rank) // SIDE + 1
+        self.waiting: list[np.ndarray] = []
         self.coo: list[tuple[np.ndarray, np.ndarray]] = []
         self.named: list[tuple[np.ndarray, ...]] = []
-        self.n_held = 0
+        self.n_waiting = self.n_held = self.n_named = self.n_tiled = 0
 
     def add(self, rank: np.ndarray, name: np.ndarray, joined: np.ndarray) -> None:
         """Neighbours i, i+1 with joined[i]; a negative rank is a phrase without one, which has only its name."""
         i = np.flatnonzero(joined)
         left, right = rank[i], rank[i + 1]
         both = (left >= 0) & (right >= 0)
-        if not self.ranks.whole and not both.all():
-            x, y = name[i[~both]], name[i[~both] + 1]
-            key = pair_name(x, y)
-            self.named.append(self._merged([(key, x, y, np.ones(len(x), np.int64))]))
-            self.n_held += len(self.named[-1][0])
-        if both.any():
-            self.waiting.append((left[both], right[both]))
-            self.n_waiting += int(both.sum())
+        if not both.all():
+            if not self.ranks.whole:
+                x, y = name[i[~both]], name[i[~both] + 1]
+                self.named.append(_merged(pair_name(x, y), x, y, np.ones(len(x), np.int64)))
+                self.n_named += len(self.named[-1][0])
+            left, right = left[both], right[both]
+        if len(left):
+            # cells are numbered tile by tile
+            tile = left // SIDE * self.across + right // SIDE
+            self.waiting.append(tile * SIDE**2 + left % SIDE * SIDE + right % SIDE)
+            self.n_waiting += len(left)
             if self.n_waiting > BUFFER:
                 self.count()
 
-    @staticmethod
-    def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-        key, x, y, n = (np.concatenate(p) for p in zip(*parts, strict=True))
-        key, one, of = np.unique(key, return_index=True, return_inverse=True)
-        return key, x[one], y[one], np.bincount(of, n, len(key)).astype(np.int64)
-
     def count(self) -> None:
         if not self.waiting:
             return
-        left, right = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+        cell = np.concatenate(self.waiting)
         self.waiting, self.n_waiting = [], 0
-        tile = (left // SIDE) << 32 | right // SIDE
-        cell = (left % SIDE) * SIDE + right % SIDE
-        order = np.argsort(tile, kind="stable")
-        tile, cell, left, right = tile[order], cell[order], left[order], right[order]
-        sparse = np.zeros(len(tile), bool)
-        for i, j in zip(*core.runs(tile), strict=True):
-            t = int(tile[i])
-            if t not in self.tiles and (j - i < DENSE or len(self.tiles) >= TILES):
-                sparse[i:j] = True
-                continue
+        cell.sort()
+        first, last = core.runs(cell)
+        cell, n = cell[first], last - first
+        tile = cell // SIDE**2
+        begins, ends = core.runs(tile)
+        hits, tile = np.add.reduceat(n, begins), tile[begins]
+        sparse = np.ones(len(cell), bool)
+        for k in np.flatnonzero((hits >= DENSE) | np.isin(tile, [*self.tiles])):
+            t, i, j = int(tile[k]), begins[k], ends[k]
             if t not in self.tiles:
-                self.tiles[t] = np.zeros(SIDE * SIDE, np.int64)
-            self.tiles[t] += np.bincount(cell[i:j], minlength=SIDE * SIDE)
-        key, n = np.unique(left[sparse] << 32 | right[sparse], return_counts=True)
-        self.coo.append((key, n))
-        self.n_held += len(key)
+                if len(self.tiles) >= TILES:
+                    continue
+                self.tiles[t] = np.zeros(SIDE**2, np.int32)
+            self.tiles[t][cell[i:j] - t * SIDE**2] += n[i:j].astype(np.int32)
+            self.n_tiled += int(hits[k])
+            sparse[i:j] = False
+        self.coo.append((cell[sparse], n[sparse]))
+        self.n_held += len(self.coo[-1][0])
         if len(self.coo) > 8:
-            self.coo = [self._summed()]
+            self._sum()
 
-    def _summed(self) -> tuple[np.ndarray, np.ndarray]:
-        key, n = (np.concatenate(x) for x in zip((np.zeros(0, np.int64), np.zeros(0, np.int64)), *self.coo, strict=True))
-        order = np.argsort(key, kind="stable")
-        key, n = key[order], n[order]
-        first, _ = core.runs(key)
-        return key[first], np.add.reduceat(n, first) if len(first) else n
+    def _sum(self) -> None:
+        if len(self.coo) > 1:
+            cell, n = (np.concatenate(x) for x in zip(*self.coo, strict=True))
+            self.coo = []
+            self.coo = [_merged(cell, n)]
+            self.n_held = len(self.coo[0][0])
 
     def full(self) -> bool:
-        return self.n_held > HELD
+        if self.n_held + 2 * self.n_named <= HELD:
+            return self.n_tiled > TILED
+        self._sum()
+        return self.n_held + 2 * self.n_named > HELD // 2 or self.n_tiled > TILED
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         """All cells so far as (left name, right name, n), a few at a time; starts anew."""
         self.count()
-        key, n = self._summed()
+        self._sum()
+        for cell, n in self.coo:
+            for i in range(0, len(cell), ROWS):
+                yield self._named(cell[i : i + ROWS], n[i : i + ROWS])
         self.coo = []
-        by = self.ranks.by_rank
-        for i in range(0, len(key), ROWS):
-            k = key[i : i + ROWS]
-            yield _cells(by[k >> 32], by[k & 0xFFFFFFFF], n[i : i + ROWS])
         for t in [*self.tiles]:
             table = self.tiles.pop(t)
             hit = np.flatnonzero(table)
-            yield _cells(by[(t >> 32) * SIDE + hit // SIDE], by[(t & 0xFFFFFFFF) * SIDE + hit % SIDE], table[hit])
+            yield self._named(t * SIDE**2 + hit, table[hit].astype(np.int64))
         if self.named:
-            _, x, y, n = self._merged(self.named)
+            _, x, y, n = _merged(*(np.concatenate(p) for p in zip(*self.named, strict=True)))
             self.named = []
             for i in range(0, len(x), ROWS):
                 yield _cells(x[i : i + ROWS], y[i : i + ROWS], n[i : i + ROWS])
-        self.n_held = 0
+        self.n_held = self.n_named = self.n_tiled = 0
+
+    def _named(self, cell: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        (tile, at), by = np.divmod(cell, SIDE**2), self.ranks.by_rank
+        return _cells(by[tile // self.across * SIDE + at // SIDE], by[tile % self.across * SIDE + at % SIDE], n)
+
+
+def _merged(key: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One row a key; the last column is summed."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first, _ = core.runs(key)
+    *same, n = more
+    n = np.add.reduceat(n[order], first) if len(first) else n
+    return key[first], *(x[order[first]] for x in same), n
 
 
 def _cells(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(n)], ["left", "right", "n"])
 
 
-def _climb(rank: np.ndarray, name: np.ndarray, joined: np.ndarray, more: list[Ranks]) -> tuple[np.ndarray, ...]:
-    """From words to phrases of 1 + len(more) words, one a place: rank, name, and whether the phrases at i and
-    i + 1 overlap in a phrase of one word more that may be frequent. joined says so of the words."""
-    for r in more:
-        name, at = pair_name(name[:-1], name[1:]), np.flatnonzero(joined)
-        rank, live = np.full(len(name), NAMED), joined.copy()
-        rank[at] = r.look(name[at])
-        if r.whole:
-            live &= rank >= 0
+def _climb(rank: np.ndarray, name: np.ndarray, joined: np.ndarray, between: list[Bits | None], last: Ranks | None) -> tuple[np.ndarray, ...]:
+    """From words to the phrases of `last`, one a place: rank, name, and whether the phrases at i and i + 1
+    overlap in a phrase of one word more that may be frequent. joined says so of the words. `between` has the
+    lengths between, without bits where phrases are frequent beside those that have a rank."""
+    for known in [*between, last] if last else []:
+        name, live = pair_name(name[:-1], name[1:]), joined.copy()
+        at = np.flatnonzero(joined)
+        if known is last:
+            rank = np.full(len(name), NAMED)
+            rank[at] = last.look(name[at])
+            if last.whole:
+                live = rank >= 0
+        elif known:
+            live[at] = known.may(name[at])
         joined = live[:-1] & live[1:]
     return rank, name, joined
 
 
-def neighbours(rows: DataFrame, ranks: list) -> DataFrame:
-    """left, right, n, name: how often the phrases that are ranked last overlap (words: touch)."""
+def neighbours(rows: DataFrame, words, between: list, last, least: int) -> DataFrame:
+    """left, right, n, name: how often the phrases that are ranked last overlap (words: touch), from `least` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [r.value for r in ranks]
-        cells = Cells(known[-1])
+        first, bits, ranks = words.value, [b and b.value for b in between], last and last.value
+        cells = Cells(ranks or first)
         for batch in batches:
-            for raw, unranked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                signs = np.frombuffer(raw, np.int32).astype(np.int64)
+            (ranked, at), (unranked, of) = (core.text_bytes(c) for c in batch.columns)
+            for i, j in core.chunks(at, STRETCH):
+                signs = ranked[at[i] : at[j]].view(np.int32).astype(np.int64)
                 rank = signs[signs != BREAK]
                 begins = np.zeros(len(rank) + 1, bool)
-                at = np.flatnonzero(signs == BREAK)
-                begins[at - np.arange(len(at))] = True
+                cuts = np.flatnonzero(signs == BREAK)
+                begins[cuts - np.arange(len(cuts))] = True
                 name = np.zeros(len(rank), np.int64)
-                name[rank >= 0] = known[0].by_rank[rank[rank >= 0]]
-                name[rank == NAMED] = np.frombuffer(unranked, np.int64)
-                if len(rank) > len(known):
-                    cells.add(*_climb(rank, name, ~begins[1:-1], known[1:]))
+                name[rank >= 0] = first.by_rank[rank[rank >= 0]]
+                name[rank == NAMED] = unranked[of[i] : of[j]].view(np.int64)
+                if len(rank) > len(bits) + 1 + bool(ranks):
+                    cells.add(*_climb(rank, name, ~begins[1:-1], bits, ranks))
                 if cells.full():
                     yield from cells.rows()
         yield from cells.rows()
@@ -276,27 +327,37 @@ def neighbours(rows: DataFrame, ranks: list) -> DataFrame:
             name = pair_name(batch.column(0).to_numpy(), batch.column(1).to_numpy())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(name)], ["left", "right", "n", "name"])
 
-    cells = rows.mapInArrow(run, "left long, right long, n long")
-    return cells.groupBy("left", "right").agg(F.sum("n").alias("n")).mapInArrow(named, "left long, right long, n long, name long")
+    cells = rows.mapInArrow(run, "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
+    return cells.where(F.col("n") >= least).mapInArrow(named, "left long, right long, n long, name long")
+
+
+def _lines(signs: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+    """Pieces as rows of about LINE signs, each with the names of its words without a rank."""
+    breaks = np.flatnonzero(signs == BREAK)
+    cuts = breaks[np.append(True, np.diff(breaks // LINE) > 0)[: len(breaks)]]
+    of = np.searchsorted(np.flatnonzero(signs == NAMED), cuts)
+    columns = [
+        pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer((np.append(begins, len(x)) * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+        for x, begins in ((signs.astype(np.int32), cuts), (np.ascontiguousarray(names), of))
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["ranks", "names"])
 
 
 def _pieces(docs: DataFrame, ranks, text: str, lang: str) -> DataFrame:
     """Texts as `ranks` (32 bits each) of their words, with BREAK before each piece, and NAMED for a word
-    without a rank, whose name (64 bits) is in `names`. Words that cannot be in a phrase only part pieces."""
+    without a rank, whose name (64 bits) is in `names`. Words that cannot be in a phrase only part pieces.
+    A row holds whole pieces of one text or several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = ranks.value
         for batch in batches:
-            out, unranked = [], []
             for *_, first, name in _spelled(batch):
                 rank = known.look(name)
                 if known.whole:
                     keep = rank >= 0
                     part = np.cumsum(first | ~keep | np.append(True, ~keep[:-1])[: len(keep)])[keep]
                     rank, name, first = rank[keep], name[keep], np.append(True, part[1:] != part[:-1])[: len(part)]
-                out.append(np.insert(rank, np.flatnonzero(first), BREAK).astype(np.int32).tobytes())
-                unranked.append(name[rank == NAMED].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(unranked, pa.binary())], ["ranks", "names"])
+                yield _lines(np.insert(rank, np.flatnonzero(first), BREAK), name[rank == NAMED])
 
     return _input(docs, text, lang).mapInArrow(run, "ranks binary, names binary")
 
@@ -311,12 +372,19 @@ def collocations(docs: DataFrame, least: int = 30, best: int = 2000, text: str =
     words = core.cut(word_counts(docs, text, lang), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = [core.cut(words.where(F.col("n") >= least), "frequent")]
-    ranks = [_ranks(frequent[0], head)]
-    rows = core.cut(_pieces(docs, ranks[0], text, lang), "pieces")
-    for _ in range(3):
-        found = neighbours(rows, ranks).where(F.col("n") >= least)
-        frequent.append(core.cut(found, "phrases"))
-        ranks.append(_ranks(frequent[-1], head))
+    ranked = _ranks(frequent[0], head)
+    rows = core.cut(_pieces(docs, ranked, text, lang), "pieces")
+    between, last = [], None
+    for length in (2, 3, 4):
+        frequent.append(core.cut(neighbours(rows, ranked, between, last, least), "phrases"))
+        if last:
+            # shorter phrases are only passed through from here on
+            between.append(docs.sparkSession.sparkContext.broadcast(last.value.bits) if last.value.whole else None)
+            last.destroy()
+        last = _ranks(frequent[-1], head) if length < 4 else None
+    for sent in (ranked, *between):
+        if sent:
+            sent.destroy()
     core.drop_cut(rows)
     f1, f2, f3, f4 = frequent
 

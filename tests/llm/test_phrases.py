@@ -1,5 +1,7 @@
+import pickle
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -85,3 +87,37 @@ def test_empty_and_clashing(spark):
     assert phrases.collocations(df).count() == 0
     df = spark.createDataFrame([("big data, big data", None, 1, "x", 2)] * 20, "text string, lang string, n int, name string, score int")
     assert [tuple(r) for r in phrases.collocations(df).collect()] == [("und", 1, "big data", 40, 40, 40, 80, 1000000)]
+
+
+def test_a_worker_holds_few_bytes_a_name():
+    rng = np.random.default_rng(5)
+    names, n = rng.integers(-(1 << 63), 1 << 63, 200_000), rng.zipf(1.3, 200_000)
+    ranks = phrases.Ranks(names, n, True)
+    assert len(pickle.dumps(ranks, pickle.HIGHEST_PROTOCOL)) < 13 * len(names)
+    others = rng.integers(-(1 << 63), 1 << 63, 100_000)
+    assert (ranks.by_rank[ranks.look(names)] == names).all() and (ranks.look(others) == phrases.NAMED).all()
+
+
+def test_counting_holds_a_bounded_part_of_the_cells():
+    """Neighbours of little in common: the memory beside what the ranks take, with rows handed on as they come."""
+    rng = np.random.default_rng(6)
+    ranks = phrases.Ranks(rng.integers(-(1 << 63), 1 << 63, 300_000), np.ones(300_000, np.int64), True)
+    tracemalloc.start()
+    cells, n = phrases.Cells(ranks), 0
+    for _ in range(48):
+        rank = rng.integers(0, 300_000, 100_001)
+        cells.add(rank, ranks.by_rank[rank], np.ones(100_000, bool))
+        if cells.full():
+            n += sum(sum(b.column(2).to_pylist()) for b in cells.rows())
+    n += sum(sum(b.column(2).to_pylist()) for b in cells.rows())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 4_800_000 and peak < 70e6
+
+
+def test_a_row_of_pieces_is_small(spark):
+    """A long text goes in rows of some KB, as batches of them are what a task holds; none of its words is lost."""
+    df = spark.createDataFrame([("big data and more, " * 60_000, "en")], "text string, lang string").coalesce(1)
+    counted = phrases.word_counts(df).where("n > 1").select("name", "n")
+    rows = phrases._pieces(df, phrases._ranks(counted, 100), "text", "lang").selectExpr("length(ranks) n").toPandas().n
+    assert rows.sum() == 60_000 * 5 * 4 and rows.max() < 100_000
